@@ -123,18 +123,27 @@ def jitter(cid: Column, pid: Column, amplitude: float, kind: str = "xxhash64") -
     return F.lit(amplitude) * (h / F.lit(1008.0) * F.lit(2.0) - F.lit(1.0))
 
 
-def with_client_factors(clients: DataFrame, cfg: MatchConfig) -> DataFrame:
-    """Client columns the scorer needs: ordered bounds and effective weights."""
+def with_client_factors(clients: DataFrame, listings: DataFrame, cfg: MatchConfig) -> DataFrame:
+    """Client columns the scorer needs: ordered bounds and effective weights.
+
+    Under the "observed" policy a component whose column is empty on either
+    side weighs nothing; that is settled here, on the small side."""
+    if cfg.null_policy == "observed":
+        clients = clients.withColumn("present__", column_presence(clients, listings))
     cols: list[Column] = []
     for name, (_, lo, hi) in RANGES.items():
         lo_c, hi_c = F.col(lo), F.col(hi)
         cols += Bounds.of(lo_c, hi_c, cfg.softness[name]).named(name)
-        cols.append((F.lit(cfg.weights[name]) * constraint_multiplier(lo_c, hi_c)).alias(f"{name}__w"))
-    return clients.select("*", *cols)
+        w = F.lit(cfg.weights[name]) * constraint_multiplier(lo_c, hi_c)
+        if cfg.null_policy == "observed":
+            w = F.when(F.col("present__")[name], w).otherwise(0.0)
+        cols.append(w.alias(f"{name}__w"))
+    out = clients.select("*", *cols)
+    return out.drop("present__") if cfg.null_policy == "observed" else out
 
 
-def column_presence(clients: DataFrame, listings: DataFrame) -> dict[str, Column]:
-    """Per component: does any row state a bound and any listing a value?
+def column_presence(clients: DataFrame, listings: DataFrame) -> Column:
+    """Per component: does any client state a bound and any listing a value?
 
     Two one-row aggregates, used as scalar subqueries.
     """
@@ -142,9 +151,9 @@ def column_presence(clients: DataFrame, listings: DataFrame) -> dict[str, Column
     used_l = [v for v, _, _ in RANGES.values()]
     stated = clients.agg(F.struct(*[(F.count(c) > 0).alias(c) for c in used_c]).alias("s")).scalar()
     filled = listings.agg(F.struct(*[(F.count(c) > 0).alias(c) for c in used_l]).alias("s")).scalar()
-    return {
-        name: (stated[lo] | stated[hi]) & filled[value] for name, (value, lo, hi) in RANGES.items()
-    }
+    return F.struct(
+        *[((stated[lo] | stated[hi]) & filled[value]).alias(name) for name, (value, lo, hi) in RANGES.items()]
+    )
 
 
 def component_columns(cfg: MatchConfig) -> dict[str, Column]:
@@ -160,7 +169,7 @@ def component_columns(cfg: MatchConfig) -> dict[str, Column]:
     return out
 
 
-def effective_weights(cfg: MatchConfig, presence: dict[str, Column] | None = None) -> dict[str, Column]:
+def effective_weights(cfg: MatchConfig) -> dict[str, Column]:
     """Weight of each component for this pair, 0 where it takes no part."""
     out: dict[str, Column] = {}
     for name, (value, lo, hi) in RANGES.items():
@@ -169,8 +178,6 @@ def effective_weights(cfg: MatchConfig, presence: dict[str, Column] | None = Non
         on = F.lit(True)
         if cfg.null_policy == "declared":
             on = (F.col(lo).isNotNull() | F.col(hi).isNotNull()) & F.col(value).isNotNull()
-        elif presence:
-            on = presence[name]
         out[name] = F.when(on, F.col(f"{name}__w")).otherwise(0.0)
     if cfg.weights["operation"] > 0:
         on = (F.length("operacion") > 0) & (F.size("operation_tokens") > 0)
@@ -207,12 +214,11 @@ def _computed(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
 def with_scores(
     pairs: DataFrame,
     cfg: MatchConfig,
-    presence: dict[str, Column] | None = None,
     client_id: str = "client_id",
     property_id: str = "property_id",
 ) -> DataFrame:
     """Add s_* (4 decimals) and score (6 decimals) to joined pairs."""
-    weights = effective_weights(cfg, presence)
+    weights = effective_weights(cfg)
     first = component_columns(cfg) | {f"e_{n}": w for n, w in weights.items()}
     staged = _computed(pairs, first)
     total = sum((F.col(f"e_{n}") for n in weights), F.lit(0.0))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listing_engine.config import MatchConfig
-from listing_engine.functions.scoring import column_presence, with_client_factors, with_scores
+from listing_engine.functions.scoring import with_client_factors, with_scores
 from listing_engine.operators.filters import audit_flags, min_score
 from listing_engine.operators.matching import candidate_pairs, expand_locations, top_per_client
 
@@ -17,8 +17,9 @@ MATCH_COLUMNS = (
 ).split()
 
 
-def prepare_clients(clients: DataFrame, hierarchy: DataFrame, cfg: MatchConfig) -> DataFrame:
-    return with_client_factors(expand_locations(clients, hierarchy), cfg)
+def prepare_clients(clients: DataFrame, listings: DataFrame, hierarchy: DataFrame, cfg: MatchConfig) -> DataFrame:
+    """Everything that depends on the client alone, before any pair exists."""
+    return with_client_factors(expand_locations(clients, hierarchy), listings, cfg)
 
 
 def scored_pairs(
@@ -26,9 +27,8 @@ def scored_pairs(
 ) -> DataFrame:
     """Every pair that passes the hard filters, scored. With `prune`, pairs
     that cannot reach min_score are left out."""
-    presence = column_presence(clients, listings) if cfg.null_policy == "observed" else None
-    pairs = candidate_pairs(listings, prepare_clients(clients, hierarchy, cfg), cfg, prune)
-    return with_scores(pairs, cfg, presence)
+    ready = prepare_clients(clients, listings, hierarchy, cfg)
+    return with_scores(candidate_pairs(listings, ready, cfg, prune), cfg)
 
 
 def match_all(listings: DataFrame, clients: DataFrame, hierarchy: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:

@@ -9,8 +9,15 @@ from pyspark.sql import functions as F
 
 from listing_engine.config import CAPS, RANGES, SOFTNESS, WEIGHTS, MatchConfig
 from listing_engine.functions import scoring as S
+from listing_engine.operators import aggregates as A
+from listing_engine.operators import filters as P
+from listing_engine.operators import joins as J
+from listing_engine.operators import ordering as T
+from listing_engine.operators.matching import expand_locations
+from listing_engine.plans import explain as E
 from listing_engine.plans import matching as M
-from workload.fixtures import view, with_views
+from workload.fixtures import table, view, with_views
+from workload.market import r4 as cut4
 
 #: the oracle recomputes the md5 jitter and rounds by scaling, so the queries do too
 CFG = MatchConfig(jitter_hash="md5", rounding="scaled")
@@ -149,15 +156,170 @@ def match_scores_declared(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("client_id", "property_id", *ROUND4, "score")
 
 
+# ------------------------------------------------------------------ roll-ups
+PLAIN = replace(CFG, jitter=0.0)
+OWN = ["brand#1", "nobody"]
+
+
+def _over_matches(op):
+    return lambda s, d: cut4(op(matches(s, d)))
+
+
+def pair_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    """Hard-filter reasons of every pair of a client and a listing of its nation."""
+    cl = expand_locations(clients(spark, sf), view(spark, sf, "fx_hierarchy")).withColumn("zona_token", F.lower("zona_std"))
+    pairs = inventory(spark, sf).join(cl, "zona_token")
+    located = P.location_match(F.col("zona_tokens"), F.col("location_tokens"), F.col("specific_tokens"))
+    return pairs.select(
+        "client_id", "property_id", F.array_join(P.hard_filter_reasons(CFG, located), ",").alias("reasons"), located.alias("located")
+    )
+
+
+def range_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Range score and multiplier of each line item against bounds of its own."""
+    v, lo, hi = F.col("l_extendedprice"), F.expr(LINE_LO), F.expr(LINE_HI)
+    df = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey",
+        S.score_range(v, lo, hi, 0.25).alias("score"), S.constraint_multiplier(lo, hi).alias("multiplier"),
+        S.binary_equality(F.col("l_returnflag"), F.expr(LINE_OP)).alias("same_op"),
+        S.jitter(F.col("l_orderkey"), F.col("l_partkey"), 0.001, "md5").alias("jitter"),
+    )
+    return df.select("l_orderkey", "l_linenumber", "l_partkey", "same_op", *[
+        (F.floor(F.col(c) * 1e6 + 0.5) / 1e6).alias(c) for c in ("score", "multiplier", "jitter")])
+
+
+LINE_LO = "case when l_linenumber = 1 then null when l_linenumber = 2 then cast(60000 as double) else cast(10000 + l_suppkey * 100 as double) end"
+LINE_HI = "case when l_linenumber in (1, 3) then null when l_linenumber = 2 then cast(20000 as double) else cast(40000 + l_suppkey * 300 as double) end"
+LINE_OP = "case when l_linenumber = 1 then '' else 'N' end"
+
+
+def property_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """J5 with part numbers as ids for some listings and URLs for the rest."""
+    m = matches(spark, sf).select(
+        "property_id", "score", F.concat(F.lit("HTTPS://Portal.example/inmueble/"), F.col("property_id") + 1000000, F.lit("/d")).alias("link_inmueble"),
+        (F.col("client_id") * 1000 + F.col("rank_client")).alias("match_no"),
+    )
+    l = view(spark, sf, "fx_inventory").select(
+        F.expr("case when property_id % 3 = 0 then property_id else -property_id - 1 end").alias("id"), "property_id",
+        F.expr("""concat(case property_id % 4 when 0 then 'https://portal.example' when 1 then 'portal.example' when 2 then 'x' else ' https://portal.example' end,
+                  '/inmueble/', property_id + 1000000, '/d', case when property_id % 5 = 0 then '?ref=1 ' else '' end)""").alias("link_inmueble"),
+    )
+    return J.listing_match_counts(l.drop("property_id"), m).select("id", "total", "high_quality")
+
+
 QUERIES = {
     "match_topn": matches,
     "match_scores": match_scores,
     "match_scores_declared": match_scores_declared,
+    "hard_filter_reasons": pair_reasons,
+    "range_scores": range_scores,
+    "unmatched_clients": lambda s, d: J.unmatched_clients(clients(s, d), matches(s, d)).select("client_id", "nombre"),
+    "unmatched_best": lambda s, d: E.explain_unmatched(*inputs(s, d), PLAIN),
+    "unmatched_reasons": lambda s, d: cut4(E.unmatched_reasons(*inputs(s, d), PLAIN)),
+    "property_match_counts": _over_matches(A.property_match_counts),
+    "client_match_groups": _over_matches(lambda m: A.client_match_groups(m, OWN)),
+    "global_match_stats": _over_matches(lambda m: A.global_match_stats(m, OWN)),
+    "candidates_per_client": _over_matches(A.candidates_per_client),
+    "matched_share": lambda s, d: cut4(A.matched_share(matches(s, d), clients(s, d))),
+    "score_quantiles": _over_matches(A.score_quantiles),
+    "score_component_corr": _over_matches(A.score_correlations),
+    "rank_audit": _over_matches(A.rank_audit),
+    "score_extremes": lambda s, d: A.score_extremes(matches(s, d)).select("extreme", "client_id", "property_id", "score"),
+    "match_order": lambda s, d: T.page(T.by_client_and_score(matches(s, d)), 1, 100).select("client_id", "property_id", "score", "rank_client"),
+    "match_filter_band": lambda s, d: P.filter_matches(
+        matches(s, d), term="nation_1", operation="Venta", band="medium", owner="competitor", own_patterns=OWN
+    ).select("client_id", "property_id", "score"),
+    "match_own_high": lambda s, d: P.filter_matches(matches(s, d), band="high", owner="own", own_patterns=OWN).select("client_id", "property_id", "score"),
+    "match_client_operation": lambda s, d: J.client_operation(matches(s, d), clients(s, d)).select("client_id", "property_id", "client_operation"),
+    "listing_match_counts": property_counts,
+    "client_search": lambda s, d: P.search_clients(client_lists(s, d), "nation_1").select("client_id", "nombre"),
+    "client_coverage": lambda s, d: A.client_coverage(client_lists(s, d)),
+    "complete_rows": lambda s, d: P.complete_rows(view(s, d, "fx_clients"), "client_id", "nombre", "location_token").select("client_id", "location_token"),
 }
 
+
+def client_lists(spark: SparkSession, sf: str) -> DataFrame:
+    none = F.array().cast("array<string>")
+    return view(spark, sf, "fx_clients").withColumns({
+        "types": F.when(F.col("client_id") % 3 == 0, none).otherwise(F.array(F.lit("Piso"), "segment")),
+        "locations": F.when(F.col("location_token").isNull(), none).otherwise(F.array("location_token")),
+    })
+
+
+FULL = scored_sql() + RANKED_SQL
+PLAIN_SQL = scored_sql(jitter=False) + """, ok_max as (
+      select client_id, max(score) filter (where ok) as best from scored group by 1), stuck as (
+      select * from ok_max where best is null or best < 0.55), chosen as (
+      select s.*, row_number() over (partition by client_id order by ok desc, s.score desc, property_id) as rn
+      from scored s join stuck using (client_id))"""
+CODES = ", ".join(f"case when {r} then '{r}' end" for r in sorted(FLAGS_SQL))
+LABELS = ", ".join(f"case when {r} then '{P.REASON_LABELS[r]}' end" for r in sorted(FLAGS_SQL))
+IN_ORDER = ", ".join(f"case when {e} then '{r}' end" for r, e in FLAGS_SQL.items())
+OWN_SQL = "(contains(lower(anunciante), 'brand#1') or contains(lower(anunciante), 'nobody'))"
+
 ORACLE = {
-    "match_topn": matches_sql() + " select * from matches",
+    "match_topn": FULL + " select * from matches",
     "match_scores": scored_sql() + " select client_id, property_id, s_price, s_area, s_rooms, s_baths, s_operation, score from scored where ok",
     "match_scores_declared": scored_sql(policy="declared") + " select client_id, property_id, s_price, s_area, s_rooms, s_baths, s_operation, score from scored where ok",
+    "hard_filter_reasons": f"""with p as (select c.*, i.* exclude (zona_token), i.zona_token, (c.location_token is null or c.location_token = 'spain' or c.location_token = i.zona_token
+        or exists (select 1 from fx_hierarchy h where h.parent = c.location_token and h.child = i.zona_token)) as located
+        from fx_clients c join fx_inventory i on lower(c.zona_std) = i.zona_token)
+        select client_id, property_id, concat_ws(',', {IN_ORDER}) as reasons, located from p""",
+    "range_scores": f"""with b as (select *, {LINE_LO} as lo, {LINE_HI} as hi, {LINE_OP} as op from lineitem)
+        select l_orderkey, l_linenumber, l_partkey, case when op = '' then 1.0::double when l_returnflag = op then 1.0::double else 0.0::double end as same_op,
+        floor(({range_sql('l_extendedprice', 'lo', 'hi', 0.25)}) * 1e6 + 0.5) / 1e6 as score, floor(({multiplier_sql('lo', 'hi')}) * 1e6 + 0.5) / 1e6 as multiplier,
+        floor((0.001::double * ((('0x' || substr(md5(l_orderkey::varchar || '|' || l_partkey::varchar), 1, 8))::bigint % 1009)::double / 1008.0::double * 2.0::double - 1.0::double)) * 1e6 + 0.5) / 1e6 as jitter from b""",
+    "unmatched_clients": FULL + " select client_id, nombre from fx_clients where client_id not in (select client_id from matches)",
+    "unmatched_best": PLAIN_SQL + f""" select client_id, nombre as client_name, case when ok then 'passes_filters' else 'best_overall' end as candidate_source,
+        ok as passes_filters, score, s_price, s_area, s_rooms, s_baths, s_operation, property_id as prop_id, link_inmueble as prop_link, web as prop_web,
+        anunciante as prop_anunciante, operacion as prop_operacion, tipo as prop_tipo, zona as prop_zona, precio as prop_precio, m2 as prop_m2,
+        habitaciones as prop_habitaciones, banos as prop_banos, zona_token as prop_zona_tokens, '-' as prop_flag_tokens,
+        concat_ws(',', {CODES}) as filter_reasons, concat_ws('; ', {LABELS}) as filter_reason_labels, operation as client_operation,
+        price_min_eur as client_price_min_eur, price_max_eur as client_price_max_eur, area_min_m2 as client_area_min_m2, area_max_m2 as client_area_max_m2,
+        rooms_min as client_rooms_min, rooms_max as client_rooms_max, bath_min as client_bath_min, bath_max as client_bath_max,
+        coalesce(location_token, '-') as client_location_tokens, case when client_id % 2 = 0 then '-' else 'ECONOMY' end as client_type_tokens,
+        '-' as client_cond_tokens from chosen where rn = 1""",
+    "unmatched_reasons": PLAIN_SQL + f""", reasons as (
+        select distinct client_id, unnest([{CODES}]) as reason from scored join stuck using (client_id) where best is null
+        union all select client_id, 'score_below_threshold' from stuck where best is not null)
+        select reason, case reason {" ".join(f"when '{k}' then '{v}'" for k, v in P.REASON_LABELS.items())} else 'Coincidencias con score < 0.55' end as label,
+        count(*) as clients, {r4('count(*) / (select count(*) from stuck) * 100.0::double')} as pct from reasons where reason is not null group by 1, 2""",
+    "property_match_counts": FULL + " select property_id, count(*) as total, count(*) filter (where score >= 0.8) as high_quality from matches group by 1",
+    "client_match_groups": FULL + f""" select client_id, client_name, count(*) as total_matches, count(*) filter (where score >= 0.8) as high_score_matches,
+        {r4('avg(score)')} as avg_score, count(*) filter (where {OWN_SQL}) as own_matches, count(*) filter (where not {OWN_SQL}) as competitor_matches from matches group by 1, 2""",
+    "global_match_stats": FULL + f""" select count(*) as total_matches, count(*) filter (where score >= 0.8) as high_score_matches, count(distinct client_id) as unique_clients,
+        count(*) filter (where {OWN_SQL}) as own_matches, count(*) filter (where not {OWN_SQL}) as competitor_matches from matches""",
+    "candidates_per_client": FULL + " select client_id, client_name, count(property_id) as candidates from matches group by 1, 2",
+    "matched_share": FULL + f""" select count(distinct client_id) as matched_clients, (select count(*) from fx_clients) as total_clients,
+        {r4('count(distinct client_id) / (select count(*) from fx_clients) * 100.0::double')} as match_pct from matches""",
+    "score_quantiles": FULL + " select count(*) as n, " + ", ".join(
+        f"{r4(f'quantile_cont(score, {q})')} as \"{n}\"" for q, n in zip(A.QUANTILES, A.QUANTILE_NAMES)) + " from matches",
+    "score_component_corr": FULL + " select " + ", ".join(
+        f"case when stddev_pop({c}) > 1e-12 then {r4(f'corr({c}, score)')} end as corr_{c[2:]}" for c in A.COMPONENTS) + " from matches",
+    "rank_audit": FULL + """, o as (select client_id, score > lag(score) over w + 1e-12 or (abs(score - lag(score) over w) <= 1e-12
+        and s_price > lag(s_price) over w + 1e-12) as bad from matches window w as (partition by client_id order by rank_client)),
+        g as (select client_id, bool_or(coalesce(bad, false)) as bad from o group by 1 having count(*) > 1)
+        select count(*) as groups, count(*) filter (where bad) as violations from g""",
+    "score_extremes": FULL + """ select * from (select 'top' as extreme, client_id, property_id, score from matches order by score desc, client_id, property_id limit 3)
+        union all select * from (select 'bottom' as extreme, client_id, property_id, score from matches order by score, client_id, property_id limit 3)""",
+    "match_order": FULL + " select client_id, property_id, score, rank_client from matches order by client_id, score desc, rank_client limit 100",
+    "match_filter_band": FULL + f""" select client_id, property_id, score from matches where score >= 0.6 and score < 0.8 and operacion = 'venta' and not {OWN_SQL}
+        and (contains(lower(client_name), 'nation_1') or contains(lower(zona), 'nation_1') or contains(lower(anunciante), 'nation_1') or contains(lower(tipo), 'nation_1'))""",
+    "match_own_high": FULL + f" select client_id, property_id, score from matches where score >= 0.8 and {OWN_SQL}",
+    "match_client_operation": FULL + " select client_id, property_id, c.operation as client_operation from matches join fx_clients c using (client_id)",
+    "listing_match_counts": FULL + """, mm as (select property_id, score, lower('https://portal.example/inmueble/' || (property_id + 1000000) || '/d') as url,
+        client_id * 1000 + rank_client as match_no from matches), counts as (select property_id, count(*) as total, count(*) filter (where score >= 0.8) as high_quality from mm group by 1),
+        firsts as (select url, min(match_no) as o, arg_min(property_id, match_no) as p from mm group by 1),
+        ll as (select case when property_id % 3 = 0 then property_id else -property_id - 1 end as id,
+          lower(trim(concat(case property_id % 4 when 0 then 'https://portal.example' when 1 then 'portal.example' when 2 then 'x' else ' https://portal.example' end,
+                  '/inmueble/', property_id + 1000000, '/d', case when property_id % 5 = 0 then '?ref=1 ' else '' end))) as url from fx_inventory),
+        hits as (select l.id, arg_min(f.p, f.o) as p from ll l join firsts f on contains(l.url, f.url) or contains(f.url, l.url) group by 1)
+        select l.id, coalesce(a.total, b.total, 0) as total, coalesce(a.high_quality, b.high_quality, 0) as high_quality
+        from ll l left join counts a on a.property_id = l.id left join hits h on h.id = l.id left join counts b on b.property_id = h.p""",
+    "client_search": """select client_id, nombre from fx_clients where contains(lower(nombre), 'nation_1') or contains(telefono, 'nation_1') or contains(lower(mail), 'nation_1')
+        or contains(lower(zona_std), 'nation_1') or contains(lower(coalesce(location_token, '')), 'nation_1')""",
+    "client_coverage": """select count(*) as total_clients, count(*) filter (where client_id % 3 <> 0 or coalesce(rooms_min, 0) <> 0 or coalesce(price_min_eur, 0) <> 0 or location_token is not null) as with_requirements,
+        count(*) filter (where coalesce(price_min_eur, 0) <> 0 or coalesce(price_max_eur, 0) <> 0) as with_budget, count(*) filter (where location_token is not null) as with_location from fx_clients""",
+    "complete_rows": "select client_id, location_token from fx_clients where location_token is not null and location_token <> ''",
 }
 ORACLE = {k: with_views(v) for k, v in ORACLE.items()}
