@@ -314,9 +314,10 @@ COMPONENTS = ("s_price", "s_area", "s_rooms", "s_baths", "s_operation")
 
 
 def score_correlations(matches: DataFrame) -> DataFrame:
-    """NULL where a component does not vary."""
+    """Pearson, NULL where a component does not vary."""
     def corr(c: str) -> Column:
-        return F.when(F.stddev_pop(c) > 1e-12, F.corr(c, "score"))
+        spread = F.stddev_pop(c)
+        return F.covar_pop(c, "score") / F.nullif(F.when(spread > 1e-12, spread) * F.stddev_pop("score"), F.lit(0.0))
 
     return matches.agg(*[corr(c).alias(f"corr_{c[2:]}") for c in COMPONENTS])
 

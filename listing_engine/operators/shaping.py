@@ -120,7 +120,7 @@ def map_advertiser(name: Column) -> Column:
     return F.coalesce(table[name], name)
 
 
-def project_source(df: DataFrame, source: str) -> DataFrame:
+def project_source(df: DataFrame, source: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """P3 + P4: the unified columns of one source; source c has a fixed
     advertiser. Expects the zone as `zona_std` and fecha_inclusion."""
     renames = {"precio_eur": "precio", "url": "link_inmueble", "superficie_construida_m2": "metros_cuadrados", "baños": "banos"}
@@ -137,7 +137,7 @@ def project_source(df: DataFrame, source: str) -> DataFrame:
         "tipo_de_operacion": F.col("tipo_de_operacion"),
         "fecha_inclusion": F.col("fecha_inclusion"),
     }
-    return df.select(*[c.alias(n) for n, c in picked.items()], F.lit(WEB[source]).alias("web"))
+    return df.select(*[c.alias(n) for n, c in picked.items()], F.lit(WEB[source]).alias("web"), *extra)
 
 
 def default_nulls(df: DataFrame, zone_name: Column | None = None) -> DataFrame:
