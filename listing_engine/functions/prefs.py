@@ -49,6 +49,11 @@ def _nfkc_table() -> tuple[str, str]:
 _NFKC = _nfkc_table()
 
 
+def let(value: Column, body) -> Column:
+    """Bind a value once for an expression that uses it several times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 # ------------------------------------------------------------------ numbers
 def operations(text: Column) -> Column:
     """Operations in order of appearance; a euro amount alone means a sale."""
@@ -136,17 +141,20 @@ def _is_all(c: Column) -> Column:
 
 
 def _without_all_tail(c: Column) -> Column:
-    inner = F.regexp_extract(c, r"\(([^)]*)\)\s*$", 1)
-    return F.when(_is_all(inner), F.rtrim(F.regexp_replace(c, r"\([^)]*\)\s*$", ""))).otherwise(c)
+    inner = lambda x: F.regexp_extract(x, r"\(([^)]*)\)\s*$", 1)
+    cut = lambda x: F.rtrim(F.regexp_replace(x, r"\([^)]*\)\s*$", ""))
+    return let(c, lambda x: F.when(_is_all(inner(x)), cut(x)).otherwise(x))
 
 
 def _slash_split(c: Column) -> Column:
     """struct(left, right) of 'X City / Province' where the pair starts inside
     the token; NULL otherwise."""
-    at = F.regexp_instr(c, F.lit(SLASH_TAIL))
-    left = clean_location(F.substring(c, F.lit(1), at - 1))
-    right = clean_location(F.substring(c, at, F.length(c)))
-    return F.when(at > 1, F.struct(left.alias("left"), right.alias("right")))
+    def halves(at: Column) -> Column:
+        left = clean_location(F.substring(c, F.lit(1), at - 1))
+        right = clean_location(F.substring(c, at, F.length(c)))
+        return F.when(at > 1, F.struct(left.alias("left"), right.alias("right")))
+
+    return let(F.regexp_instr(c, F.lit(SLASH_TAIL)), halves)
 
 
 def _filled(a: Column) -> Column:
@@ -154,38 +162,47 @@ def _filled(a: Column) -> Column:
 
 
 def _split_tail(c: Column) -> Column:
-    pair = _slash_split(c)
-    return F.when(pair.isNotNull(), _filled(F.array(pair["left"], pair["right"]))).otherwise(F.array(c))
+    return let(
+        _slash_split(c),
+        lambda p: F.when(p.isNotNull(), _filled(F.array(p["left"], p["right"]))).otherwise(F.array(c)),
+    )
 
 
 def _drop_tail_while(parts: Column, test) -> Column:
     """Remove the trailing elements for which the test holds."""
-    other = F.array_position(F.transform(F.reverse(parts), lambda p: test(p)), F.lit(False))
-    return F.when(other > 0, F.slice(parts, F.lit(1), (F.size(parts) - other + 1).cast("int"))).otherwise(
-        F.array().cast("array<string>")
+    return let(
+        F.array_position(F.transform(F.reverse(parts), lambda p: test(p)), F.lit(False)),
+        lambda other: F.when(
+            other > 0, F.slice(parts, F.lit(1), (F.size(parts) - other + 1).cast("int"))
+        ).otherwise(F.array().cast("array<string>")),
     )
 
 
-def _segment_locations(seg: Column) -> Column:
+def _candidates(parts: Column) -> Column:
     """Candidates of one 'en ...' segment: with commas one fused token
     'X (City / Province)', without commas the token and its slash tail."""
     none = F.array().cast("array<string>")
-    parts = F.transform(F.split(F.trim(seg), r"\s*[,，]\s*"), lambda p: F.trim(p))
-    parts = _drop_tail_while(parts, lambda p: p.rlike(ANY + POLYGON))
-    parts = _drop_tail_while(parts, _is_all)
-    left = _without_all_tail(clean_location(F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), " ")))
-    right = _without_all_tail(clean_location(F.element_at(parts, -1)))
     has = lambda c: F.length(c) > 0
-    fused = (
-        F.when(has(left) & has(right) & ~_is_all(right), F.array(F.concat(left, F.lit(" ("), right, F.lit(")"))))
-        .when(has(left) & ~_is_all(left), F.array(left))
-        .when(has(right) & ~_is_all(right), F.array(right))
-        .otherwise(none)
+    both = F.struct(
+        _without_all_tail(clean_location(F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), " "))).alias("left"),
+        _without_all_tail(clean_location(F.element_at(parts, -1))).alias("right"),
     )
-    single = _without_all_tail(clean_location(F.get(parts, F.lit(0))))
-    alone = F.when(has(single), F.filter(_split_tail(single), lambda p: has(p) & ~_is_all(p))).otherwise(none)
-    return F.when(has(F.trim(seg)) & (F.size(parts) >= 2), fused).when(
-        has(F.trim(seg)) & (F.size(parts) == 1), alone
+
+    def fuse(p: Column) -> Column:
+        left, right = p["left"], p["right"]
+        good_left, good_right = has(left) & ~_is_all(left), has(right) & ~_is_all(right)
+        return (
+            F.when(has(left) & good_right, F.array(F.concat(left, F.lit(" ("), right, F.lit(")"))))
+            .when(good_left, F.array(left))
+            .when(good_right, F.array(right))
+            .otherwise(none)
+        )
+
+    def alone(single: Column) -> Column:
+        return F.when(has(single), F.filter(_split_tail(single), lambda p: has(p) & ~_is_all(p))).otherwise(none)
+
+    return F.when(F.size(parts) >= 2, let(both, fuse)).when(
+        F.size(parts) == 1, let(_without_all_tail(clean_location(F.get(parts, F.lit(0)))), alone)
     ).otherwise(none)
 
 
@@ -194,14 +211,15 @@ def distinct_by(a: Column, key) -> Column:
     start = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("keys"))
 
     def step(acc: Column, x: Column) -> Column:
-        k = key(x)
-        fresh = (F.length(k) > 0) & ~F.array_contains(acc["keys"], k)
-        return F.when(
-            fresh,
-            F.struct(
-                F.concat(acc["out"], F.array(x)).alias("out"), F.concat(acc["keys"], F.array(k)).alias("keys")
-            ),
-        ).otherwise(acc)
+        return let(
+            key(x),
+            lambda k: F.when(
+                (F.length(k) > 0) & ~F.array_contains(acc["keys"], k),
+                F.struct(
+                    F.concat(acc["out"], F.array(x)).alias("out"), F.concat(acc["keys"], F.array(k)).alias("keys")
+                ),
+            ).otherwise(acc),
+        )
 
     return F.aggregate(a, start, step, lambda acc: acc["out"])
 
@@ -209,49 +227,61 @@ def distinct_by(a: Column, key) -> Column:
 def locations(text: Column) -> Column:
     """Ordered, distinct location candidates of a preference text."""
     segments = F.split(text, WORD + r"\ben\b")
-    candidates = F.flatten(F.transform(F.slice(segments, F.lit(2), F.size(segments)), _segment_locations))
-    kept = F.flatten(F.transform(drop_noise_locations(candidates), _split_tail))
-    return distinct_by(kept, normalize_term)
+    segments = _filled(F.transform(F.slice(segments, F.lit(2), F.size(segments)), lambda x: F.trim(x)))
+    parts = F.transform(segments, lambda x: F.transform(F.split(x, r"\s*[,，]\s*"), lambda p: F.trim(p)))
+    parts = F.transform(parts, lambda p: _drop_tail_while(p, lambda x: x.rlike(ANY + POLYGON)))
+    parts = F.transform(parts, lambda p: _drop_tail_while(p, _is_all))
+    kept = drop_noise_locations(F.flatten(F.transform(parts, _candidates)))
+    return distinct_by(F.flatten(F.transform(kept, _split_tail)), normalize_term)
 
 
 def _pair(c: Column) -> Column:
     return c.rlike(rf"{ANY}^\s*({CITY_PAIR})\s*$")
 
 
+def _tidy(t: Column) -> Column:
+    s = F.regexp_replace(squeeze(F.regexp_replace(t, r"\s*/\s*", " / ")), r"^[ ,]+|[ ,]+$", "")
+
+    def with_pair(x: Column) -> Column:
+        whole = lambda p: F.coalesce((F.length(p["left"]) > 0) & (F.length(p["right"]) > 0), F.lit(False))
+        fused = let(
+            _slash_split(x),
+            lambda p: F.when(whole(p), F.concat(p["left"], F.lit(" ("), p["right"], F.lit(")"))).otherwise(x),
+        )
+        return F.when(x.contains("("), x).otherwise(fused)
+
+    return let(s, with_pair)
+
+
+def _suffix_city(out: Column) -> Column:
+    """A bare city next to bare quarters becomes their suffix."""
+    def apply(city: Column) -> Column:
+        return F.transform(
+            out,
+            lambda s: F.when(~s.contains("(") & ~_pair(s), F.concat(s, F.lit(" ("), city, F.lit(")"))).otherwise(s),
+        )
+
+    city = F.trim(F.get(F.filter(out, _pair), F.lit(0)))
+    return let(city, lambda c: F.when((F.size(out) >= 2) & c.isNotNull(), apply(c)).otherwise(out))
+
+
+def _drop_common_suffix(out: Column) -> Column:
+    """A city suffix that no other city contradicts says nothing and goes."""
+    own = rf"{ANY}\s*\(({CITY_PAIR})\)\s*$"
+    foreign = lambda s: let(
+        F.regexp_extract(s, r"\(([^)]+)\)\s*$", 1), lambda inner: (F.length(inner) > 0) & ~_pair(inner)
+    )
+    common = (F.size(out) >= 2) & F.exists(out, lambda s: s.rlike(own)) & ~F.exists(out, foreign)
+    return F.when(common, F.transform(out, lambda s: F.trim(F.regexp_replace(s, own, "")))).otherwise(out)
+
+
 def harmonize_city(tokens: Column) -> Column:
     """One spelling for quarters of the home city over the token list."""
-    def tidy(t: Column) -> Column:
-        s = _without_all_tail(F.trim(t))
-        s = squeeze(F.regexp_replace(s, r"\s*/\s*", " / "))
-        s = F.regexp_replace(s, r"^[ ,]+|[ ,]+$", "")
-        pair = _slash_split(s)
-        whole = (F.length(pair["left"]) > 0) & (F.length(pair["right"]) > 0)
-        return F.when(
-            ~s.contains("(") & whole, F.concat(pair["left"], F.lit(" ("), pair["right"], F.lit(")"))
-        ).otherwise(s)
-
-    real = F.filter(tokens, lambda t: (F.length(_without_all_tail(F.trim(t))) > 0) & ~_is_all(_without_all_tail(F.trim(t))))
-    out = F.transform(real, tidy)
-    several = F.size(out) >= 2
-
-    # 1) a bare city next to bare quarters becomes their suffix
-    cities = F.filter(out, _pair)
-    city = F.trim(F.get(cities, F.lit(0)))
-    suffixed = F.transform(
-        out, lambda s: F.when(~s.contains("(") & ~_pair(s), F.concat(s, F.lit(" ("), city, F.lit(")"))).otherwise(s)
-    )
-    out1 = F.when(several & (F.size(cities) > 0), suffixed).otherwise(out)
-
-    # 2) a suffix common to all suffixed tokens says nothing and goes
-    own_suffix = rf"{ANY}\s*\(({CITY_PAIR})\)\s*$"
-    inner = lambda s: F.regexp_extract(s, r"\(([^)]+)\)\s*$", 1)
-    foreign = F.exists(out1, lambda s: (F.length(inner(s)) > 0) & ~_pair(inner(s)))
-    common = several & F.exists(out1, lambda s: s.rlike(own_suffix)) & ~foreign
-    out2 = F.when(common, F.transform(out1, lambda s: F.trim(F.regexp_replace(s, own_suffix, "")))).otherwise(out1)
-
-    # 3) the bare city goes when anything else is there
-    out3 = F.when(F.size(out2) > 1, F.filter(out2, lambda s: ~_pair(s))).otherwise(out2)
-    return distinct_by(out3, lambda s: F.lower(squeeze(s)))
+    cut = F.transform(tokens, lambda t: _without_all_tail(F.trim(t)))
+    out = F.transform(F.filter(cut, lambda t: (F.length(t) > 0) & ~_is_all(t)), _tidy)
+    out = let(let(out, _suffix_city), _drop_common_suffix)
+    out = let(out, lambda o: F.when(F.size(o) > 1, F.filter(o, lambda s: ~_pair(s))).otherwise(o))
+    return distinct_by(out, lambda s: F.lower(squeeze(s)))
 
 
 # ------------------------------------------------------------------ types
