@@ -59,7 +59,7 @@ def unify_listings(a: DataFrame, b: DataFrame, c: DataFrame, seq: str = "seq") -
         for rank, (s, df) in enumerate(ready.items())
     ]
     union = union_all(*parts)
-    ties = ("precio", "metros_cuadrados", "habitaciones", "banos", "anunciante")
+    ties = ("precio", "metros_cuadrados", "habitaciones", "banos", "anunciante", "fecha_inclusion", "zona.zona")
     first = keep_first_link(union, "source_rank", "seq", *ties).drop("source_rank", "seq")
     return H.default_nulls(first, F.col("zona.zona"))
 
