@@ -7,7 +7,7 @@ plain arithmetic inside one codegen stage.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,20 +26,23 @@ def clamp01(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0))))
 
 
-def _unit(c: Column) -> Column:
-    """clamp01 where the value is known to be a number."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
-
-
 def binary_equality(a: Column, b: Column) -> Column:
     """1 when equal, 0 otherwise; an empty right side accepts anything."""
     empty = lambda c: F.coalesce(F.length(c), F.lit(0)) == 0
     return F.when(empty(b), 1.0).when(empty(a), 0.0).when(a == b, 1.0).otherwise(0.0)
 
 
+#: fields of a component's client factors
+FACTORS = ("lo", "hi", "pad", "band", "mid", "center_band", "center_penalty", "ceiling", "missing", "bounded", "w")
+
+
 @dataclass(frozen=True)
 class Bounds:
-    """Ordered client bounds of one component and what derives from them."""
+    """Ordered bounds of one component and what derives from them.
+
+    Open ends are infinite and nothing is NULL, which keeps the per-pair
+    arithmetic free of null checks and the generated code small.
+    """
 
     lo: Column
     hi: Column
@@ -47,48 +50,53 @@ class Bounds:
     band: Column
     mid: Column
     center_band: Column
+    center_penalty: Column
+    ceiling: Column
+    missing: Column
+    bounded: Column
+    w: Column
 
     @staticmethod
-    def of(vmin: Column, vmax: Column, softness: float) -> "Bounds":
+    def of(vmin: Column, vmax: Column, softness: float, weight: float = 1.0) -> "Bounds":
         vmin, vmax = vmin.cast("double"), vmax.cast("double")
-        swapped = vmax < vmin
-        lo = F.when(swapped, vmax).otherwise(vmin)
-        hi = F.when(swapped, vmin).otherwise(vmax)
-        two = lo.isNotNull() & hi.isNotNull()
-        width = hi - lo
-        base = F.when(two & (width > 0), width).otherwise(F.lit(1.0))
-        span = F.when(two, F.greatest(width, F.lit(TINY))).otherwise(F.lit(1.0))
+        inf = F.lit(float("inf"))
+        two = vmin.isNotNull() & vmax.isNotNull()
+        bounded = vmin.isNotNull() | vmax.isNotNull()
+        lo = F.coalesce(F.when(two, F.least(vmin, vmax)).otherwise(vmin), -inf)
+        hi = F.coalesce(F.when(two, F.greatest(vmin, vmax)).otherwise(vmax), inf)
+        width = F.when(two, hi - lo).otherwise(1.0)
+        base = F.when(width > 0, width).otherwise(1.0)
         return Bounds(
             lo=lo,
             hi=hi,
             pad=F.greatest(F.lit(softness) * base, F.lit(TINY)),
-            band=F.greatest(F.lit(EDGE_REL) * span, F.lit(TINY)),
-            mid=F.lit(0.5) * (lo + hi),
-            center_band=F.when(two, F.greatest(F.lit(CENTER_REL) * span, F.lit(TINY))),
+            band=F.greatest(F.lit(EDGE_REL) * F.greatest(width, F.lit(TINY)), F.lit(TINY)),
+            mid=F.when(two, F.lit(0.5) * (lo + hi)).otherwise(inf),
+            center_band=F.greatest(F.lit(CENTER_REL) * F.greatest(width, F.lit(TINY)), F.lit(TINY)),
+            center_penalty=F.when(two, CENTER_PENALTY).when(bounded, 0.5 * CENTER_PENALTY).otherwise(0.0),
+            ceiling=F.when(bounded, RANGE_CEILING).otherwise(1.0),
+            missing=F.when(bounded, 0.0).otherwise(1.0),
+            bounded=bounded,
+            w=F.coalesce(F.lit(weight) * constraint_multiplier(vmin, vmax), F.lit(0.0)),
         )
 
-    def named(self, name: str) -> list[Column]:
-        return [getattr(self, f).alias(f"{name}__{f}") for f in self.__dataclass_fields__]
+    def packed(self) -> Column:
+        return F.struct(*[getattr(self, f).alias(f) for f in FACTORS])
 
     @staticmethod
     def stored(name: str) -> "Bounds":
-        return Bounds(**{f: F.col(f"{name}__{f}") for f in Bounds.__dataclass_fields__})
+        return Bounds(**{f: F.col(f"{name}__f")[f] for f in FACTORS})
 
     def score(self, value: Column) -> Column:
-        v = value.cast("double")
-        lo, hi = self.lo, self.hi
-        room = F.when(lo.isNull(), hi - v).when(hi.isNull(), v - lo).otherwise(F.least(v - lo, hi - v))
-        edge = F.lit(1.0) - F.lit(EDGE_PENALTY) * (F.lit(1.0) - _unit(room / self.band))
-        near = _unit(F.lit(1.0) - F.abs(v - self.mid) / self.center_band)
-        center = F.when(
-            self.center_band.isNull(), F.lit(1.0 - 0.5 * CENTER_PENALTY)
-        ).otherwise(F.lit(1.0) - F.lit(CENTER_PENALTY) * (F.lit(1.0) - near))
+        v = F.coalesce(value.cast("double"), F.lit(0.0))
+        out = F.greatest(self.lo - v, v - self.hi)  # > 0 outside; its negative is the room inside
+        edge = F.lit(1.0) - F.lit(EDGE_PENALTY) * (F.lit(1.0) - F.least(F.lit(1.0), -out / self.band))
+        near = F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(v - self.mid) / self.center_band)
+        center = F.lit(1.0) - self.center_penalty * (F.lit(1.0) - near)
         return (
-            F.when(lo.isNull() & hi.isNull(), 1.0)
-            .when(v.isNull() | F.isnan(v), 0.0)
-            .when(v < lo, _unit(F.lit(1.0) - (lo - v) / self.pad))
-            .when(v > hi, _unit(F.lit(1.0) - (v - hi) / self.pad))
-            .otherwise(F.least(_unit(edge * center), F.lit(RANGE_CEILING)))
+            F.when(value.isNull(), self.missing)
+            .when(out > 0, F.greatest(F.lit(0.0), F.lit(1.0) - out / self.pad))
+            .otherwise(F.least(edge * center, self.ceiling))
         )
 
 
@@ -124,22 +132,20 @@ def jitter(cid: Column, pid: Column, amplitude: float, kind: str = "xxhash64") -
 
 
 def with_client_factors(clients: DataFrame, listings: DataFrame, cfg: MatchConfig) -> DataFrame:
-    """Client columns the scorer needs: ordered bounds and effective weights.
+    """Add one struct per component with the factors the scorer needs.
 
     Under the "observed" policy a component whose column is empty on either
     side weighs nothing; that is settled here, on the small side."""
-    if cfg.null_policy == "observed":
+    observed = cfg.null_policy == "observed"
+    if observed:
         clients = clients.withColumn("present__", column_presence(clients, listings))
-    cols: list[Column] = []
+    cols: dict[str, Column] = {}
     for name, (_, lo, hi) in RANGES.items():
-        lo_c, hi_c = F.col(lo), F.col(hi)
-        cols += Bounds.of(lo_c, hi_c, cfg.softness[name]).named(name)
-        w = F.lit(cfg.weights[name]) * constraint_multiplier(lo_c, hi_c)
-        if cfg.null_policy == "observed":
-            w = F.when(F.col("present__")[name], w).otherwise(0.0)
-        cols.append(w.alias(f"{name}__w"))
-    out = clients.select("*", *cols)
-    return out.drop("present__") if cfg.null_policy == "observed" else out
+        b = Bounds.of(F.col(lo), F.col(hi), cfg.softness[name], cfg.weights[name])
+        if observed:
+            b = replace(b, w=F.when(F.col("present__")[name], b.w).otherwise(0.0))
+        cols[f"{name}__f"] = b.packed()
+    return clients.withColumns(cols).drop("present__")
 
 
 def column_presence(clients: DataFrame, listings: DataFrame) -> Column:
@@ -162,25 +168,23 @@ def component_columns(cfg: MatchConfig) -> dict[str, Column]:
         f"s_{name}": F.least(Bounds.stored(name).score(F.col(value)), F.lit(cfg.caps[name]))
         for name, (value, _, _) in RANGES.items()
     }
-    has_ops = F.size("operation_tokens") > 0
-    op = F.col("operacion")
-    matched = F.when(has_ops & (F.length(op) > 0), F.array_contains("operation_tokens", op)).otherwise(~has_ops)
-    out["s_operation"] = F.when(matched, F.least(F.lit(1.0), F.lit(cfg.caps["operation"]))).otherwise(0.0)
+    fits = F.coalesce(F.array_contains("operation_tokens", F.col("operacion")), F.lit(False))
+    fits = fits | (F.size("operation_tokens") == 0)
+    out["s_operation"] = F.when(fits, F.lit(min(1.0, cfg.caps["operation"]))).otherwise(0.0)
     return out
 
 
 def effective_weights(cfg: MatchConfig) -> dict[str, Column]:
     """Weight of each component for this pair, 0 where it takes no part."""
     out: dict[str, Column] = {}
-    for name, (value, lo, hi) in RANGES.items():
+    for name, (value, _, _) in RANGES.items():
         if cfg.weights[name] <= 0:
             continue
-        on = F.lit(True)
-        if cfg.null_policy == "declared":
-            on = (F.col(lo).isNotNull() | F.col(hi).isNotNull()) & F.col(value).isNotNull()
-        out[name] = F.when(on, F.col(f"{name}__w")).otherwise(0.0)
+        b = Bounds.stored(name)
+        on = b.bounded & F.col(value).isNotNull()
+        out[name] = F.when(on, b.w).otherwise(0.0) if cfg.null_policy == "declared" else b.w
     if cfg.weights["operation"] > 0:
-        on = (F.length("operacion") > 0) & (F.size("operation_tokens") > 0)
+        on = F.coalesce(F.length("operacion") > 0, F.lit(False)) & (F.size("operation_tokens") > 0)
         out["operation"] = F.when(on, F.lit(cfg.weights["operation"])).otherwise(0.0)
     return out
 
@@ -228,7 +232,8 @@ def with_scores(
     else:
         moved = F.col("score__raw")
     score = F.when(F.col("score__raw").isNull(), F.lit(cfg.neutral_score)).otherwise(clamp01(moved))
-    staged = staged.withColumn("e_total", total).withColumn("score__raw", raw)
+    spent = [f"{n}__f" for n in RANGES]
+    staged = staged.drop(*spent).withColumn("e_total", total).withColumn("score__raw", raw)
     staged = _computed(staged, {"score": _rounded(score, 6, cfg)})
     rounded = {c: _rounded(F.col(c), 4, cfg) for c in staged.columns if c.startswith("s_") and c != "score"}
     return staged.withColumns(rounded).drop("score__raw", "e_total", *[f"e_{n}" for n in weights])

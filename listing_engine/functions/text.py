@@ -78,8 +78,9 @@ def normalize_agency(c: Column) -> Column:
 
 # ------------------------------------------------------------------ numbers
 def to_float(c: Column) -> Column:
-    """Decimal comma accepted, NULL on failure."""
-    return F.replace(F.trim(c.cast("string")), F.lit(","), F.lit(".")).try_cast("double")
+    """Decimal comma accepted, NULL on failure and for NaN."""
+    number = F.replace(F.trim(c.cast("string")), F.lit(","), F.lit(".")).try_cast("double")
+    return F.when(~F.isnan(number), number)
 
 
 def to_int(c: Column) -> Column:

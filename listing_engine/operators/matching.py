@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from listing_engine.config import RANGES, MatchConfig
 from listing_engine.functions.scoring import Bounds
-from listing_engine.operators.filters import WILDCARD_TOKENS, hard_filter, location_match
+from listing_engine.operators.filters import WILDCARD_TOKENS, reason_flags
 from listing_engine.operators.skew import SALT, split_hot_keys
 
 # Join-only tokens: every listing, every listing with a location.
@@ -42,17 +42,19 @@ def expand_locations(clients: DataFrame, hierarchy: DataFrame, client_id: str =
 
 
 def price_band(price: Column, ratio: float) -> Column:
-    """Geometric band of a price; monotone, so a closed range of prices always
-    maps into the closed range of its ends' bands."""
-    raw = F.floor(F.ln(F.greatest(price, F.lit(1.0))) / F.lit(math.log(ratio)))
-    return F.when(price.isNotNull(), F.least(raw, F.lit(TOP_BAND)).cast("int"))
+    """Geometric band of a price, NULL for NULL; monotone, so a closed range of
+    prices always maps into the closed range of its ends' bands."""
+    held = F.least(F.greatest(price, F.lit(1.0)), F.lit(ratio**TOP_BAND))
+    return F.when(price.isNotNull(), F.floor(F.ln(held) / F.lit(math.log(ratio))).cast("int"))
 
 
 def _search_range(cfg: MatchConfig, prune: bool) -> tuple[Column, Column]:
-    """Prices a client can be paired with: hard limits, narrowed to where the
-    price score is positive when a zero there rules a match out."""
-    low = F.col("price_min_eur") * F.lit(cfg.price_min_factor)
-    high = F.col("price_max_eur") * F.lit(cfg.price_max_factor)
+    """Prices a client can be paired with, infinite where open: hard limits,
+    narrowed to where the price score is positive when a zero there rules a
+    match out."""
+    inf = F.lit(float("inf"))
+    low = F.coalesce(F.col("price_min_eur") * F.lit(cfg.price_min_factor), -inf)
+    high = F.coalesce(F.col("price_max_eur") * F.lit(cfg.price_max_factor), inf)
     if prune and cfg.prunable("price"):
         b = Bounds.stored("price")
         slack = b.pad * F.lit(1.0 + 1e-9) + F.lit(1e-9)
@@ -60,17 +62,28 @@ def _search_range(cfg: MatchConfig, prune: bool) -> tuple[Column, Column]:
     return low, high
 
 
-def positive_components(cfg: MatchConfig) -> Column:
-    """Pairs that may still reach min_score: no decisive component is zero."""
-    keep = F.lit(True)
-    for name, (value, _, _) in RANGES.items():
+def reach_columns(cfg: MatchConfig) -> dict[str, Column]:
+    """Per decisive component, the closed range of values whose score is
+    positive (infinite ends where unbounded) and whether a value is needed."""
+    out: dict[str, Column] = {}
+    for name in RANGES:
         if not cfg.prunable(name):
             continue
-        b, v = Bounds.stored(name), F.col(value).cast("double")
+        b = Bounds.stored(name)
         slack = b.pad * F.lit(1.0 + 1e-9) + F.lit(1e-9)
-        inside = F.coalesce(v >= b.lo - slack, F.lit(True)) & F.coalesce(v <= b.hi + slack, F.lit(True))
-        missing = (b.lo.isNotNull() | b.hi.isNotNull()) & v.isNull()
-        keep = keep & inside & (~missing if cfg.null_policy == "observed" else F.lit(True))
+        out[f"{name}__from"], out[f"{name}__to"] = b.lo - slack, b.hi + slack
+        out[f"{name}__need"] = b.bounded if cfg.null_policy == "observed" else F.lit(False)
+    return out
+
+
+def within_reach(cfg: MatchConfig) -> Column:
+    """Pairs that may still reach min_score: no decisive component is zero."""
+    keep = F.lit(True)
+    for name, (value, _, _) in RANGES.items():
+        if cfg.prunable(name):
+            v = F.col(value)
+            inside = (v >= F.col(f"{name}__from")) & (v <= F.col(f"{name}__to"))
+            keep = keep & F.coalesce(inside, ~F.col(f"{name}__need"))
     return keep
 
 
@@ -103,10 +116,7 @@ def client_side(clients: DataFrame, cfg: MatchConfig, prune: bool) -> DataFrame:
         F.array_intersect("operation_tokens", common)
     )
     low, high = _search_range(cfg, prune)
-    bands = F.sequence(
-        F.coalesce(price_band(low, cfg.band_ratio), F.lit(0)),
-        F.coalesce(price_band(high, cfg.band_ratio), F.lit(TOP_BAND)),
-    )
+    bands = F.sequence(price_band(low, cfg.band_ratio), price_band(high, cfg.band_ratio))
     # an unpriced listing is never rejected on price, so everyone also looks there,
     # unless a missing price scores zero for a client who states a price bound
     unpriced = F.array(F.lit(-1))
@@ -115,7 +125,7 @@ def client_side(clients: DataFrame, cfg: MatchConfig, prune: bool) -> DataFrame:
         unpriced = F.when(bounded, F.array().cast("array<int>")).otherwise(unpriced)
     # swapped bounds can leave no price that satisfies both
     empty = F.coalesce(low > high, F.lit(False))
-    bands = F.when(empty, F.array().cast("array<int>")).otherwise(bands)
+    bands = F.when(~empty, bands).otherwise(F.array().cast("array<int>"))
     return (
         clients.withColumns({"low__": low, "high__": high})
         .withColumn("op__", F.explode(F.array_union(ops, F.array(F.lit(RARE)))))
@@ -124,6 +134,24 @@ def client_side(clients: DataFrame, cfg: MatchConfig, prune: bool) -> DataFrame:
     )
 
 
+LISTING_CORE = ("property_id", "operacion", "zona_tokens", *[v for v, _, _ in RANGES.values()])
+CLIENT_CORE = (
+    "client_id operation_tokens location_tokens specific_tokens price_min_eur price_max_eur rooms_min bath_min"
+).split()
+
+
+def _packed(df: DataFrame, core: tuple[str, ...], name: str) -> DataFrame:
+    rest = [c for c in df.columns if c not in core]
+    kept = [c for c in df.columns if c in core]
+    return df.select(*kept, F.struct(F.lit(True).alias("packed__"), *rest).alias(name))
+
+
+def unpack_pairs(pairs: DataFrame) -> DataFrame:
+    """All columns of both sides again."""
+    flat = [c for c in pairs.columns if c not in ("listing__", "client__")]
+    return pairs.select(*flat, "listing__.*", "client__.*").drop("packed__")
+
+
 def candidate_pairs(
     listings: DataFrame, clients: DataFrame, cfg: MatchConfig, prune: bool = True, split_hot: bool = True
 ) -> DataFrame:
@@ -134,30 +162,33 @@ def candidate_pairs(
     sides share, so no distinct over the pairs is needed. `clients` carry the
     columns of `with_client_factors` and `expand_locations`. With `prune`, pairs
     that provably stay below min_score are not produced.
+
+    What only the output needs travels packed in `listing__` and `client__`
+    (see `unpack_pairs`); narrow rows keep the generated code within what the
+    JVM compiles.
     """
     keys = ["token__", "op__", "band__"]
-    left, right = listing_side(listings, cfg), client_side(clients, cfg, prune)
+    if prune:
+        clients = clients.withColumns(reach_columns(cfg))
+    left = listing_side(_packed(listings, LISTING_CORE, "listing__"), cfg)
+    core = (*CLIENT_CORE, *[c for c in clients.columns if c.endswith(("__f", "__from", "__to", "__need"))])
+    right = client_side(_packed(clients, core, "client__"), cfg, prune)
     on = list(keys)
     if split_hot:
         left, right = split_hot_keys(left, right, keys, F.col("property_id"), cfg.group_rows)
         on.append(SALT)
-    price = F.col("precio")
-    shared = F.array_intersect("specific_tokens", "zona_tokens")
-    pairs = left.join(right, on).filter(
-        F.coalesce(price >= F.col("low__"), F.lit(True))
-        & F.coalesce(price <= F.col("high__"), F.lit(True))
-        & (F.col("token__").isin(ANYWHERE, LOCATED) | (F.get(shared, F.lit(0)) == F.col("token__")))
-    )
-    located = F.lit(True)  # guaranteed by the join keys
-    pairs = pairs.filter(hard_filter(cfg, located))
+    # cheap tests first; the range limits cover the hard price filter
+    price, flags = F.col("precio"), reason_flags(cfg, F.lit(True))
+    passing = F.coalesce((price >= F.col("low__")) & (price <= F.col("high__")), F.lit(True))
     if prune:
-        pairs = pairs.filter(positive_components(cfg))
-    return pairs.drop(*on, "low__", "high__")
-
-
-def brute_location(clients_tokens: Column = None) -> Column:
-    """Location test of a pair whose sides were joined by other keys."""
-    return location_match(F.col("zona_tokens"), F.col("location_tokens"), F.col("specific_tokens"))
+        passing = passing & within_reach(cfg)
+    passing = passing & ~flags["rooms_below_min"] & ~flags["baths_below_min"]
+    passing = passing & ((F.col("op__") != RARE) | ~flags["operation_mismatch"])
+    single = (F.size("zona_tokens") == 1) | (F.size("specific_tokens") == 1)
+    shared = F.array_intersect("specific_tokens", "zona_tokens")
+    first = F.col("token__").isin(ANYWHERE, LOCATED) | single | (F.get(shared, F.lit(0)) == F.col("token__"))
+    extra = [c for c in right.columns if c.endswith(("__from", "__to", "__need"))] + ["low__", "high__"]
+    return left.join(right, on).filter(passing & first).drop(*on, *extra)
 
 
 def top_per_client(scored: DataFrame, cfg: MatchConfig, tiebreak: str = "property_id") -> DataFrame:

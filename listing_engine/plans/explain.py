@@ -37,7 +37,6 @@ from listing_engine.session import cut_lineage
 
 BELOW_THRESHOLD, NO_INVENTORY = "score_below_threshold", "sin_inventario"
 VALUES = [v for v, _, _ in RANGES.values()]
-TOP = 60
 
 
 def reason_label(code: Column, cfg: MatchConfig) -> Column:
@@ -66,7 +65,8 @@ def _best(scored: DataFrame) -> DataFrame:
 def _outside(name: str, missing: Column) -> Column:
     """A value that scores 0 for this client; NULL stays NULL."""
     b = Bounds.stored(name)
-    far = F.coalesce(b.hi + b.pad * 2, b.lo - b.pad * 2, F.lit(0.0))
+    above, below = b.hi + b.pad * 2, b.lo - b.pad * 2
+    far = F.when(b.hi < float("inf"), above).when(b.lo > float("-inf"), below).otherwise(0.0)
     return F.when(~missing, far)
 
 
@@ -75,9 +75,7 @@ def _banded(listings: DataFrame, clients: DataFrame, name: str, cfg: MatchConfig
     value, lo, hi = RANGES[name]
     b = Bounds.stored(name)
     low, high = b.lo - b.pad, b.hi + b.pad
-    bands = F.sequence(
-        F.coalesce(price_band(low, cfg.band_ratio), F.lit(0)), F.coalesce(price_band(high, cfg.band_ratio), F.lit(TOP))
-    )
+    bands = F.sequence(price_band(low, cfg.band_ratio), price_band(high, cfg.band_ratio))
     side = (
         clients.filter(F.col(lo).isNotNull() | F.col(hi).isNotNull())
         .withColumns({"low__": low, "high__": high})
@@ -85,7 +83,7 @@ def _banded(listings: DataFrame, clients: DataFrame, name: str, cfg: MatchConfig
     )
     keyed = listings.filter(F.col(value).isNotNull()).withColumn("band__", price_band(F.col(value), cfg.band_ratio))
     left, right = split_hot_keys(keyed, side, ["band__"], F.col("first_id"), cfg.group_rows)
-    inside = F.coalesce(F.col(value) >= F.col("low__"), F.lit(True)) & F.coalesce(F.col(value) <= F.col("high__"), F.lit(True))
+    inside = (F.col(value) >= F.col("low__")) & (F.col(value) <= F.col("high__"))
     return left.join(right, ["band__", SALT]).filter(inside).drop("band__", SALT, "low__", "high__")
 
 

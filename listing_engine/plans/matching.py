@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from listing_engine.config import MatchConfig
 from listing_engine.functions.scoring import with_client_factors, with_scores
 from listing_engine.operators.filters import audit_flags, min_score
-from listing_engine.operators.matching import candidate_pairs, expand_locations, top_per_client
+from listing_engine.operators.matching import candidate_pairs, expand_locations, top_per_client, unpack_pairs
 
 MATCH_COLUMNS = (
     "client_id client_name property_id link_inmueble web anunciante zona operacion tipo "
@@ -25,8 +25,8 @@ def prepare_clients(clients: DataFrame, listings: DataFrame, hierarchy: DataFram
 def scored_pairs(
     listings: DataFrame, clients: DataFrame, hierarchy: DataFrame, cfg: MatchConfig, prune: bool = True
 ) -> DataFrame:
-    """Every pair that passes the hard filters, scored. With `prune`, pairs
-    that cannot reach min_score are left out."""
+    """Every pair that passes the hard filters, scored, its display columns
+    still packed. With `prune`, pairs that cannot reach min_score are left out."""
     ready = prepare_clients(clients, listings, hierarchy, cfg)
     return with_scores(candidate_pairs(listings, ready, cfg, prune), cfg)
 
@@ -39,5 +39,5 @@ def match_all(listings: DataFrame, clients: DataFrame, hierarchy: DataFrame, cfg
     operation_tokens, location_tokens, type_tokens and the range bounds.
     """
     scored = min_score(scored_pairs(listings, clients, hierarchy, cfg), cfg)
-    ranked = top_per_client(scored.withColumns(audit_flags(F.lit(True))), cfg)
-    return ranked.withColumnRenamed("nombre", "client_name").select(*MATCH_COLUMNS)
+    best = unpack_pairs(top_per_client(scored, cfg)).withColumns(audit_flags(F.lit(True)))
+    return best.withColumnRenamed("nombre", "client_name").select(*MATCH_COLUMNS)
