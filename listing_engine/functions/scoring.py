@@ -198,7 +198,8 @@ def combined_score(cfg: MatchConfig, names: list[str]) -> Column:
     share = sum(active[1:], active[0]) / F.lit(float(max(1, len(names))))
     coverage = F.greatest(F.lit(cfg.coverage_min), F.least(F.lit(1.0), share))
     base = F.exp(sum(weighted[1:], weighted[0]) / total)
-    return F.least(F.pow(base * F.pow(coverage, F.lit(cfg.coverage_gamma)), F.lit(cfg.score_gamma)), F.lit(cfg.hard_cap))
+    raw = F.pow(base * F.pow(coverage, F.lit(cfg.coverage_gamma)), F.lit(cfg.score_gamma))
+    return F.when(F.col("e_total") > 0, F.least(raw, F.lit(cfg.hard_cap)))
 
 
 def _rounded(c: Column, digits: int, cfg: MatchConfig) -> Column:

@@ -29,6 +29,7 @@ from listing_engine.operators.filters import (
     WILDCARD_TOKENS,
     hard_filter_reasons,
     location_match,
+    min_score,
 )
 from listing_engine.operators.matching import candidate_pairs, price_band
 from listing_engine.operators.skew import SALT, split_hot_keys
@@ -183,13 +184,16 @@ def unmatched_status(
     listings: DataFrame, clients: DataFrame, hierarchy: DataFrame, cfg: MatchConfig, matches: DataFrame | None = None
 ) -> DataFrame:
     """The clients without a match, with their best passing pair if any.
-    Taken from `matches` where given, else from the pairs themselves."""
+
+    Who is matched comes from `matches`, else from the pruned pairs, which
+    leave out what cannot be a match anyway. Only the clients that remain are
+    paired without pruning.
+    """
     ready = prepare_clients(clients, listings, hierarchy, cfg)
-    best = cut_lineage(best_passing(listings, ready, cfg))
-    status = ready.join(best, "client_id", "left")
     if matches is None:
-        return status.filter(F.coalesce(F.col("ok_score") < cfg.min_score, F.lit(True)))
-    return status.join(matches.select("client_id"), "client_id", "left_anti")
+        matches = min_score(with_scores(candidate_pairs(listings, ready, cfg), cfg), cfg)
+    open_clients = cut_lineage(ready.join(matches.select("client_id").distinct(), "client_id", "left_anti"))
+    return cut_lineage(open_clients.join(best_passing(listings, open_clients, cfg), "client_id", "left"))
 
 
 def explain_unmatched(

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -12,6 +11,9 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # the matching plans are built from thousands of expressions; recording the
+    # Python call site of each one doubles the time to build them
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -26,14 +28,16 @@ def build_session(app: str = "listing_engine", master: str | None = None, **conf
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder, so a lost executor
-    never forces the whole plan to run again. Only where no folder is named by
-    the cluster may a caller set LISTING_ENGINE_CHECKPOINT_DIR (tests do)."""
+    """Keep an intermediate result that several branches of a plan read.
+
+    With a checkpoint folder named by the cluster (spark.checkpoint.dir) the
+    result is written there and its lineage ends. Without one it is persisted,
+    spilling to disk; lost blocks are computed again from the lineage.
+    """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    folder = folder or os.environ.get("LISTING_ENGINE_CHECKPOINT_DIR")
-    if not folder:
-        return df
+    if folder is None:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
