@@ -12,7 +12,7 @@ from listing_engine.plans.unify import standardize_zones
 from listing_engine.sources import files as L
 
 ZONES = {
-    "Muro": "Alcoi (Muro d Alcoi)",
+    "Muro": "Alcoi (Muro d'Alcoi)",
     "el cami": None,
     "norte": "San Vicente del Raspeig / Norte",
     "Ensanche, Alcoy (barri)": "Alcoi / Eixample (Barri)",
@@ -129,4 +129,5 @@ def test_facets_reach_the_scan(spark, tmp_path):
     spark.createDataFrame([(2, 1, 10.0, 50.0, "z", "ad", "Venta", "w")], "habitaciones int, banos int, precio double, metros_cuadrados double, zona string, anunciante string, tipo_de_operacion string, web string").write.parquet(str(tmp_path / "l"))
     df = filter_listings(spark.read.parquet(str(tmp_path / "l")), operations=["Venta"], price_min=5).select("precio")
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThanOrEqual(precio,5" in plan and "web" not in plan
+    assert "EqualTo(tipo_de_operacion,Venta)" in plan.split("PushedFilters")[1]
+    assert "ReadSchema: struct<precio:double,tipo_de_operacion" in plan and "web" not in plan
