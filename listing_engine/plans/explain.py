@@ -38,6 +38,7 @@ from listing_engine.session import cut_lineage
 
 BELOW_THRESHOLD, NO_INVENTORY = "score_below_threshold", "sin_inventario"
 VALUES = [v for v, _, _ in RANGES.values()]
+SLICES = 64
 
 
 def reason_label(code: Column, cfg: MatchConfig) -> Column:
@@ -102,10 +103,14 @@ def best_overall(listings: DataFrame, clients: DataFrame, cfg: MatchConfig) -> D
     sized = profile("operacion", "m2", "habitaciones", "banos", no_price)
     tier2 = score(_banded(sized, clients, "area", cfg).withColumn("precio", _outside("price", F.col("no_price"))))
 
-    # the rest differs only in small integers and the operation
-    few = profile("operacion", "habitaciones", "banos", no_price, no_area).withColumn("join__", F.lit(1))
+    # the rest differs only in small integers and the operation: a table of some
+    # hundred rows however many listings there are. It is repeated once per
+    # client slice, so the join spreads evenly over the tasks
+    few = profile("operacion", "habitaciones", "banos", no_price, no_area)
+    few = few.withColumn("slice__", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    sliced = clients.withColumn("slice__", F.pmod(F.xxhash64("client_id"), F.lit(SLICES)).cast("int"))
     tier3 = score(
-        few.join(clients.withColumn("join__", F.lit(1)), "join__")
+        few.join(sliced, "slice__")
         .withColumns({"precio": _outside("price", F.col("no_price")), "m2": _outside("area", F.col("no_area"))})
     )
     return (

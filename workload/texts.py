@@ -299,5 +299,9 @@ from workload.fixtures import LOCATIONS  # noqa: E402
 _texto = LOCATIONS[LOCATIONS.index("case l_partkey") : LOCATIONS.index("as texto")]
 _words = CHAINS[CHAINS.index("case l_linenumber") : CHAINS.index("as words")]
 ORACLE["standardize_zone"] = _zone_sql().replace("{texto}", _texto)
+ORACLE["standardize_zone_lists"] = f"""select id, coalesce(string_agg(texto, '|' order by texto), '') as textos, coalesce(string_agg(zona, '|' order by texto), '') as zonas
+    from (select distinct id, texto, zona from ({ORACLE["standardize_zone"]})) group by id"""
+ORACLE["distinct_pref_texts"] = r"""select id, pref_text from (select id, pref_text, row_number() over (partition by
+    trim(regexp_replace(replace(regexp_replace(pref_text, '<span>.*?</span>', '', 'g'), ',', ''), '\s+', ' ', 'g')) order by id) as rn from fx_prefs) where rn = 1"""
 ORACLE["interleaved_chain"] = ORACLE["interleaved_chain"].replace("{words}", _words)
 ORACLE = {k: with_views(v) for k, v in ORACLE.items()}
