@@ -29,7 +29,7 @@ def test_zones(spark):
     for text, zona in ZONES.items():
         if zona:
             assert got[text].zona == zona, text
-    assert got["el cami"].municipio is None and got["el cami"].extras == ["El El Cami"]
+    assert got["el cami"].municipio is None and got["el cami"].extras == ["El el Cami"]
     assert got[None] is None
 
 
