@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterable
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 import numpy as np
 import public_tokenizers
@@ -21,11 +22,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from listing_engine.llm.shared import table
+from listing_engine.llm.shared import table, text_blocks
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Words whose ids a worker remembers; beyond it starts afresh (results don't depend on it).
-REMEMBERED = 400_000
+REMEMBERED = 300_000
+#: Bytes of text whose words are replayed together; more don't fit the processor's caches.
+BLOCK = 1 << 18
 
 
 class Replay:
@@ -36,51 +39,48 @@ class Replay:
         self.token = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.token[rank] = token
-        self.single = [ranks.get(bytes([b])) for b in range(256)]
+        self.single = np.array([ranks[bytes([b])] for b in range(256)])
+        self.first = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)])
         self.known: dict[str, bytes] = {}
         self.merged: dict[int, int] = {}
 
+    def _rank(self, a: int, b: int) -> int:
+        """What two tokens become together, -1 if nothing."""
+        key = a << 20 | b
+        found = self.merged.get(key)
+        if found is None:
+            found = self.merged[key] = self.ranks.get(self.token[a] + self.token[b], -1)
+        return found
+
     def ids(self, words: Iterable[bytes]) -> list[list[int]]:
-        """Token ids of each word.
+        """Token ids of each word by merges alone.
 
         The next merge is always the lowest rank that occurs in any word; equal
         ranks go from left to right. If a merge lets a lower rank appear in its
         word, the word's further places wait until that one is done, so each
         word sees its merges exactly as if it were encoded alone.
         """
-        ids: list[int] = []
-        word_of: list[int] = []
-        ends = []
-        for w, word in enumerate(words):
-            if word in self.ranks:
-                ids.append(self.ranks[word])
-                word_of.append(w)
-            else:
-                ids.extend(map(self.single.__getitem__, word))
-                word_of.extend([w] * len(word))
-            ends.append(len(ids))
-        n = len(ids)
-        right, left = list(range(1, n + 1)), list(range(-1, n - 1))
-        for end in ends:  # no pair crosses a word's end
-            if 0 < end:
-                right[end - 1] = n
-            if end < n:
-                left[end] = -1
-        index: dict[int, list[int]] = {}
+        words = list(words)
+        lengths = np.array([len(w) for w in words], np.int64)
+        signs = np.frombuffer(b"".join(words), np.uint8)
+        n, ends = len(signs), np.cumsum(lengths)
+        ids = self.single[signs].tolist()
+        word_of = np.repeat(np.arange(len(words)), lengths)
+        # no pair crosses a word's end; place n stands for "none" on both sides
+        right, left = np.arange(1, n + 1), np.arange(-1, n - 1)
+        right[ends[lengths > 0] - 1] = n
+        left[(ends - lengths)[lengths > 0]] = n
+        ranks = np.where(right[:-1] < n, self.first[signs[:-1].astype(np.int64) << 8 | signs[1:]], -1) if n else np.zeros(0, np.int64)
+        right, left, word_of = right.tolist(), left.tolist(), word_of.tolist()
+        # the inverted index: what a pair would become -> places of such pairs, in ascending order
+        places = np.flatnonzero(ranks >= 0)
+        places = places[np.argsort(ranks[places], kind="stable")]
+        heap, at = np.unique(ranks[places], return_index=True)
+        index = dict(zip(heap.tolist(), map(np.ndarray.tolist, np.split(places, at[1:])))) if len(heap) else {}
+        heap = heap.tolist()  # sorted, hence a heap
         becomes, rank_of, token = self.merged, self.ranks.get, self.token
-
-        def rank(a: int, b: int) -> int:
-            key = a << 20 | b
-            found = becomes.get(key)
-            if found is None:
-                found = becomes[key] = rank_of(token[a] + token[b], -1)
-            return found
-
-        for p in range(n - 1):
-            if right[p] == p + 1 and (r := rank(ids[p], ids[p + 1])) >= 0:
-                index.setdefault(r, []).append(p)
-        heap = list(index)
-        heapify(heap)
+        known = becomes.get
+        ids.append(-1)
         while heap:
             r = heappop(heap)
             places = index.pop(r, None)
@@ -89,9 +89,13 @@ class Replay:
             places.sort()
             waiting = -1
             for p in places:
-                q = right[p] if ids[p] >= 0 else n
-                if q == n or rank(ids[p], ids[q]) != r:
-                    continue  # an earlier merge took one of the two
+                a = ids[p]
+                if a < 0:
+                    continue  # an earlier merge took it
+                q = right[p]
+                b = ids[q]
+                if b < 0 or self._rank(a, b) != r:
+                    continue
                 if word_of[p] == waiting:
                     if r not in index:
                         heappush(heap, r)
@@ -101,13 +105,33 @@ class Replay:
                 after = right[p] = right[q]
                 if after < n:
                     left[after] = p
-                for a, b in ((left[p], p), (p, after)):
-                    if a >= 0 and b < n and (new := rank(ids[a], ids[b])) >= 0:
-                        if new not in index:
+                    key = r << 20 | ids[after]
+                    new = known(key)
+                    if new is None:
+                        new = becomes[key] = rank_of(token[r] + token[ids[after]], -1)
+                    if new >= 0:
+                        if new in index:
+                            index[new].append(p)
+                        else:
+                            index[new] = [p]
+                            heappush(heap, new)
+                        if new < r:
+                            waiting = word_of[p]
+                before = left[p]
+                if before < n:
+                    key = ids[before] << 20 | r
+                    new = known(key)
+                    if new is None:
+                        new = becomes[key] = rank_of(token[ids[before]] + token[r], -1)
+                    if new >= 0:
+                        if new in index:
+                            index[new].append(before)
+                        else:
+                            index[new] = [before]
                             heappush(heap, new)
-                        index.setdefault(new, []).append(a)
                         if new < r:
                             waiting = word_of[p]
+        ends = ends.tolist()
         out, start = [], 0
         for end in ends:
             out.append([i for i in ids[start:end] if i >= 0])
@@ -123,8 +147,15 @@ class Replay:
             self.known.clear()
         new = list({w for words in split for w in words if w not in self.known})
         known = self.known
-        for word, ids in zip(new, self.ids(w.encode("utf-8", "surrogatepass") for w in new)):
-            known[word] = np.array(ids, "<u4").tobytes()
+        merge = []
+        for word in new:  # a word that is a token stays whole
+            rank = self.ranks.get(word.encode("utf-8", "surrogatepass"))
+            if rank is None:
+                merge.append(word)
+            else:
+                known[word] = rank.to_bytes(4, "little")
+        for word, ids in zip(merge, self.ids(w.encode("utf-8", "surrogatepass") for w in merge)):
+            known[word] = struct.pack(f"<{len(ids)}I", *ids)
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -143,19 +174,6 @@ def _replay(vocabulary: bytes, pattern: str) -> Replay:
     return _replays[key]
 
 
-def _in_blocks(texts: list[str], chars: int = 1 << 21) -> Iterable[list[str]]:
-    """Runs of texts of about `chars` characters (one at least), so that little is held at a time."""
-    block, size = [], 0
-    for t in texts:
-        block.append(t)
-        size += len(t)
-        if size >= chars:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
-
-
 class ByteBpe:
     """encode() and decode() as column functions; the vocabulary's file is read once, on the driver.
 
@@ -170,7 +188,7 @@ class ByteBpe:
         @F.arrow_udf("array<int>")
         def encode(texts: pa.Array) -> pa.Array:
             replay = _replay(shared.value, pattern)
-            parts = [replay.encode(block) for block in _in_blocks(texts.fill_null("").to_pylist())]
+            parts = [replay.encode(block) for block in text_blocks(texts, BLOCK)]
             flat = [ids for part in parts for ids in part]
             ends = np.cumsum([0, *(len(ids) // 4 for ids in flat)], dtype=np.int32)
             return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(flat), "<u4").astype(np.int32)))

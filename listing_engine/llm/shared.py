@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,17 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def text_blocks(texts: pa.Array, size: int) -> Iterator[list[str]]:
+    """The texts (null: empty) as lists of about `size` bytes each, one text at least, so that little is held at a time."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield texts.slice(start, stop - start).fill_null("").to_pylist()
+        start = stop
+
+
 def code_points(texts: Sequence[str]) -> np.ndarray:
     """All code points of the texts, one after the other, as uint32."""
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listing_engine.llm.shared import code_points, table, window_hashes
+from listing_engine.llm.shared import code_points, table, text_blocks, window_hashes
 
 #: Labelled rows that the classifier is fitted on, at most: so many toxic ones, and twice as many others.
 SAMPLE = 1200
@@ -157,15 +157,7 @@ def score_column(model: ToxicityModel, text: Column) -> Column:
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        texts = texts.fill_null("").to_pylist()
-        out = [np.zeros(0)]
-        start = size = 0
-        for i, t in enumerate(texts, 1):  # about a million characters at a time
-            size += len(t)
-            if size >= 1 << 20 or i == len(texts):
-                out.append(model.scores(texts[start:i]))
-                start, size = i, 0
-        return pa.array(np.concatenate(out))
+        return pa.array(np.concatenate([np.zeros(0), *(model.scores(block) for block in text_blocks(texts, 1 << 19))]))
 
     return score(text)
 
