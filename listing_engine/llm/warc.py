@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith
 
-from listing_engine.llm.shared import shared_folder, table
+from listing_engine.llm.shared import kept, shared_folder, small_side, table
 
 END = "\r\n\r\n"
 DATE = "1970-01-01T00:00:00Z"
@@ -28,6 +28,8 @@ DATE = "1970-01-01T00:00:00Z"
 RECORDS_PER_FILE = 20_000
 PARTITION_BYTES = 64 << 20
 BATCH_BYTES = 8 << 20
+#: Repeated payloads (about 100 bytes each) that may be broadcast; more are joined by shuffle.
+BROADCAST_PAYLOADS = 500_000
 
 SCHEMA = "record_type string, record_id string, target_uri string, refers_to string, payload_digest string, content_length long, payload_length long, payload binary"
 #: Column of SCHEMA and the header that it holds.
@@ -60,9 +62,11 @@ def records(pages: DataFrame, least: int = 0, date: str = DATE) -> DataFrame:
     """
     own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     own = own.withColumns({"digest": payload_digest(F.col("html")), "bytes": F.octet_length("html").cast("long")})
-    # partly reduced before its shuffle: one row a payload, however often it repeats
-    largest = own.filter(F.col("bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("kept")).filter("kept is not null")
-    joined = own.join(largest, "digest", "left")
+    # payloads that repeat, one row each (partly reduced before its shuffle); if their counted
+    # number is small, they are broadcast and no page is shuffled
+    repeated = own.filter(F.col("bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n"))
+    repeated = kept(repeated.filter("kept is not null and n > 1").select("digest", "kept"))
+    joined = own.join(small_side(repeated, BROADCAST_PAYLOADS), "digest", "left")
     revisit = F.col("kept").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("kept")))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END))
     block = F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("html")))
