@@ -202,7 +202,7 @@ def star_links(fingerprints: DataFrame, distance: int = DISTANCE) -> DataFrame:
         spread = (
             dealt.join(hot, ["choice", "bucket"], "left")
             .withColumn("parts", F.coalesce("parts", F.lit(1)))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).cast("long"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
             .select("fp", "choice", "bucket", (small * F.col("parts") + large).alias("cell"))
         )
     front = {i: _front_masks(c, bounds) for i, c in enumerate(choices)}

@@ -115,17 +115,8 @@ class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
         self.with_payload = options.get("payload", "true").lower() == "true"
-        self.partition_bytes = int(options.get("partitionBytes", PARTITION_BYTES))
-        self.wanted: list[tuple[str, type, object]] = []
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Keep predicates on headers; hand back all others."""
-        for f in filters:
-            name = getattr(f, "attribute", ("",))
-            if type(f) in _TESTS and len(name) == 1 and name[0] in HEADERS:
-                self.wanted.append((name[0], type(f), getattr(f, "value", None)))
-            else:
-                yield f
+        self.partition_bytes = int(options.get("partitionbytes", PARTITION_BYTES))
+        self.wanted: list[tuple[str, type, object]] = [(c, EqualTo, options[c.replace("_", "")]) for c in HEADERS if c.replace("_", "") in options]
 
     def partitions(self) -> list[Files]:
         """Files, largest first, put together up to the partition size."""
@@ -179,6 +170,23 @@ class WarcReader(DataSourceReader):
             yield row
 
 
+class PushingWarcReader(WarcReader):
+    """Takes the predicates of the query that reads it.
+
+    Spark keeps what was pushed with the source's DataFrame, so each DataFrame
+    of this kind may be read under one set of filters only.
+    """
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Keep predicates on headers; hand back all others."""
+        for f in filters:
+            name = getattr(f, "attribute", ("",))
+            if type(f) in _TESTS and len(name) == 1 and name[0] in HEADERS:
+                self.wanted.append((name[0], type(f), getattr(f, "value", None)))
+            else:
+                yield f
+
+
 def _headers(stream: io.BufferedReader) -> dict[str, str]:
     found = {}
     while line := stream.readline().rstrip(b"\r\n"):
@@ -188,7 +196,12 @@ def _headers(stream: io.BufferedReader) -> dict[str, str]:
 
 
 class WarcSource(DataSource):
-    """spark.read.format("warc").load(folder); options: payload (true), partitionBytes."""
+    """spark.read.format("warc").load(folder).
+
+    Options: payload (true), partitionBytes, a header column without its
+    underscores (recordType, targetUri, ...) with the value wanted, and pushdown
+    (false), which takes the query's own filters (see PushingWarcReader).
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -198,24 +211,29 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> WarcReader:
-        return WarcReader(self.options)
+        options = {k.lower(): v for k, v in self.options.items()}
+        return (PushingWarcReader if options.get("pushdown", "false").lower() == "true" else WarcReader)(options)
 
 
-def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """Records of the archives in a folder; filters on header columns are applied while reading.
+def read_warc(spark: SparkSession, path: str, payload: bool = True, where: Column | None = None) -> DataFrame:
+    """Records of the archives in a folder; those that `where` holds for, if given.
 
-    Registers the source and turns on filter pushdown for Python sources in this session.
+    Tests of header columns in `where` are applied while reading, before any
+    payload is touched. Registers the source and turns on filter pushdown for
+    Python sources in this session.
     """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    # a new relation each time: what is pushed stays with it
+    source = spark.read.format("warc").option("payload", str(payload).lower()).option("pushdown", str(where is not None).lower())
+    return source.load(path) if where is None else source.load(path).filter(where)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
-    full = read_warc(spark, path).filter("record_type = 'response'")
-    again = read_warc(spark, path, payload=False).filter("record_type = 'revisit'")
+    full = read_warc(spark, path, where=F.col("record_type") == "response")
+    again = read_warc(spark, path, payload=False, where=F.col("record_type") == "revisit")
     columns = lambda size, digest: [page_of(F.col("record_id")).alias("page_id"), size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", page_of(F.col("refers_to")).alias("refers_to")]
     return full.select(*columns(F.octet_length("payload").cast("long"), payload_digest(F.col("payload")))).union(
         again.select(*columns(F.col("payload_length"), F.regexp_replace("payload_digest", "^sha1:", "")))
