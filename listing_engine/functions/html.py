@@ -1,7 +1,7 @@
 """Field-level extraction from markup as expressions.
 
-Elements are found by tag and class; an element that contains another of its
-own tag ends at the first closing tag.
+Elements are found by tag and class and end at their own closing tag, however
+many elements of the same tag they contain.
 """
 
 from __future__ import annotations
@@ -22,14 +22,73 @@ def _open(tag: str, cls: str | None, attr: str = "class") -> str:
     return rf"<{tag}\b{_attr(attr, cls) if cls else '[^>]*'}>"
 
 
-def element(html: Column, tag: str, cls: str | None = None, attr: str = "class") -> Column:
-    """Inner markup of the first such element, NULL when absent."""
-    pattern = rf"{I}{_open(tag, cls, attr)}(.*?)</{tag}\s*>"
-    return F.when(html.rlike(pattern), F.regexp_extract(html, pattern, 1))
+def _pieces(html: Column, tag: str) -> Column:
+    """Markup cut before each opening and closing tag of that name."""
+    return F.split(html, rf"{I}(?=<{tag}\b[^>]*>|</{tag}\s*>)")
+
+
+def _spans(pieces: Column, tag: str, opening: str) -> Column:
+    """(first, last) piece of each outermost element whose opening tag matches:
+    `last` is the piece that starts with its own closing tag, or one past the
+    end if it is never closed. One pass that counts open tags."""
+    kind = "struct<at: int, depth: int, first: int, spans: array<struct<first: int, last: int>>>"
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("first"), F.array().cast("array<struct<first: int, last: int>>").alias("spans"))
+
+    def step(s: Column, piece: Column) -> Column:
+        opens, closes = piece.rlike(rf"{I}^<{tag}\b[^>]*>"), piece.rlike(rf"{I}^</{tag}\s*>")
+        inside = s["depth"] > 0
+        begins = ~inside & opens & piece.rlike(rf"{I}^{opening}")
+        depth = s["depth"] + F.when(inside & closes, -1).when((inside & opens) | begins, 1).otherwise(0)
+        done = inside & closes & (s["depth"] == 1)
+        span = F.array(F.struct(s["first"].alias("first"), s["at"].alias("last")))
+        return F.struct(
+            (s["at"] + 1).alias("at"),
+            depth.alias("depth"),
+            F.when(begins, s["at"]).otherwise(s["first"]).alias("first"),
+            F.when(done, F.concat(s["spans"], span)).otherwise(s["spans"]).alias("spans"),
+        ).cast(kind)
+
+    def end(s: Column) -> Column:
+        return F.when(s["depth"] > 0, F.concat(s["spans"], F.array(F.struct(s["first"].alias("first"), s["at"].alias("last"))))).otherwise(s["spans"])
+
+    return F.aggregate(pieces, start.cast(kind), step, end)
+
+
+def _balanced(html: Column, tag: str, opening: str) -> Column:
+    pieces = _pieces(html, tag)
+    inner = lambda x: F.regexp_replace(F.array_join(F.slice(pieces, x["first"] + 1, x["last"] - x["first"]), ""), r"(?s)^<[^>]*>", "")
+    return F.transform(_spans(pieces, tag, opening), inner)
 
 
 def elements(html: Column, tag: str, cls: str | None = None, attr: str = "class") -> Column:
-    return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(rf"{I}{_open(tag, cls, attr)}(.*?)</{tag}\s*>"), 1)
+    """Inner markup of the outermost such elements, each up to its own closing
+    tag; markup without elements of one tag inside each other needs no count."""
+    html, opening = F.coalesce(html, F.lit("")), _open(tag, cls, attr)
+    flat = F.regexp_extract_all(html, F.lit(rf"{I}{opening}(.*?)</{tag}\s*>"), 1)
+    nested = F.exists(flat, lambda x: x.rlike(rf"{I}<{tag}\b[^>]*>"))
+    return F.when(nested, _balanced(html, tag, opening)).otherwise(flat)
+
+
+def element(html: Column, tag: str, cls: str | None = None, attr: str = "class") -> Column:
+    """Inner markup of the first such element, NULL when absent."""
+    opening = _open(tag, cls, attr)
+    pattern = rf"{I}{opening}(.*?)</{tag}\s*>"
+    flat = F.regexp_extract(html, pattern, 1)
+    nested = flat.rlike(rf"{I}<{tag}\b[^>]*>")
+    return F.when(html.rlike(pattern), F.when(nested, F.get(_balanced(html, tag, opening), F.lit(0))).otherwise(flat))
+
+
+def without_elements(html: Column, tag: str, opening: str) -> Column:
+    """Markup without the outermost elements whose opening tag matches."""
+    pieces = _pieces(html, tag)
+    spans = _spans(pieces, tag, opening)
+    kept = F.transform(
+        pieces,
+        lambda piece, i: F.when(F.exists(spans, lambda x: (x["first"] <= i) & (i < x["last"])), F.lit(""))
+        .when(F.exists(spans, lambda x: x["last"] == i), F.regexp_replace(piece, rf"{I}^</{tag}\s*>", ""))
+        .otherwise(piece),
+    )
+    return F.when(html.rlike(rf"{I}{opening}"), F.array_join(kept, "")).otherwise(html)
 
 
 def text_of(html: Column, tag: str, cls: str | None = None, attr: str = "class") -> Column:
@@ -46,10 +105,8 @@ def attribute(html: Column, tag: str, name: str, cls: str | None = None) -> Colu
 
 def section(html: Column, heading_class: str, titles: str, body_class: str) -> Column:
     """List items of the block that directly follows a heading."""
-    pattern = (
-        rf"{I}{_open('h2', heading_class)}\s*(?:{titles})\s*</h2>\s*{_open('div', body_class)}(.*?)</div>"
-    )
-    items = elements(F.regexp_extract(html, pattern, 1), "li")
+    pattern = rf"{I}{_open('h2', heading_class)}\s*(?:{titles})\s*</h2>\s*({_open('div', body_class)}.*)$"
+    items = elements(F.coalesce(element(F.regexp_extract(html, pattern, 1), "div", body_class), F.lit("")), "li")
     return F.transform(items, lambda x: html_text(x))
 
 

@@ -337,7 +337,7 @@ def merge_slash_types(types: Column) -> Column:
 
 def capitalize_first(c: Column) -> Column:
     s = F.ltrim(c)
-    return F.when(s.rlike(r"^\p{Ll}"), F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 1_000_000))).otherwise(c)
+    return F.when(s.rlike(r"^\p{Ll}"), F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, F.lit(2), F.length(s)))).otherwise(c)
 
 
 def has_room_lead(text: Column) -> Column:

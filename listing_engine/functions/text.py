@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,11 +16,8 @@ OPERATION_SYNONYMS = {
     "rent": "alquiler",
     "alquiler con opcion a compra": "alquiler",
 }
-# HTML entities that occur in portal markup.
-ENTITIES = {
-    "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'",
-    "&apos;": "'", "&euro;": "€", "&sup2;": "²", "&amp;": "&",
-}
+# Named HTML entities as the standard library lists them; a non-breaking space counts as a blank.
+ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {"nbsp": " ", "apos": "'"}
 
 
 def _fold_table(form: str) -> tuple[str, str]:
@@ -224,7 +222,7 @@ def title_case(c: Column) -> Column:
     """X16"""
     def word(w: Column, i: Column) -> Column:
         low = F.lower(w)
-        cap = F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1_000_000)))
+        cap = F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))
         return F.when((i > 0) & low.isin(*LOWER_WORDS), low).otherwise(cap)
 
     words = F.filter(F.split(squeeze(c), " "), lambda w: F.length(w) > 0)
@@ -263,9 +261,19 @@ def looks_like(kind: str, term: Column) -> Column:
 
 # ------------------------------------------------------------------ html
 def decode_entities(c: Column) -> Column:
-    for entity, ch in ENTITIES.items():
-        c = F.replace(c, F.lit(entity), F.lit(ch))
-    return c
+    """Named and numeric entities to characters, each once; unknown ones stay."""
+    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+
+    def decoded(piece: Column) -> Column:
+        name = F.regexp_extract(piece, r"^&(\w+);", 1)
+        ten, sixteen = F.regexp_extract(piece, r"^&#(\d{1,7});", 1), F.regexp_extract(piece, r"(?i)^&#x([0-9a-f]{1,6});", 1)
+        code = F.coalesce(F.nullif(ten, F.lit("")), F.conv(F.nullif(sixteen, F.lit("")), 16, 10)).cast("int")
+        valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code < 0x110000))
+        sign = F.when(valid, F.when(code == 160, F.lit(" ")).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
+        sign = F.coalesce(F.try_element_at(names, name), sign)
+        return F.when(sign.isNotNull(), F.concat(sign, F.regexp_replace(piece, r"^&[^;]*;", ""))).otherwise(piece)
+
+    return F.when(c.contains("&"), F.array_join(F.transform(F.split(c, "(?=&)"), decoded), "")).otherwise(c)
 
 
 def html_text(c: Column) -> Column:

@@ -48,9 +48,10 @@ def union_all(*parts: DataFrame) -> DataFrame:
 
 
 def reconcile(df: DataFrame, schema: Sequence[tuple[str, str]]) -> DataFrame:
-    """Exactly these columns, missing ones NULL of the right type."""
+    """Exactly these columns, missing ones NULL of the right type, as are
+    values that the type cannot hold."""
     return df.select(
-        *[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in schema]
+        *[(F.col(c) if c in df.columns else F.lit(None)).try_cast(t).alias(c) for c, t in schema]
     )
 
 

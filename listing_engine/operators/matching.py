@@ -72,7 +72,8 @@ def reach_columns(cfg: MatchConfig) -> dict[str, Column]:
         b = Bounds.stored(name)
         slack = b.pad * F.lit(1.0 + 1e-9) + F.lit(1e-9)
         out[f"{name}__from"], out[f"{name}__to"] = b.lo - slack, b.hi + slack
-        out[f"{name}__need"] = b.bounded if cfg.null_policy == "observed" else F.lit(False)
+        # a component without weight (its column is empty throughout) decides nothing
+        out[f"{name}__need"] = b.bounded & (b.w > 0) if cfg.null_policy == "observed" else F.lit(False)
     return out
 
 
@@ -121,7 +122,8 @@ def client_side(clients: DataFrame, cfg: MatchConfig, prune: bool) -> DataFrame:
     # unless a missing price scores zero for a client who states a price bound
     unpriced = F.array(F.lit(-1))
     if prune and cfg.prunable("price") and cfg.null_policy == "observed":
-        bounded = F.col("price_min_eur").isNotNull() | F.col("price_max_eur").isNotNull()
+        b = Bounds.stored("price")
+        bounded = b.bounded & (b.w > 0)
         unpriced = F.when(bounded, F.array().cast("array<int>")).otherwise(unpriced)
     # swapped bounds can leave no price that satisfies both
     empty = F.coalesce(low > high, F.lit(False))

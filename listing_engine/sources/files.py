@@ -63,8 +63,8 @@ def unified_listings(df: DataFrame, today: str) -> DataFrame:
     get = lambda n: c.get(n, F.lit(None).cast("string"))
     text = lambda n, default: F.coalesce(F.nullif(get(n), F.lit("")), F.lit(default))
     return df.select(
-        X.digits_int(get("habitaciones")).cast("int").alias("habitaciones"),
-        X.digits_int(get("banos")).cast("int").alias("banos"),
+        X.digits_int(get("habitaciones")).try_cast("int").alias("habitaciones"),
+        X.digits_int(get("banos")).try_cast("int").alias("banos"),
         X.locale_number(get("precio")).alias("precio"),
         text("link_inmueble", "").alias("link_inmueble"),
         X.locale_number(get("metros_cuadrados")).alias("metros_cuadrados"),

@@ -112,6 +112,18 @@ def test_pruning_loses_no_match(case):
     assert got == {k for k, v in want.items() if not v[1] and v[0] >= 0.55}
 
 
+@pytest.mark.parametrize("empty", ["precio", "m2", "habitaciones", "banos", "price", "bath"])
+def test_pruning_with_an_empty_column(case, empty):
+    """A column that is empty throughout decides nothing, on either side."""
+    l, c, h, cfg, _ = case
+    gone = lambda df: df.withColumns({n: F.lit(None).cast(t) for n, t in df.dtypes if n == empty or n.startswith(f"{empty}_m")})
+    l, c = gone(l), gone(c)
+    cfg = replace(cfg, top_n=None)
+    every = scored_pairs(l, c, h, cfg, prune=False).filter(F.col("score") >= cfg.min_score)
+    want = {(r[0], r[1]) for r in every.select("client_id", "property_id").collect()}
+    assert want and {(r[0], r[1]) for r in match_all(l, c, h, cfg).select("client_id", "property_id").collect()} == want
+
+
 def test_top_n(case):
     l, c, h, cfg, want = case
     rows = match_all(l, c, h, cfg).orderBy("client_id", "rank_client").collect()

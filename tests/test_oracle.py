@@ -13,7 +13,10 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+OWN = sorted(k for m in entry._modules() for k in m.QUERIES)
+
+
+@pytest.mark.parametrize("name", OWN)
 def test_query(spark, con, name):
     df = entry.queries()[name](spark, f"{ROOT}/{SF}")
     got = rows_of(df.columns, df.collect())

@@ -131,3 +131,31 @@ def test_facets_reach_the_scan(spark, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(tipo_de_operacion,Venta)" in plan.split("PushedFilters")[1]
     assert "ReadSchema: struct<precio:double,tipo_de_operacion" in plan and "web" not in plan
+
+
+def test_nested_markup_and_entities(spark):
+    from listing_engine.functions import html as M
+    from listing_engine.functions.text import decode_entities
+    from listing_engine.sources.pages import cut_foreign_sections
+
+    page = (
+        '<div class="a"><div>x<div>y</div></div>Piso</div><div class="b">z</div><div class="a">q</div>'
+        '<section class="recommender-slider"><div><a href="f"></a></div><section>s</section>t</section>END<div data-testid="recommender"><div>k</div>bad</div>ok'
+    )
+    h = F.col("h")
+    rows = spark.createDataFrame([(page,), (None,), ("<div class='a'>open<div>n</div>",)], "h string")
+    got = rows.select(M.elements(h, "div", "a").alias("all"), M.element(h, "div", "a").alias("one"), cut_foreign_sections(h).alias("cut")).collect()
+    assert got[0]["all"] == ["<div>x<div>y</div></div>Piso", "q"] and got[0]["one"] == "<div>x<div>y</div></div>Piso" and got[0]["cut"].endswith('<div class="a">q</div>ENDok')
+    assert got[1]["all"] == [] and got[1]["one"] is None
+    assert got[2]["one"] == "open<div>n</div>"
+    text = spark.createDataFrame([("Constru&iacute;da ba&#241;o &#x20AC; &amp;lt; a&nbsp;b &bogus; &#128512; & x &",)], "h string")
+    assert text.select(decode_entities(h)).first()[0] == "Construída baño € &lt; a b &bogus; 😀 & x &"
+
+
+def test_odd_cells_do_not_stop_a_load(spark):
+    from listing_engine.operators.dedupe import reconcile
+    from listing_engine.sources.files import unified_listings
+
+    rows = spark.createDataFrame([("600123456789", "2", "n/a"), ("3 hab", "", "2024-01-02")], "habitaciones string, banos string, fecha_inclusion string")
+    assert [r["habitaciones"] for r in unified_listings(rows, "2024-05-05").collect()] == [None, 3]
+    assert [r["d"] for r in reconcile(rows.withColumnRenamed("fecha_inclusion", "d"), [("d", "date")]).collect()][0] is None

@@ -96,7 +96,7 @@ def ordered_unique_union(s, d):
 
 
 def dedupe_array_value(s, d):
-    rows = sql(s, d, "select doc_id, split(lower(substr(text, 1, 12)), ' ') as words, n_chars from {documents}")
+    rows = sql(s, d, "select doc_id, split(lower(text), ' ') as words, n_chars from {documents}")
     return D.keep_first_array(rows, "words", "doc_id").select("doc_id", F.array_join("words", " ").alias("words"))
 
 
@@ -135,8 +135,8 @@ def load_report(s, d):
 
 
 def drift_union(s, d):
-    a = sql(s, d, "select l_orderkey as id, l_quantity as precio, 'x' as caracteristicas_basicas from {lineitem} where l_linenumber = 1")
-    b = sql(s, d, "select l_orderkey as id, l_quantity as precio, l_tax as terraza from {lineitem} where l_linenumber = 2")
+    a = sql(s, d, "select l_orderkey as id, l_quantity as precio, 'x' as caracteristicas_basicas from {lineitem} where l_linenumber % 2 = 1")
+    b = sql(s, d, "select l_orderkey as id, l_quantity as precio, l_tax as terraza from {lineitem} where l_linenumber % 2 = 0")
     both = D.union_reconciled(a, b)
     return D.reconcile(both, [("id", "bigint"), ("precio", "double"), ("terraza", "double"), ("lat", "double"), ("caracteristicas_basicas", "string")])
 
@@ -197,7 +197,7 @@ ORACLE = {
         precio nulls first, metros_cuadrados nulls first, anunciante, fecha_inclusion) as rn from fx_listings) where rn = 1""",
     "dedupe_last_id": f"""select {OUT} from (select *, row_number() over (partition by listing_key order by fecha_inclusion desc,
         precio desc nulls last, seq desc, metros_cuadrados desc, anunciante desc, link_inmueble desc) as rn from fx_listings) where rn = 1""",
-    "dedupe_array_value": "select min(doc_id) as doc_id, w as words from (select doc_id, lower(substr(text, 1, 12)) as w from documents) group by w",
+    "dedupe_array_value": "select min(doc_id) as doc_id, w as words from (select doc_id, lower(text) as w from documents) group by w",
     "ordered_unique_union": """with a as (select cast(l_partkey as varchar) as id, l_orderkey as pos, case when l_returnflag = 'N' then 0 else 1 end as list_no from lineitem)
         select id, list_no, pos from (select *, row_number() over (partition by id order by list_no, pos) as rn from a) where rn = 1""",
     "snapshot_new_ids": f"{SNAP} select id_inmueble from ids where id_inmueble not in (select id_inmueble from prev)",
@@ -222,8 +222,8 @@ ORACLE = {
         select listing_key, seq, precio, tipo_de_operacion from r where zona is null or zona not in (select n_name from nation where n_nationkey % 2 = 0)""",
     "load_report": f"""{SNAP}, t as (select id_inmueble from parsed union select id_inmueble from prev where id_inmueble in (select id_inmueble from ids))
         select (select count(*) from ids where id_inmueble not in (select id_inmueble from prev)) as new_rows, (select count(*) from t) as today_rows""",
-    "column_drift_union": """select l_orderkey as id, l_quantity as precio, null::double as terraza, null::double as lat, 'x' as caracteristicas_basicas from lineitem where l_linenumber = 1
-        union all select l_orderkey, l_quantity, l_tax, null, null from lineitem where l_linenumber = 2""",
+    "column_drift_union": """select l_orderkey as id, l_quantity as precio, null::double as terraza, null::double as lat, 'x' as caracteristicas_basicas from lineitem where l_linenumber % 2 = 1
+        union all select l_orderkey, l_quantity, l_tax, null, null from lineitem where l_linenumber % 2 = 0""",
     "ids_union": f"{SNAP} select id_inmueble from ids union select id_inmueble from prev",
     "new_by_first_key": f"{SNAP} select id_inmueble as url, precio, zona from parsed where id_inmueble not in (select id_inmueble from prev)",
     "property_id": "select link_inmueble, ('0x' || substr(md5(link_inmueble || '|' || zona), 1, 8))::bigint as property_id from fx_listings",

@@ -225,7 +225,7 @@ QUERIES = {
     "score_component_corr": _over_matches(A.score_correlations),
     "rank_audit": _over_matches(A.rank_audit),
     "score_extremes": lambda s, d: A.score_extremes(matches(s, d)).select("extreme", "client_id", "property_id", "score"),
-    "match_order": lambda s, d: T.page(T.by_client_and_score(matches(s, d)), 1, 100).select("client_id", "property_id", "score", "rank_client"),
+    "match_order": lambda s, d: T.by_client_and_score(matches(s, d)).select("client_id", "property_id", "score", "rank_client"),
     "match_filter_band": lambda s, d: P.filter_matches(
         matches(s, d), term="nation_1", operation="Venta", band="medium", owner="competitor", own_patterns=OWN
     ).select("client_id", "property_id", "score"),
@@ -302,7 +302,7 @@ ORACLE = {
         select count(*) as groups, count(*) filter (where bad) as violations from g""",
     "score_extremes": FULL + """ select * from (select 'top' as extreme, client_id, property_id, score from matches order by score desc, client_id, property_id limit 3)
         union all select * from (select 'bottom' as extreme, client_id, property_id, score from matches order by score, client_id, property_id limit 3)""",
-    "match_order": FULL + " select client_id, property_id, score, rank_client from matches order by client_id, score desc, rank_client limit 100",
+    "match_order": FULL + " select client_id, property_id, score, rank_client from matches",
     "match_filter_band": FULL + f""" select client_id, property_id, score from matches where score >= 0.6 and score < 0.8 and operacion = 'venta' and not {OWN_SQL}
         and (contains(lower(client_name), 'nation_1') or contains(lower(zona), 'nation_1') or contains(lower(anunciante), 'nation_1') or contains(lower(tipo), 'nation_1'))""",
     "match_own_high": FULL + f" select client_id, property_id, score from matches where score >= 0.8 and {OWN_SQL}",
