@@ -185,13 +185,16 @@ class ByteBpe:
             shared = spark.sparkContext.broadcast(f.read())
         pattern = pattern or public_tokenizers.PATTERN
 
-        @F.arrow_udf("array<int>")
+        # a struct around the ids keeps Spark from chaining functions of the ids with this one,
+        # which would encode again for each of them
+        @F.arrow_udf("struct<ids: array<int>>")
         def encode(texts: pa.Array) -> pa.Array:
             replay = _replay(shared.value, pattern)
             parts = [replay.encode(block) for block in text_blocks(texts, BLOCK)]
             flat = [ids for part in parts for ids in part]
             ends = np.cumsum([0, *(len(ids) // 4 for ids in flat)], dtype=np.int32)
-            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(flat), "<u4").astype(np.int32)))
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(flat), "<u4").astype(np.int32)))
+            return pa.StructArray.from_arrays([ids], ["ids"])
 
         @F.arrow_udf("binary")
         def decode(ids: pa.Array) -> pa.Array:
@@ -203,7 +206,7 @@ class ByteBpe:
 
     def encode(self, text: Column) -> Column:
         """Ids (array<int>) of a text, each match of the pattern by itself, no special tokens; null: no ids."""
-        return self._encode(text)
+        return self._encode(text)["ids"]
 
     def decode(self, ids: Column) -> Column:
         """Bytes of ids; null: none."""
