@@ -401,11 +401,59 @@ def test_gray_index_finds_all_pairs():
     codes = np.unique(np.concatenate([a ^ (np.uint64(1) << rng.integers(0, 64, 20).astype(np.uint64)) for _ in range(40)]))
     codes = codes[np.argsort(near_duplicates.gray_rank(codes))]
     index = near_duplicates.GrayIndex(codes, leaf=8, fan=4)
-    found = {(int(i), int(j)) for x, y in index.links(index, 4) for i, j in zip(x, y)}
+    found = {(int(i), int(j)) for x, y in index.links(4) for i, j in zip(x, y)}
     assert found == {(i, j) for i in range(len(codes)) for j in range(i + 1, len(codes)) if int(codes[i] ^ codes[j]).bit_count() <= 4}
 
 
+def _changed(words, every):
+    """Every `every`-th word replaced; J of five-word shingles is about (1 - 5/every) / (1 + 5/every)."""
+    return [w if i % every else f"new{i}" for i, w in enumerate(words)]
+
+
+def test_similar_texts(spark, documents):
+    rows = []
+    for k in range(40):
+        base = _words(400, 100 + k)
+        rows += [(10 * k, base), (10 * k + 1, _changed(base, 100)), (10 * k + 2, _changed(base, 8)), (10 * k + 3, base[:200] + _words(200, 900 + k))]
+    docs = spark.createDataFrame([(i, "  ".join(w).upper() if i % 2 else " ".join(w)) for i, w in rows] + [(5, None), (7, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates.similar_texts(docs).collect()}
+    assert all(got[10 * k + 1] == 10 * k for k in range(40))  # J of 0.9
+    assert all(got[10 * k + j] == 10 * k + j for k in range(40) for j in (2, 3))  # J of 0.2 and 0.3
+    assert got[5] == got[7] == 5
+
+
+def test_similar_texts_of_documents(spark):
+    """All pairs at 0.8 by brute force; what is linked below 0.65 would be a loss of clean documents."""
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/../sf0.01/documents.parquet").collect()}
+    sets = {i: frozenset(near_duplicates.shingles(t or "", 5)) for i, t in docs.items()}
+    prints = {i: np.frombuffer(near_duplicates.wide_simhash(t or ""), "<u8") for i, t in docs.items()}
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates.similar_texts(spark.read.parquet(f"{SF}/../sf0.01/documents.parquet")).collect()}
+    allowed = near_duplicates.wide_distance(0.8)[1]
+    ids = sorted(docs)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            if min(len(sets[i]), len(sets[j])) < 0.6 * max(len(sets[i]), len(sets[j])):
+                continue
+            both, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            likeness = both / either if either else 1.0
+            if likeness >= 0.9:
+                assert got[i] == got[j], (i, j, likeness)
+            if np.bitwise_count(prints[i] ^ prints[j]).sum() <= allowed:
+                assert likeness > 0.6, (i, j, likeness)
+
+
+@pytest.mark.parametrize("part", [40, 32_768])
+def test_wide_links_of_a_large_group(spark, monkeypatch, part):
+    monkeypatch.setattr(near_duplicates, "WIDE_PART", part)
+    base = _words(300, 3)
+    texts = [" ".join([*base[:i], "x", *base[i + 1 :]]) for i in range(150)] + [" ".join(_words(300, 50 + i)) for i in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates.similar_texts(docs).collect()}
+    assert got == {i: 0 if i < 150 else i for i in range(250)}
+
+
 def test_near_duplicates_empty(no_docs):
+    assert near_duplicates.similar_texts(no_docs).count() == 0
     assert near_duplicates.near_duplicates(no_docs).count() == 0 and near_duplicates.deduplicated(no_docs).count() == 0
 
 

@@ -21,7 +21,7 @@ def test_stages(spark, tmp_path):
     scored = toxicity.toxicity(before, spark.read.parquet(f"{SF}/labels.parquet"))
     assert ids(after) == ids(scored.filter("toxicity_score < 0.5"))
     before, after = held["near_duplicates"]
-    members = near_duplicates.near_duplicates(before)
+    members = near_duplicates.similar_texts(before)
     assert ids(after) == {r[0] for r in members.select("component_id").distinct().collect()}
     before, after = held["decontamination"]
     found = decontamination.overlaps(before, spark.read.parquet(f"{SF}/benchmark.parquet"))
