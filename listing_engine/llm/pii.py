@@ -225,25 +225,27 @@ def pseudonymized(text: str, key: str = DEFAULT_KEY) -> tuple[str, dict[str, int
 
 
 def _neighbourhoods(text: str) -> list[tuple[int, int]]:
-    """Stretches of text around the signs of _SIGN, from blank to blank, long enough for any pattern."""
+    """Stretches of text from the word of a sign of _SIGN to ten blanks beyond the last sign in them.
+
+    A value starts in the word of its first sign, and no pattern has ten blanks
+    without another sign, so none is cut. A stretch starts behind the one
+    before, and words without a sign are read ten times at most.
+    """
     found: list[list[int]] = []
-    end = -1
-    for m in _SIGN.finditer(text):
-        if m.start() < end:
-            continue
-        lo = max(text.rfind(c, 0, m.start()) for c in " \n\t") + 1
-        hi = m.end()
-        for _ in range(10):  # groups of digits may be parted by single blanks
-            hi = _BLANK.search(text, hi).end()
-        if found and lo <= found[-1][1]:
-            found[-1][1] = hi
+    end = 0
+    for m in _SIGNED.finditer(text):
+        reach = _REACH.match(text, m.end()).end()  # groups of digits may be parted by single blanks
+        if found and m.start() < end:
+            found[-1][1] = reach
         else:
-            found.append([lo, hi])
-        end = hi
+            found.append([max(end, *(text.rfind(c, end, m.start()) + 1 for c in " \n\t")), reach])
+        end = reach
     return [(a, b) for a, b in found]
 
 
-_BLANK = re.compile(r"[ \n\t]|$")
+#: A sign with the rest of its word, so that each word is met once.
+_SIGNED = re.compile(rf"(?:{_SIGN.pattern})[^ \n\t]*")
+_REACH = re.compile(r"(?:[^ \n\t]*[ \n\t]?){10}")
 
 
 def pseudonymize(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:

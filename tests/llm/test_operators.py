@@ -245,6 +245,24 @@ def test_pseudonyms():
     assert pii.pseudonymized(clean) == (clean, {})
 
 
+def test_values_at_every_distance_from_a_sign():
+    """As many words as may be between a digit or '@' and a value: the same as a scan of the whole text."""
+    values = ("password: hunterhunter", 'token = "abcdef123456"', "NL91 ABNA 0417 1643 00", "DE89 3704 0044 0532 0130 00", "4111 1111 1111 1111", "+1 (632) 555-4827", "jo.smith@mail.example.org", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1")
+    for sign in ("5", "a@b", "token"):
+        for value in values:
+            alone = pii.pseudonymized(value)[0]
+            assert alone != value
+            for n in range(40):
+                before = f"Room {sign} " + "one\t" * (n // 2) + "two " * (n - n // 2)
+                assert pii.pseudonymized(f"{before}{value} end") == (f"{before}{alone} end", pii.pseudonymized(value)[1]), (sign, n, value)
+    rnd = random.Random(3)
+    for _ in range(300):
+        text = " ".join(rnd.choice([*values, "7", "x@", *["word"] * 9]) for _ in range(60))
+        whole = [m.start() for m in pii._ANY.finditer(text)]
+        near = [m.start() for a, b in pii._neighbourhoods(text) for m in pii._ANY.finditer(text, a, b)]
+        assert near == whole
+
+
 def test_pii_odd(odd_docs, no_docs):
     done = pii.pseudonymize(odd_docs)
     assert sorted(done.columns) == sorted(odd_docs.columns) and [r["text"] for r in done.filter("doc_id = 0").collect()] == [None]
