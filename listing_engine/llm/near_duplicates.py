@@ -13,7 +13,8 @@ pairs; stars are joined to components by alternating star contraction.
 near_duplicates() links 64-bit fingerprints at a fixed distance. Texts of which
 four fifths of the shingles agree mostly differ in more bits than any choice of
 agreeing blocks allows for, so similar_texts() takes 256 bits of the distinct
-shingles, deals fingerprints by sampled bits, and searches with the same index.
+shingles, deals fingerprints by sampled bits, and searches with the same index
+for candidates only: sets of candidates are then compared by their shingles.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType
-from xxhash import xxh3_128_digest, xxh64_intdigest
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
+from xxhash import xxh3_64_intdigest, xxh3_128_digest, xxh64_intdigest
 
 from listing_engine.llm.shared import UPPER, kept, table
 
@@ -42,11 +43,18 @@ SMALL = 32
 SIMILAR_WORDS = 5
 SIMILARITY = 0.8
 WIDE = 4
-#: Standard deviations of the differing bits that are allowed beyond their mean at SIMILARITY.
+#: Standard deviations of the differing bits that are allowed beyond their mean at SIMILARITY:
+#: where most pairs are similar, and for candidates, of which only shingles decide.
 SLACK = 0.9
-#: Chance that no sampled bucket holds a pair of SIMILARITY; it falls fast above (0.90: 0.3 %).
-MISSED = 0.1
+CANDIDATE_SLACK = 3.5
+#: Chance that no sampled bucket holds a pair that differs in the mean number of bits at SIMILARITY.
+MISSED = 1e-5
 WIDE_PART = 32_768
+#: Texts of up to so many distinct shingles also meet by the shingles themselves: few shingles
+#: make the differing bits less regular.
+SHORT = 50
+#: Texts of a set of candidates that one task compares.
+EXACT_PART = 2048
 #: Texts around which a task links all others of a cell before it searches the rest.
 CENTRES = 16
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
@@ -91,9 +99,36 @@ def wide_simhash(text: str, words: int = SIMILAR_WORDS) -> bytes:
     return np.packbits(2 * bits > len(own), bitorder="little").tobytes()
 
 
-@F.arrow_udf(BinaryType())
+def shingle_hashes(text: str, words: int = SIMILAR_WORDS) -> np.ndarray:
+    """64-bit hashes of the distinct shingles, in order."""
+    return np.unique(np.array([xxh3_64_intdigest(s) for s in set(shingles(text, words))], "<u8"))
+
+
+def _set_name(hashes: np.ndarray) -> int:
+    """A long that names a set of shingles."""
+    return int(np.array(xxh64_intdigest(hashes.tobytes(), SEED), np.uint64).view(np.int64))
+
+
+@F.arrow_udf(StructType().add("node", LongType()).add("print", BinaryType()))
 def wide_column(texts: pa.Array) -> pa.Array:
-    return pa.array([wide_simhash(t.as_py() or "") for t in texts], pa.binary())
+    """Name of the set of distinct shingles, and its wide fingerprint."""
+    texts = [t.as_py() or "" for t in texts]
+    names = pa.array([_set_name(shingle_hashes(t)) for t in texts], pa.int64())
+    return pa.StructArray.from_arrays([names, pa.array([wide_simhash(t) for t in texts], pa.binary())], ["node", "print"])
+
+
+@F.arrow_udf(StructType().add("own", LongType()).add("hashes", BinaryType()).add("prefix", ArrayType(LongType())))
+def hashes_column(texts: pa.Array) -> pa.Array:
+    """Name and members of the set of shingles; of a short set the members of which similar sets share one."""
+    sets = [shingle_hashes(t.as_py() or "") for t in texts]
+    names = pa.array([_set_name(h) for h in sets], pa.int64())
+    prefixes = pa.array([h[: prefix_size(len(h))].view(np.int64).tolist() if len(h) <= SHORT else [] for h in sets], pa.list_(pa.int64()))
+    return pa.StructArray.from_arrays([names, pa.array([h.tobytes() for h in sets], pa.binary()), prefixes], ["own", "hashes", "prefix"])
+
+
+def prefix_size(n: int, similarity: float = SIMILARITY) -> int:
+    """Sets of Jaccard `similarity` share one of so many first members, in any one order of all members."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
 
 def differing(codes: np.ndarray) -> np.ndarray:
@@ -263,28 +298,28 @@ def _searched(dealt: DataFrame, node: str, part: int, search: Callable) -> DataF
     )
 
 
-def wide_distance(similarity: float) -> tuple[float, int]:
+def wide_distance(similarity: float, slack: float = SLACK) -> tuple[float, int]:
     """(share of bits, bits allowed) in which fingerprints of such texts differ: sets of equal
     size with Jaccard s have the cosine 2s/(1+s), and a bit differs with chance angle/pi."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = 64 * WIDE
-    return share, round(bits * share + SLACK * math.sqrt(bits * share * (1 - share)))
+    return share, round(bits * share + slack * math.sqrt(bits * share * (1 - share)))
 
 
 def wide_samples(n: int, share: float) -> np.ndarray:
     """Sampled bits, one row a table: more bits where more texts share the buckets, and so
     many tables that a pair at `share` meets in one of them but for the chance MISSED."""
-    width = max(16, math.ceil(math.log2(max(n, 1))) - 6)
+    width = max(10, math.ceil(math.log2(max(n, 1))) - 8)
     tables = math.ceil(math.log(MISSED) / math.log(1 - (1 - share) ** width))
     return np.array([np.random.default_rng(t).choice(64 * WIDE, width, replace=False) for t in range(tables)])
 
 
 def wide_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Edges (a, b) between the nodes of similar fingerprints, as stars.
+    """Edges (a, b) that connect the nodes whose texts may be similar, as stars.
 
-    nodes: node (long) and print (distinct wide fingerprints), read more than once.
+    nodes: node (distinct longs) and print (wide fingerprints), read more than once.
     """
-    share, distance = wide_distance(similarity)
+    share, distance = wide_distance(similarity, CANDIDATE_SLACK)
     samples = wide_samples(nodes.count(), share)
     weights = 1 << np.arange(samples.shape[1], dtype=np.int64)
 
@@ -303,6 +338,77 @@ def wide_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return _searched(dealt, "node", WIDE_PART, cells)
 
 
+def exact_links(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Edges (a, b) between all texts of a bucket that are linked at a Jaccard of `similarity`, as stars.
+
+    sets: node, choice, bucket, hashes (see hashes_column). Buckets of more than
+    EXACT_PART texts are split, so that each part meets each part.
+    """
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, bytes]] = []
+        now = None
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("choice", "bucket", "cell")))
+            for key, node, hashes in zip(keys, batch.column("node").to_pylist(), batch.column("hashes")):
+                if key != now:
+                    yield from linked_sets(held, similarity)
+                    held, now = [], key
+                held.append((node, hashes.as_py()))
+        yield from linked_sets(held, similarity)
+
+    return _searched(sets, "node", EXACT_PART, cells)
+
+
+def linked_sets(held: list[tuple[int, bytes]], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Stars (a, b) of the sets (node, sorted 64-bit hashes) that are linked at `similarity`.
+
+    Sets are reached one from the other: each is compared with those not yet
+    reached, and only with those that share one of its rarest members.
+    """
+    sets = dict(held)
+    if len(sets) < 2:
+        return
+    node = np.array(list(sets))
+    sizes = np.array([len(h) // 8 for h in sets.values()])
+    flat, counts = np.unique(np.frombuffer(b"".join(sets.values()), "<u8"), return_inverse=True, return_counts=True)[1:]
+    rarity = np.empty(len(counts), np.int64)
+    rarity[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    cut = np.cumsum(sizes)[:-1]
+    members = [np.sort(m) for m in np.split(rarity[flat], cut)]
+    heads = [m[: prefix_size(len(m), similarity)] for m in members]
+    mark = np.zeros(len(counts), bool)
+    left, root = np.arange(len(node)), np.full(len(node), -1)
+    stale = True
+    for first in range(len(node)):
+        if root[first] >= 0:
+            continue
+        root[first], queue = first, [first]
+        while queue:
+            i = queue.pop()
+            if stale or 4 * np.count_nonzero(root[left] < 0) < 3 * len(left):
+                left, stale = left[root[left] < 0], False
+                rows = np.repeat(np.arange(len(left)), [len(heads[j]) for j in left])
+                signs = np.concatenate([heads[j] for j in left]) if len(left) else np.zeros(0, np.int64)
+            if not len(left):
+                break
+            mark[heads[i]] = True
+            near = left[np.unique(rows[mark[signs]])] if sizes[i] else left[sizes[left] == 0]
+            mark[heads[i]] = False
+            near = near[(root[near] < 0) & (sizes[near] >= similarity * sizes[i] - 1e-9) & (sizes[i] >= similarity * sizes[near] - 1e-9)]
+            if not len(near):
+                continue
+            mark[members[i]] = True
+            both = np.array([np.count_nonzero(mark[members[j]]) for j in near])
+            mark[members[i]] = False
+            reached = near[both >= similarity * (sizes[i] + sizes[near] - both) - 1e-9]
+            root[reached] = first
+            queue += reached.tolist()
+    away = root != np.arange(len(node))
+    if away.any():
+        yield pa.RecordBatch.from_arrays([pa.array(node[away]), pa.array(node[root[away]])], ["a", "b"])
+
+
 def _words(prints: pa.Array) -> np.ndarray:
     """Binary values of one length as rows of 64-bit words."""
     return np.frombuffer(b"".join(prints.to_pylist()), "<u8").reshape(-1, WIDE)
@@ -448,20 +554,31 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 def similar_texts(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, component_id of every row of `docs` with a doc_id.
 
-    Texts are linked if their wide fingerprints say that `similarity` of their
-    distinct five-word shingles agree (fewer words: the whole text); component_id
-    is the smallest doc_id reached. It is an estimate: pairs below 0.65 are
-    hardly ever linked, of pairs at 0.8 about two thirds, at 0.9 and above nearly
-    all. Texts with no word (null too) are one group, rows of one doc_id as well.
-    Repeated rows stay; an empty table gives no row; further columns are ignored.
+    Texts are linked if `similarity` of their distinct five-word shingles agree
+    (Jaccard; fewer words: the whole text); component_id is the smallest doc_id
+    reached. Wide fingerprints find sets of candidates, in which all texts are
+    compared by 64-bit hashes of their shingles; of pairs at exactly 0.8 about
+    one in a thousand is no candidate, far fewer above. Texts with no word (null
+    too) are one group, rows of one doc_id as well. Repeated rows stay; an empty
+    table gives no row; further columns are ignored.
     """
-    prints = kept(docs.filter("doc_id is not null").select("doc_id", wide_column("text").alias("print")))
-    nodes = kept(prints.groupBy("print").agg(F.min("doc_id").cast("long").alias("node")))
-    twice = prints.groupBy("doc_id").agg(F.min("print").alias("print"), F.max("print").alias("other")).filter("print <> other")
-    repeated = prints.join(twice.select("doc_id"), "doc_id", "left_semi").join(nodes, "print").select(F.col("doc_id").cast("long").alias("a"), F.col("node").alias("b"))
-    roots = components(wide_links(nodes, similarity).unionByName(repeated))
-    named = nodes.join(roots, "node", "left").select("print", F.coalesce("root", "node").alias("component_id"))
-    return prints.join(named, "print").select("doc_id", "component_id")
+    named = docs.filter("doc_id is not null").select("doc_id", "text")
+    prints = kept(named.select("doc_id", wide_column("text").alias("w")).select("doc_id", "w.node", "w.print"))
+    nodes = kept(prints.groupBy("node").agg(F.min("print").alias("print"), F.min("doc_id").alias("first")))
+    roots = kept(components(wide_links(nodes.select("node", "print"), similarity)))
+    both = roots.select("node", F.col("root").alias("candidates")).unionByName(roots.select(F.col("root").alias("node"), F.col("root").alias("candidates"))).distinct()
+    wanted = nodes.join(both, "node", "left").select("node", F.col("first").alias("doc_id"), "candidates")
+    sets = named.join(wanted, "doc_id").select("node", "candidates", hashes_column("text").alias("h")).filter("h.own = node")
+    sets = kept(sets.filter("candidates is not null or size(h.prefix) > 0").select("node", "candidates", "h.hashes", "h.prefix"))
+    by_print = sets.filter("candidates is not null").select("node", F.lit(0).alias("choice"), F.col("candidates").alias("bucket"), "hashes")
+    by_shingle = sets.select("node", F.lit(1).alias("choice"), F.explode("prefix").alias("bucket"), "hashes")
+    links = exact_links(by_print.unionByName(by_shingle), similarity)
+    twice = prints.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("other")).filter("a <> other")
+    repeated = prints.join(twice, "doc_id").select("a", F.col("node").alias("b"))
+    roots = components(links.unionByName(repeated))
+    sets = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    names = sets.groupBy("root").agg(F.min("first").alias("component_id"))
+    return prints.join(sets.join(names, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -470,6 +470,43 @@ def test_wide_links_of_a_large_group(spark, monkeypatch, part):
     assert got == {i: 0 if i < 150 else i for i in range(250)}
 
 
+def _brute_components(texts):
+    """Components of all pairs at 0.8 of the distinct five-word shingles."""
+    sets = [frozenset(near_duplicates.shingles(t, 5)) for t in texts]
+    lead = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if lead[i] != lead[j] and 5 * both >= 4 * (len(a) + len(sets[j]) - both):
+                low, high = sorted((lead[i], lead[j]))
+                lead = [low if x == high else x for x in lead]
+    return dict(enumerate(lead))
+
+
+@pytest.mark.parametrize("part", [16, 2048])
+def test_similar_texts_by_brute_force(spark, monkeypatch, part):
+    """Pairs from 0.75 to 0.9, short texts, and a large family at about 0.65 to 0.7 of each other."""
+    monkeypatch.setattr(near_duplicates, "EXACT_PART", part)
+    rnd = random.Random(8)
+
+    def turned(words, n):
+        at = set(rnd.sample(range(len(words)), n))
+        return [f"n{rnd.random()}" if i in at else w for i, w in enumerate(words)]
+
+    texts = []
+    for k in range(150):
+        base = _words(rnd.choice((60, 200, 400)), 300 + k)
+        texts += [base, base[: rnd.randint(len(base) * 78 // 100, len(base) * 90 // 100)], turned(base, max(1, len(base) * rnd.randint(15, 30) // 1000))]
+        short = _words(rnd.randint(3, 45), 700 + k)
+        texts += [short, short[:-1], short[: -rnd.randint(1, 9)]]
+    family = _words(400, 5)
+    texts += [turned(family, 8) for _ in range(200)]
+    texts = [" ".join(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates.similar_texts(docs).collect()}
+    assert got == _brute_components(texts)
+
+
 def test_near_duplicates_empty(no_docs):
     assert near_duplicates.similar_texts(no_docs).count() == 0
     assert near_duplicates.near_duplicates(no_docs).count() == 0 and near_duplicates.deduplicated(no_docs).count() == 0
