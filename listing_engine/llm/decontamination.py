@@ -3,8 +3,8 @@
 A mask names the words of a window that are hashed; the words between them are
 ignored, so a window still hits where one of those was replaced. Hits of
 documents and benchmark items on the same seed give an alignment (item and
-diagonal); hits that lie close together on it form an island, and the aligned
-words around an island are compared one by one.
+diagonal); hits that lie close together on it form an island, and all aligned
+words of document and item are compared one by one for the best run there.
 """
 
 from __future__ import annotations
@@ -41,12 +41,46 @@ def seeds(texts: DataFrame, keys: list[str]) -> DataFrame:
     return placed.select(*keys, "place", F.explode(F.array(*per_mask)).alias("seed"))
 
 
+def best_run(same: Column, first: Column, end: Column, least: Column, similarity: float) -> Column:
+    """(first, end) of the run of `same` with the best sum, that has `least` words or more and meets first .. end.
+
+    An equal word adds 1 - similarity to the sum and another one takes
+    `similarity` off, so a sum of 0 or more is a share of `similarity`. A run
+    ends at each word in turn; the least sum in front of it, `least` words back,
+    is carried along. No run of that length: both are 0.
+    """
+    off = round(1000 * similarity)
+    score = lambda i: F.when(F.get(same, i), F.lit(1000 - off)).otherwise(F.lit(-off)).cast("long")
+    none = F.lit(None).cast("long")
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("back"), none.alias("low"), F.lit(0).alias("low_at"), none.alias("best"), F.lit(0).alias("first"), F.lit(0).alias("end"))
+
+    def step(now: Column, j: Column) -> Column:
+        """`now` after the word j - 1; back: the sum in front of word j - least."""
+        total, at = now["sum"] + score(j - 1), j - least
+        back = F.when(at > 0, now["back"] + score(at - 1)).otherwise(now["back"])
+        lower = (at >= 0) & (at < end) & (now["low"].isNull() | (back <= now["low"]))
+        low, low_at = F.when(lower, back).otherwise(now["low"]), F.when(lower, at).otherwise(now["low_at"])
+        better = (j > first) & low.isNotNull() & (now["best"].isNull() | (total - low > now["best"]))
+        return F.struct(
+            total.alias("sum"),
+            back.alias("back"),
+            low.alias("low"),
+            low_at.alias("low_at"),
+            F.when(better, total - low).otherwise(now["best"]).alias("best"),
+            F.when(better, low_at).otherwise(now["first"]).alias("first"),
+            F.when(better, j).otherwise(now["end"]).alias("end"),
+        )
+
+    return F.aggregate(F.sequence(F.lit(1), F.size(same)), start, step)
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
     """doc_id, item_id, doc_word, item_word, n_words, n_equal: verified overlaps (words from 0).
 
-    An overlap is the whole item laid over the document, or else an island of
-    hits; a share of `similarity` of its words is equal and it has `words` words
-    or is the whole item. Items and texts of fewer than 11 words have no seed
+    An overlap is the whole item laid over the document, or else the best run of
+    words on the diagonal that meets an island of hits (see best_run); a share of
+    `similarity` of its words is equal and it has `words` words or is the whole
+    item. Items and texts of fewer than 11 words have no seed
     and never match; null and empty texts have no words. Repeated rows of equal
     doc_id and text give one result, rows of one doc_id with different texts
     are compared each by itself. Further columns are ignored.
@@ -73,20 +107,24 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARI
     laid = texts.select("doc_id", words_of(F.col("text")).alias("doc_words"), F.explode("islands").alias("i")).select("doc_id", "doc_words", "i.*")
     both = laid.join(items, "item_id")
 
-    def equal(first: Column, end: Column) -> Column:
-        """How many words agree from word `first` of the document up to `end`."""
-        own = F.slice("doc_words", first + 1, end - first)
-        other = F.slice("item_words", first - F.col("diagonal") + 1, end - first)
-        return F.size(F.filter(F.zip_with(own, other, lambda a, b: a == b), lambda same: same))
-
     whole_first = F.greatest(F.lit(0), F.col("diagonal"))
     whole_end = F.least(F.size("doc_words"), F.col("diagonal") + F.size("item_words"))
-    both = both.withColumns({"whole": F.struct(whole_first.alias("first"), whole_end.alias("end"), equal(whole_first, whole_end).alias("n_equal"))})
-    both = both.withColumn("part", F.struct(F.col("first"), F.col("end"), equal(F.col("first"), F.col("end")).alias("n_equal")))
+    own = F.slice("doc_words", whole_first + 1, whole_end - whole_first)
+    other = F.slice("item_words", whole_first - F.col("diagonal") + 1, whole_end - whole_first)
+    least = F.least(F.lit(words), F.size("item_words"))
+    both = both.withColumn("same", F.zip_with(own, other, lambda a, b: a == b))
+    n_equal = F.size(F.filter("same", lambda same: same))
+    both = both.withColumn("whole", F.struct(whole_first.alias("first"), whole_end.alias("end"), n_equal.alias("n_equal")))
+    # a run can't have more equal words than all
+    both = both.filter(F.col("whole.n_equal") >= similarity * least)
+    run = best_run(F.col("same"), F.col("first") - F.col("whole.first"), F.col("end") - F.col("whole.first"), least, similarity)
+    both = both.withColumn("run", run)
+    part_equal = F.size(F.filter(F.slice("same", F.col("run.first") + 1, F.col("run.end") - F.col("run.first")), lambda same: same))
+    both = both.withColumn("part", F.struct((F.col("run.first") + F.col("whole.first")).alias("first"), (F.col("run.end") + F.col("whole.first")).alias("end"), part_equal.alias("n_equal")))
 
     def passes(c: str) -> Column:
         n = F.col(f"{c}.end") - F.col(f"{c}.first")
-        return (F.col(f"{c}.n_equal") >= similarity * n) & (n >= F.least(F.lit(words), F.size("item_words")))
+        return (F.col(f"{c}.n_equal") >= similarity * n) & (n >= least)
 
     chosen = F.when(passes("whole"), F.col("whole")).when(passes("part"), F.col("part"))
     return (

@@ -175,6 +175,47 @@ def test_overlaps_shuffled_alike(spark, monkeypatch):
     assert sorted(decontamination.op4_decontamination(spark, SF).collect()) == broadcast
 
 
+def _holds(doc, item):
+    """Whether any 13 words or more on a diagonal (or the whole of a shorter item) agree in 0.8, by all runs."""
+    for d in range(-len(item) + 1, len(doc)):
+        same = [doc[i] == item[i - d] for i in range(max(0, d), min(len(doc), d + len(item)))]
+        sums = np.concatenate(([0], np.cumsum([1 if s else -4 for s in same])))
+        least = min(13, len(item))
+        if any((sums[i + least :] >= sums[i]).any() for i in range(len(sums) - least)):
+            return True
+    return False
+
+
+def _replaced(words, n, rnd):
+    at = set(rnd.sample(range(len(words)), n))
+    return [f"n{rnd.random()}".replace(".", "") if i in at else w for i, w in enumerate(words)]
+
+
+def _against_brute_force(spark, docs, items):
+    frame = lambda rows, name: spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], f"{name} long, text string")
+    found = decontamination.overlaps(frame(docs, "doc_id"), frame(items, "item_id")).collect()
+    assert all(r["n_equal"] >= 0.8 * r["n_words"] and r["n_words"] >= min(13, len(items[r["item_id"]])) for r in found)
+    for r in found:
+        pairs = zip(docs[r["doc_id"]][r["doc_word"] :][: r["n_words"]], items[r["item_id"]][r["item_word"] :][: r["n_words"]], strict=True)
+        assert sum(a == b for a, b in pairs) == r["n_equal"]
+    return {r["doc_id"] for r in found}, {i for i, d in enumerate(docs) if any(_holds(d, item) for item in items)}
+
+
+def test_parts_whose_outer_windows_miss(spark):
+    """14 to 15 words of a longer item, the third and the third last replaced: hits lie in the middle alone."""
+    rnd, item = random.Random(4), _words(60, 41)
+    docs = []
+    for n in (13, 14, 15):
+        for at in range(0, 40, 4):
+            part = item[at : at + n]
+            docs.append(_words(20, at) + part[:2] + ["x"] + part[3:] + _words(20, n))
+            docs.append(_words(20, at) + part[:2] + ["x"] + part[3:-3] + ["y"] + part[-2:] + _words(20, n))
+    two = item[:20] + _words(30, 8) + item[50:]
+    docs += [two, _words(30, 1), _replaced(item, 30, rnd)]
+    got, want = _against_brute_force(spark, docs[:-2:2] + docs[-2:], [item])
+    assert got == want and want
+
+
 def test_whole_items_are_found(spark, documents):
     """Every document that holds an item word by word is reported."""
     split = lambda t: "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()
