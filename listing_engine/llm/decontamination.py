@@ -9,15 +9,22 @@ words of document and item are compared one by one for the best run there.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from listing_engine.llm.shared import kept, small_side, table
 
-#: 1 marks a word that counts. Same length, starting and ending with 1.
-MASKS = ("11101001101", "11010110011", "10110101011")
-SPAN = len(MASKS[0])
+#: 1 marks a word that counts. Where at least 0.8 of 7 words or more
+#: agree, four agree in a row, or else runs of three with one word between them
+#: (7, 11 and 15 words) or the masks of SHORT fit.
+MASKS = ("1111", "1110111")
+#: Further masks for whole items of so many words.
+SHORT = {1: ("1",), 2: ("11",), 3: ("111",), 5: ("11011", "11101", "10111"), 6: ("111011", "110111"), 10: ("111011",)}
+#: Hits of one diagonal that lie further apart are different islands.
+GAP = 11
 SIMILARITY = 0.8
 #: Words that an overlap needs, unless the whole item is shorter.
 WORDS = 13
@@ -30,15 +37,26 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
-def seeds(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, place (word number), seed for each window and mask; texts has keys and `words`."""
-    hashed = texts.filter(F.size("words") >= SPAN).select(*keys, F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-    placed = hashed.select(*keys, "h", F.explode(F.sequence(F.lit(0), F.size("h") - SPAN)).alias("place"))
-    per_mask = [
-        F.xxhash64(F.lit(m), *(F.get("h", F.col("place") + i) for i, sign in enumerate(mask) if sign == "1"))
-        for m, mask in enumerate(MASKS)
-    ]
-    return placed.select(*keys, "place", F.explode(F.array(*per_mask)).alias("seed"))
+def seeds(texts: DataFrame, keys: list[str], short: Iterable[int] | None = None) -> DataFrame:
+    """keys, place (word number), span, seed for each window and mask; texts has keys and `words`.
+
+    The masks of SHORT are laid over all texts for the numbers of words in
+    `short`, or, without it, over texts of just as many words.
+    """
+    hashed = texts.filter(F.size("words") > 0).select(*keys, F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    placed = hashed.select(*keys, "h", F.explode(F.sequence(F.lit(0), F.size("h") - 1)).alias("place"))
+
+    def seed(mask: str, also: Column) -> Column:
+        counted = F.xxhash64(F.lit(mask), *(F.get("h", F.col("place") + i) for i, sign in enumerate(mask) if sign == "1"))
+        return F.when((F.col("place") + len(mask) <= F.size("h")) & also, F.struct(F.lit(len(mask)).alias("span"), counted.alias("seed")))
+
+    per_mask = [seed(m, F.lit(True)) for m in MASKS]
+    if short is None:
+        per_mask += [seed(m, F.size("h") == n) for n, masks in SHORT.items() for m in masks]
+    else:
+        per_mask += [seed(m, F.lit(True)) for m in dict.fromkeys(m for n in sorted(short) for m in SHORT[n])]
+    found = placed.select(*keys, "place", F.explode(F.array(*per_mask)).alias("s")).filter("s is not null")
+    return found.select(*keys, "place", "s.span", "s.seed")
 
 
 def best_run(same: Column, first: Column, end: Column, least: Column, similarity: float) -> Column:
@@ -80,27 +98,28 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARI
     An overlap is the whole item laid over the document, or else the best run of
     words on the diagonal that meets an island of hits (see best_run); a share of
     `similarity` of its words is equal and it has `words` words or is the whole
-    item. Items and texts of fewer than 11 words have no seed
-    and never match; null and empty texts have no words. Repeated rows of equal
+    item. At 0.8 every overlap has a seed, and items of one word and more match;
+    null and empty texts have no words. Repeated rows of equal
     doc_id and text give one result, rows of one doc_id with different texts
     are compared each by itself. Further columns are ignored.
     """
     items = kept(benchmark.filter("text is not null and item_id is not null").select("item_id", words_of(F.col("text")).alias("item_words")).distinct())
     wanted = seeds(items.withColumnRenamed("item_words", "words"), ["item_id"]).select("item_id", F.col("place").alias("item_place"), "seed").distinct()
+    short = [r[0] for r in items.select(F.size("item_words").alias("n")).filter(F.col("n").isin(list(SHORT))).distinct().collect()]
     texts = docs.filter("text is not null and doc_id is not null").select("doc_id", "text")
     key = ["doc_id", "text_hash"]
-    found = seeds(texts.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words")), key)
+    found = seeds(texts.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words")), key, short)
     hits = found.join(small_side(wanted, BROADCAST_SEEDS), "seed")
     alignment = [*key, "item_id", "diagonal"]
-    hits = hits.select(*key, "item_id", (F.col("place") - F.col("item_place")).alias("diagonal"), "place").distinct()
+    hits = hits.select(*key, "item_id", (F.col("place") - F.col("item_place")).alias("diagonal"), "place", "span").groupBy(*alignment, "place").agg(F.max("span").alias("span"))
     # an alignment has at most as many hits as its item has windows
     along = Window.partitionBy(*alignment).orderBy("place")
-    apart = F.col("place") - F.lag("place").over(along) > SPAN
+    apart = F.col("place") - F.lag("place").over(along) > GAP
     islands = (
         hits.withColumn("new", F.coalesce(apart, F.lit(False)).cast("int"))
         .withColumn("island", F.sum("new").over(along))
         .groupBy(*alignment, "island")
-        .agg(F.min("place").alias("first"), (F.max("place") + SPAN).alias("end"))
+        .agg(F.min("place").alias("first"), F.max(F.col("place") + F.col("span")).alias("end"))
     )
     per_doc = islands.groupBy(*key).agg(F.collect_list(F.struct("item_id", "diagonal", "first", "end")).alias("islands"))
     texts = texts.withColumn("text_hash", F.xxhash64("text")).join(per_doc, key).dropDuplicates(key)

@@ -5,6 +5,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -216,6 +217,29 @@ def test_parts_whose_outer_windows_miss(spark):
     assert got == want and want
 
 
+def test_every_overlap_has_a_seed():
+    """All substitutions that leave 0.8 of up to 24 words: some mask fits between them."""
+    for n in range(1, 25):
+        masks = [*decontamination.MASKS, *decontamination.SHORT.get(n, ())]
+        laid = [sum(1 << at + i for i, sign in enumerate(m) if sign == "1") for m in masks for at in range(n - len(m) + 1)]
+        for changed in combinations(range(n), n // 5):  # fewer substitutions leave more
+            gone = sum(1 << c for c in changed)
+            assert any(not gone & m for m in laid), (n, changed)
+
+
+def test_short_and_changed_items(spark):
+    """Whole items of 1 to 30 words within 0.8, and parts of 13 words and more of a longer one."""
+    rnd, items, docs = random.Random(6), [_words(60, 42)], []
+    for n in range(1, 31):
+        items.append(_words(n, 500 + n))
+        docs += [_words(20, n) + _replaced(items[-1], rnd.randint(0, n // 5 + (k > 3)), rnd) + _words(20, 90 + n) for k in range(5)]
+        docs.append(items[-1])
+    for n in (13, 14, 15, 20, 30):
+        docs += [_words(20, n) + _replaced(items[0][at : at + n], n // 5, rnd) + _words(20, 90 + n) for at in range(0, 30, 3)]
+    got, want = _against_brute_force(spark, docs, items)
+    assert got == want
+
+
 def test_whole_items_are_found(spark, documents):
     """Every document that holds an item word by word is reported."""
     split = lambda t: "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()
