@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from listing_engine.llm import byte_bpe, decontamination, fingerprints, hard_negatives, language, lexical_search, licenses, near_duplicates, pii, toxicity, url_filters, warc
+from listing_engine.llm import byte_bpe, decontamination, fingerprints, hard_negatives, language, lexical_search, licenses, minhash, near_duplicates, pii, toxicity, url_filters, warc
 
-_MODULES = (fingerprints, url_filters, byte_bpe, decontamination, licenses, pii, language, warc, near_duplicates, toxicity, lexical_search, hard_negatives)
+_MODULES = (fingerprints, url_filters, byte_bpe, decontamination, licenses, pii, language, warc, near_duplicates, toxicity, lexical_search, minhash, hard_negatives)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 ORACLE = {k: s for m in _MODULES for k, s in m.ORACLE.items()}
