@@ -128,7 +128,9 @@ def _first(scores: np.ndarray, ids: np.ndarray, rows: np.ndarray, n: int) -> np.
 
 def _tiles(anchors: pa.Table, blocks: pa.Table, primes: list[int]) -> Iterator[tuple]:
     """(anchor row, its scores, the block's number, ids and labels) for each anchor and block of a cell."""
-    dims = anchors.column("dims")[0].as_py() if len(anchors) else 0
+    if not len(anchors):
+        return
+    dims = anchors.column("dims")[0].as_py()
     vectors = np.frombuffer(b"".join(anchors.column("vector").to_pylist()), np.int32).reshape(len(anchors), dims)
     rows = anchors.drop_columns(["vector"]).to_pylist()
     for i in range(len(blocks)):
