@@ -5,12 +5,7 @@ rows give buckets of candidates, so many that a pair at the asked similarity is
 in none of them only with a chosen chance. Candidates are compared by further
 MinHash values, a batch at a time: a pair goes as soon as the posterior (uniform
 prior) that its similarity is high enough falls to the chosen chance. What is
-left is confirmed on the full sets of shingles.
-
-A bucket never hands on all its pairs. First each node takes one surviving
-partner; those pairs are confirmed, and give sets of nodes. Then only the nodes
-that have a surviving pair across two such sets meet again in their buckets, now
-with their shingles, and all those pairs are confirmed there.
+left is confirmed on the full sets of shingles (see confirm.py).
 """
 
 from __future__ import annotations
@@ -25,8 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 from xxhash import xxh64_intdigest
 
+from listing_engine.llm.confirm import Near, cells_of, confirmed_links
 from listing_engine.llm.near_duplicates import components
-from listing_engine.llm.shared import UPPER, kept, mixed, small_side, table, text_blocks
+from listing_engine.llm.shared import UPPER, kept, mixed, table, text_blocks
 
 WORDS = 2
 #: Share of common shingles in per cent of all, and the chance to miss a link: by the bands, and by each posterior test.
@@ -35,14 +31,6 @@ MISS = 1e-6
 PRUNE = 1e-5
 #: MinHash rows of a band; further values to compare, and of these in a batch.
 ROWS, VALUES, BATCH = 5, 128, 32
-#: Nodes of a bucket that one cell holds, and members of their sets; larger buckets are cells of two parts.
-PART, PART_MEMBERS = 4096, 1 << 20
-#: Cells of up to so many nodes are compared all at once.
-SMALL = 16
-#: Members of the sets that a tile of pairs holds on one side (about).
-TILE_MEMBERS = 1 << 20
-#: Names that may be broadcast.
-BROADCAST_ROWS = 1_000_000
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -153,172 +141,22 @@ def members_column(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([names, pa.array([s.tobytes() for s in sets], pa.binary())], ["name", "members"])
 
 
-def surviving(values: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, least: list[int], per_cent: int) -> np.ndarray:
-    """Which of the pairs (i, j) are left when sizes and all batches have been looked at."""
-    low, high = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
-    left = np.flatnonzero(100 * low >= per_cent * high)
-    equal = np.zeros(len(left), np.int64)
-    for k, enough in enumerate(least):
-        at = slice(k * BATCH, (k + 1) * BATCH)
-        equal += np.count_nonzero(values[i[left], at] == values[j[left], at], axis=1)
-        good = equal >= enough
-        left, equal = left[good], equal[good]
-    return left
-
-
-def _whole_cells(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], rows: int = 1 << 14) -> Iterator[dict[str, np.ndarray]]:
-    """The named columns of runs of whole cells (bucket, cell), about `rows` rows at a time; values as rows of bytes, nulls as -1."""
-
-    def column(batch: pa.RecordBatch, name: str) -> np.ndarray:
-        c = batch.column(name)
-        if name == "values":
-            return np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(len(c), VALUES)
-        return np.array(c.to_pylist(), object) if pa.types.is_binary(c.type) else c.fill_null(-1).to_numpy(zero_copy_only=False)
-
-    held: list[dict[str, np.ndarray]] = []
-    for batch in batches:
-        held.append({n: column(batch, n) for n in ("bucket", "cell", *names)})
-        if sum(len(h["cell"]) for h in held) >= rows:
-            all_of = {n: np.concatenate([h[n] for h in held]) for n in held[0]}
-            new = np.flatnonzero((np.diff(all_of["bucket"]) != 0) | (np.diff(all_of["cell"]) != 0)) + 1
-            stop = new[-1] if len(new) else 0
-            held = [{n: c[stop:] for n, c in all_of.items()}]
-            if stop:
-                yield {n: c[:stop] for n, c in all_of.items()}
-    if held and sum(len(h["cell"]) for h in held):
-        yield {n: np.concatenate([h[n] for h in held]) for n in held[0]}
-
-
-def _pairs(rows: dict[str, np.ndarray], largest: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions (i, j), i < j, of all pairs of each cell, at most about `largest` at a time; not those of one known set."""
-    new = np.concatenate(([True], (np.diff(rows["bucket"]) != 0) | (np.diff(rows["cell"]) != 0)))
-    start = np.flatnonzero(new)
-    size = np.diff(np.append(start, len(new)))
-    group = np.cumsum(new)
-    few = np.repeat(size <= SMALL, size)
-    sets = rows.get("set")
-    for step in range(1, SMALL):
-        i = np.flatnonzero((group[step:] == group[:-step]) & few[:-step]) if step < len(group) else np.zeros(0, np.int64)
-        if sets is not None:
-            i = i[sets[i] != sets[i + step]]
-        if len(i):
-            yield i, i + step
-    for a, n in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist()):
-        if sets is not None and (sets[a : a + n] == sets[a]).all():
-            continue
-        block = max(1, largest // n)
-        for at in range(0, n - 1, block):
-            i, j = np.nonzero(np.arange(at, min(n, at + block))[:, None] < np.arange(n))
-            i, j = a + at + i, a + j
-            if sets is not None:
-                apart = sets[i] != sets[j]
-                i, j = i[apart], j[apart]
-            if len(i):
-                yield i, j
-
-
-def _partners(per_cent: int, least: list[int]):
-    """A function over cells: for each node the first surviving one of a smaller name (partner, name)."""
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _whole_cells(batches, ("name", "n", "values")):
-            first = np.full(len(rows["name"]), len(rows["name"]))
-            sets = np.arange(len(first))
-            new = np.concatenate(([True], (np.diff(rows["bucket"]) != 0) | (np.diff(rows["cell"]) != 0)))
-            start = np.flatnonzero(new)
-            size = np.diff(np.append(start, len(new)))
-            for a, n in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist()):
-                left = np.arange(a, a + n)  # a node without a partner so far is compared with all those behind it
-                while len(left) > 1:
-                    lead, left = left[0], left[1:]
-                    found = surviving(rows["values"], rows["n"], np.full(len(left), lead), left, least, per_cent)
-                    first[left[found]] = lead
-                    left = np.delete(left, found)
-                sets[a : a + n] = a  # done
-            for i, j in _pairs({**rows, "set": sets}):
-                found = surviving(rows["values"], rows["n"], i, j, least, per_cent)
-                np.minimum.at(first, j[found], i[found])
-            own = np.flatnonzero(first < len(first))
-            yield pa.RecordBatch.from_arrays([pa.array(rows["name"][first[own]]), pa.array(rows["name"][own])], names=["a", "b"])
-
-    return search
-
-
-def _untested(rows: dict[str, np.ndarray], per_cent: int, least: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Surviving pairs of two sets that aren't a node and its partner."""
-    name, partner = rows["name"], rows["partner"]
-    for i, j in _pairs(rows):
-        found = surviving(rows["values"], rows["n"], i, j, least, per_cent)
-        i, j = i[found], j[found]
-        fresh = (partner[i] != name[j]) & (partner[j] != name[i])
-        yield i[fresh], j[fresh]
-
-
-def _open_nodes(per_cent: int, least: list[int]):
-    """A function over cells: the nodes (bucket, cell, name) that have an untested surviving pair across sets."""
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _whole_cells(batches, ("name", "n", "values", "set", "partner")):
-            open_ = np.zeros(len(rows["name"]), bool)
-            for i, j in _untested(rows, per_cent, least):
-                open_[i] = open_[j] = True
-            own = np.flatnonzero(open_)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[c][own]) for c in ("bucket", "cell", "name")], names=["bucket", "cell", "name"])
-
-    return search
-
-
-def _alike(a: bytes, b: bytes, per_cent: int) -> bool:
-    one, two = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    both = len(np.intersect1d(one, two, assume_unique=True))
-    return 100 * both >= per_cent * (len(one) + len(two) - both)
-
-
-def _confirmed(per_cent: int, least: list[int]):
-    """A function over cells with members: links (a, b) of all untested surviving pairs, without those that others connect already."""
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _whole_cells(batches, ("name", "n", "values", "set", "partner", "members"), 1 << 8):
-            lead = {s: s for s in zip(rows["bucket"].tolist(), rows["cell"].tolist(), rows["set"].tolist())}
-
-            def top(s):
-                while lead[s] != s:
-                    lead[s] = s = lead[lead[s]]
-                return s
-
-            links = []
-            for i, j in _untested(rows, per_cent, least):
-                for x, y in zip(i.tolist(), j.tolist()):
-                    u, v = (top((int(rows["bucket"][k]), int(rows["cell"][k]), int(rows["set"][k]))) for k in (x, y))
-                    if u != v and _alike(rows["members"][x], rows["members"][y], per_cent):
-                        lead[u] = v
-                        links.append((int(rows["name"][x]), int(rows["name"][y])))
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    return search
-
-
-def _members(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """name, members of the distinct `names`, from the texts."""
-    found = docs.select(members_column("text").alias("s")).select("s.name", "s.members").filter("name is not null")
-    return found.join(small_side(names, BROADCAST_ROWS), "name", "left_semi").groupBy("name").agg(F.first("members").alias("members"))
-
-
-def _tested(pairs: DataFrame, sets: DataFrame, members: int, per_cent: int) -> DataFrame:
-    """The pairs (a, b) that are linked by their full sets; tiles of pairs share the sets of their names."""
-    parts = F.lit(math.ceil(members / TILE_MEMBERS) or 1)
-    tile = [F.pmod(F.xxhash64(c), parts).cast("int").alias(f"tile_{c}") for c in ("a", "b")]
-    dealt = pairs.select("a", "b", *tile)
-    wanted = dealt.select(F.col("tile_a").alias("row"), F.col("tile_b").alias("column"), F.explode(F.array("a", "b")).alias("name")).distinct()
-
-    def test(left: pa.Table, right: pa.Table) -> pa.Table:
-        held = dict(zip(left.column("name").to_pylist(), left.column("members")))
-        rows = right.select(["a", "b"])
-        good = [_alike(held[a.as_py()].as_buffer(), held[b.as_py()].as_buffer(), per_cent) for a, b in zip(rows.column("a"), rows.column("b"))]
-        return rows.filter(pa.array(good, pa.bool_()))
-
-    held = wanted.join(sets, "name").select("row", "column", "name", "members")
-    return held.groupBy("row", "column").cogroup(dealt.groupBy("tile_a", "tile_b")).applyInArrow(test, "a long, b long")
+def surviving(per_cent: int = PER_CENT, prune: float = PRUNE) -> Near:
+    """Which of the pairs (i, j) are left when sizes and all batches of values have been looked at."""
+    least = least_equal(per_cent, prune)
+
+    def near(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        sizes, values = rows["n"], rows["values"]
+        left = np.flatnonzero(100 * np.minimum(sizes[i], sizes[j]) >= per_cent * np.maximum(sizes[i], sizes[j]))
+        equal = np.zeros(len(left), np.int64)
+        for k, enough in enumerate(least):
+            at = slice(k * BATCH, (k + 1) * BATCH)
+            equal += np.count_nonzero(values[i[left], at] == values[j[left], at], axis=1)
+            good = equal >= enough
+            left, equal = left[good], equal[good]
+        return left
+
+    return near
 
 
 def minhash_duplicates(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
@@ -335,7 +173,6 @@ def minhash_duplicates(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     of MISS by the bands and about PRUNE by each of the posterior tests. Sets are
     named and compared by 64-bit hashes.
     """
-    least = least_equal(per_cent)
     named = kept(docs.select("doc_id", _signed(bands_for(per_cent))("text").alias("s")).select("doc_id", "s.*"))
     last = (1 << 63) - 1
     nodes = kept(
@@ -343,26 +180,8 @@ def minhash_duplicates(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
         .groupBy("name")
         .agg(F.coalesce(F.min("doc_id"), F.lit(last)).alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("values").alias("values"))
     )
-    dealt = nodes.select("name", F.explode("keys").alias("bucket"))
-    counts = dealt.groupBy("bucket").count().filter("count > 1").select("bucket", F.ceil(F.col("count") / PART).alias("parts"))
-    members = kept(_spread(dealt.join(counts, "bucket")))
-    signed = nodes.select("name", "n", "values")
-    pairs = kept(_in_cells(members.join(signed, "name")).mapInArrow(_partners(per_cent, least), "a long, b long").groupBy("b").agg(F.min("a").alias("a")))
-
-    used = kept(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct())
-    total = used.join(nodes, "name").agg(F.sum("n")).first()[0] or 0
-    links = kept(_tested(pairs, _members(docs, used), total, per_cent))
-    sets = components(links)
-
-    known = signed.join(sets.select(F.col("node").alias("name"), "root"), "name", "left").join(pairs.select(F.col("b").alias("name"), F.col("a").alias("partner")), "name", "left")
-    known = kept(known.select("name", "n", "values", F.coalesce("root", "name").alias("set"), F.coalesce("partner", "name").alias("partner")))
-    open_ = kept(_in_cells(members.join(known, "name")).mapInArrow(_open_nodes(per_cent, least), "bucket long, cell long, name long"))
-    if not open_.isEmpty():
-        again = open_.join(known.select("name", "n"), "name")
-        sizes = again.groupBy("bucket", "cell").agg(F.ceil(F.sum("n") / PART_MEMBERS).alias("parts"))
-        cells = _spread(again.join(sizes, ["bucket", "cell"]).withColumn("bucket", F.xxhash64("bucket", "cell")))
-        found = cells.join(known, "name").join(_members(docs, open_.select("name").distinct()), "name")
-        links = links.unionByName(_in_cells(found).mapInArrow(_confirmed(per_cent, least), "a long, b long"))
+    cells = kept(cells_of(nodes.select("name", F.explode("keys").alias("bucket"))))
+    links = confirmed_links(docs, cells, nodes.select("name", "n", "values"), surviving(per_cent), members_column, components, per_cent)
 
     # a component is named by its smallest (id, name), so no further look-up of its members is needed
     ids = nodes.select("name", F.struct("id", "name").alias("node"))
@@ -374,18 +193,6 @@ def minhash_duplicates(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _spread(rows: DataFrame) -> DataFrame:
-    """name, bucket, cell: rows of buckets with several `parts` go to one cell for each part that theirs meets."""
-    own = F.pmod(F.xxhash64("name"), "parts")
-    small, large = F.least(own, F.col("other")), F.greatest(own, F.col("other"))
-    several = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
-    return several.select("name", "bucket", (small * F.col("parts") + large).alias("cell"))
-
-
-def _in_cells(rows: DataFrame) -> DataFrame:
-    return rows.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell", "name")
-
-
 def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

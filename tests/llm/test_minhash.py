@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from listing_engine.llm import minhash
+from listing_engine.llm import confirm, minhash
 from tests.oracle import compare, duck
 
 
@@ -51,9 +51,9 @@ def _turned(rnd, words, n):
 @pytest.mark.parametrize("part", [5, 4096])
 def test_components(spark, monkeypatch, part):
     """Links around the limit, a large family of which some pairs link and some don't, short texts, split buckets."""
-    monkeypatch.setattr(minhash, "PART", part)
-    monkeypatch.setattr(minhash, "PART_MEMBERS", 2000 if part == 5 else 1 << 20)
-    monkeypatch.setattr(minhash, "TILE_MEMBERS", 3000 if part == 5 else 1 << 20)
+    monkeypatch.setattr(confirm, "PART_MEMBERS", 2000 if part == 5 else 1 << 20)
+    monkeypatch.setattr(confirm, "TILE_MEMBERS", 3000 if part == 5 else 1 << 20)
+    monkeypatch.setattr(confirm.cells_of, "__defaults__", (part,))
     rnd = random.Random(3)
     texts = []
     for k in range(60):
