@@ -11,18 +11,17 @@ left is confirmed on the full sets of shingles (see confirm.py).
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
-from xxhash import xxh64_intdigest
 
+from listing_engine.llm import sets
 from listing_engine.llm.confirm import Near, cells_of, confirmed_links
 from listing_engine.llm.near_duplicates import components
-from listing_engine.llm.shared import UPPER, kept, mixed, table, text_blocks
+from listing_engine.llm.shared import kept, mixed, table, text_blocks
 
 WORDS = 2
 #: Share of common shingles in per cent of all, and the chance to miss a link: by the bands, and by each posterior test.
@@ -31,9 +30,6 @@ MISS = 1e-6
 PRUNE = 1e-5
 #: MinHash rows of a band; further values to compare, and of these in a batch.
 ROWS, VALUES, BATCH = 5, 128, 32
-_LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
-_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-_BASE = 0x9E3779B97F4A7C15 | 1
 
 
 def bands_for(per_cent: int = PER_CENT, rows: int = ROWS, miss: float = MISS) -> int:
@@ -54,60 +50,13 @@ def least_equal(per_cent: int = PER_CENT, prune: float = PRUNE) -> list[int]:
     return least
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word of all texts, and the number of its text.
-
-    Words are runs of bytes between \\x20 and \\x09-\\x0D, A-Z lower-cased. Sums
-    of byte * base**place over the joined texts give every word's polynomial as
-    a difference, freed of its place by the inverse base.
-    """
-    data = [t.encode("utf-8", "surrogatepass").translate(_LOWER) for t in texts]
-    codes = np.frombuffer(b" ".join([b"", *data, b""]), np.uint8)
-    space = _SPACE[codes]
-    turn = np.diff(space.astype(np.int8))
-    start, end = np.flatnonzero(turn == -1) + 1, np.flatnonzero(turn == 1) + 1
-    powers = np.cumprod(np.full(len(codes), _BASE, np.uint64))
-    back = np.cumprod(np.full(len(codes), pow(_BASE, -1, 1 << 64), np.uint64))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers)))
-    hashes = mixed((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64))
-    return hashes, np.searchsorted(np.cumsum([len(d) + 1 for d in data]), start, side="left")
-
-
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
-    """Sorted 64-bit hashes of each text's distinct shingles; fewer words: one shingle of all; no word: none."""
-    hashes, owner = word_hashes(texts)
-    cut = np.searchsorted(owner, np.arange(len(texts) + 1))
-    pairs = mixed(hashes[:-1] * np.uint64(0xD6E8FEB86659FD93) ^ mixed(hashes[1:] + np.uint64(1))) if len(hashes) > 1 else hashes[:0]
-    sets = []
-    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-        sets.append(np.unique(pairs[a : b - 1]) if b - a >= WORDS else mixed(hashes[a:b] + np.uint64(2)))
-    return sets
-
+    return sets.shingle_sets(texts, WORDS)
 
-def _name(members: np.ndarray) -> int:
-    """A long that names a set."""
-    return int(np.array(xxh64_intdigest(members.tobytes(), 1), np.uint64).view(np.int64))
 
-
-def minhashes(sets: list[np.ndarray], count: int) -> Iterator[np.ndarray]:
-    """`count` times the least hashed member of each set (32 bits); no set may be empty."""
-    flat, at = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
-    factors = np.random.default_rng(12).integers(1, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    for factor in factors:
-        yield np.minimum.reduceat((flat * factor) >> np.uint64(32), at)
-
-
-def signatures(sets: list[np.ndarray], bands: int) -> tuple[np.ndarray, np.ndarray]:
+def signatures(members: list[np.ndarray], bands: int) -> tuple[np.ndarray, np.ndarray]:
     """(sets x bands keys, sets x VALUES bytes)."""
-    keys = np.empty((len(sets), bands), np.uint64)
-    values = np.empty((len(sets), VALUES), np.uint8)
-    for i, least in enumerate(minhashes(sets, bands * ROWS + VALUES)):
-        if i < bands * ROWS:
-            before = keys[:, i // ROWS] if i % ROWS else np.full(len(sets), i, np.uint64)
-            keys[:, i // ROWS] = mixed(before * np.uint64(_BASE) + least)
-        else:
-            values[:, i - bands * ROWS] = mixed(least)
-    return keys.view(np.int64), values
+    return sets.signatures(members, bands, ROWS, VALUES)
 
 
 def _signed(bands: int):
@@ -117,13 +66,13 @@ def _signed(bands: int):
     def signed(texts: pa.Array) -> pa.Array:
         """Name and size of the set of shingles, keys of its bands, values to compare; no word: size 0, the rest null."""
         names, sizes, keys, values = [], [], [], []
-        for block in text_blocks(texts, 1 << 18):
-            sets = shingle_sets(block)
-            full = [s for s in sets if len(s)]
+        for block in text_blocks(texts, sets.BLOCK):
+            found = shingle_sets(block)
+            full = [s for s in found if len(s)]
             own = iter(zip(*signatures(full, bands)) if full else ())
-            for s in sets:
+            for s in found:
                 k, v = next(own) if len(s) else (None, None)
-                names.append(_name(s) if len(s) else None)
+                names.append(sets.set_name(s) if len(s) else None)
                 sizes.append(len(s))
                 keys.append(k)
                 values.append(None if v is None else v.tobytes())
@@ -133,14 +82,6 @@ def _signed(bands: int):
     return signed
 
 
-@F.arrow_udf(StructType().add("name", LongType()).add("members", BinaryType()))
-def members_column(texts: pa.Array) -> pa.Array:
-    """Name and members of the set of shingles."""
-    sets = [s for block in text_blocks(texts, 1 << 18) for s in shingle_sets(block)]
-    names = pa.array([_name(s) if len(s) else None for s in sets], pa.int64())
-    return pa.StructArray.from_arrays([names, pa.array([s.tobytes() for s in sets], pa.binary())], ["name", "members"])
-
-
 def surviving(per_cent: int = PER_CENT, prune: float = PRUNE) -> Near:
     """Which of the pairs (i, j) are left when sizes and all batches of values have been looked at."""
     least = least_equal(per_cent, prune)
@@ -181,7 +122,7 @@ def minhash_duplicates(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
         .agg(F.coalesce(F.min("doc_id"), F.lit(last)).alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("values").alias("values"))
     )
     cells = kept(cells_of(nodes.select("name", F.explode("keys").alias("bucket"))))
-    links = confirmed_links(docs, cells, nodes.select("name", "n", "values"), surviving(per_cent), members_column, components, per_cent)
+    links = confirmed_links(docs, cells, nodes.select("name", "n", "values"), surviving(per_cent), sets.members_of(WORDS), components, per_cent)
 
     # a component is named by its smallest (id, name), so no further look-up of its members is needed
     ids = nodes.select("name", F.struct("id", "name").alias("node"))

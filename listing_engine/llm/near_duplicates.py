@@ -14,7 +14,7 @@ near_duplicates() links 64-bit fingerprints at a fixed distance. Texts of which
 four fifths of the shingles agree mostly differ in more bits than any choice of
 agreeing blocks allows for, so similar_texts() takes 256 bits of the distinct
 shingles, deals fingerprints by sampled bits, and searches with the same index
-for candidates only: sets of candidates are then compared by their shingles.
+for candidates only: each pair of candidates is then compared by its shingles.
 """
 
 from __future__ import annotations
@@ -28,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
-from xxhash import xxh3_64_intdigest, xxh3_128_digest, xxh64_intdigest
+from xxhash import xxh64_intdigest
 
-from listing_engine.llm.shared import UPPER, kept, table
+from listing_engine.llm import sets
+from listing_engine.llm.confirm import Near, cells_of, confirmed_links
+from listing_engine.llm.shared import UPPER, kept, mixed, table, text_blocks
 
 DISTANCE = 4
 WORDS = 4
@@ -50,11 +52,14 @@ CANDIDATE_SLACK = 3.5
 #: Chance that no sampled bucket holds a pair that differs in the mean number of bits at SIMILARITY.
 MISSED = 1e-5
 WIDE_PART = 32_768
-#: Texts of up to so many distinct shingles also meet by the shingles themselves: few shingles
-#: make the differing bits less regular.
+#: Texts of up to so many distinct shingles also meet by bands of MinHash rows: few shingles make
+#: the differing bits less regular.
 SHORT = 50
+SHORT_ROWS, SHORT_MISSED = 4, 1e-6
 #: Texts of a set of candidates that one task compares.
 EXACT_PART = 2048
+#: The id of texts without a doc_id.
+NO_ID = (1 << 63) - 1
 #: Texts around which a task links all others of a cell before it searches the rest.
 CENTRES = 16
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
@@ -88,47 +93,43 @@ def simhash_column(texts: pa.Array) -> pa.Array:
     return pa.array(signed)
 
 
-def wide_simhash(text: str, words: int = SIMILAR_WORDS) -> bytes:
-    """64 * WIDE bits over the distinct shingles; no shingle: all bits 0."""
-    own = list(set(shingles(text, words)))
-    bits = np.zeros(64 * WIDE, np.int64)
-    for start in range(0, len(own), 1 << 13):
-        digests = b"".join(xxh3_128_digest(s, seed) for s in own[start : start + (1 << 13)] for seed in range(WIDE // 2))
-        block = np.frombuffer(digests, np.uint8).reshape(-1, 8 * WIDE)
-        bits += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return np.packbits(2 * bits > len(own), bitorder="little").tobytes()
-
+_SEEDS = np.random.default_rng(SEED).integers(1, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-def shingle_hashes(text: str, words: int = SIMILAR_WORDS) -> np.ndarray:
-    """64-bit hashes of the distinct shingles, in order."""
-    return np.unique(np.array([xxh3_64_intdigest(s) for s in set(shingles(text, words))], "<u8"))
 
-
-def _set_name(hashes: np.ndarray) -> int:
-    """A long that names a set of shingles."""
-    return int(np.array(xxh64_intdigest(hashes.tobytes(), SEED), np.uint64).view(np.int64))
+def wide_print(members: np.ndarray) -> bytes:
+    """64 * WIDE bits over the hashes of a set: 1 where over half of them have it set; no member: all bits 0."""
+    bits = np.zeros(64 * WIDE, np.int64)
+    for start in range(0, len(members), 255):  # so that bytes can hold the counts
+        block = mixed(members[start : start + 255, None] * _SEEDS).view(np.uint8)
+        bits += np.add.reduce(np.unpackbits(block, axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * bits > len(members), bitorder="little").tobytes()
 
 
-@F.arrow_udf(StructType().add("node", LongType()).add("print", BinaryType()))
-def wide_column(texts: pa.Array) -> pa.Array:
-    """Name of the set of distinct shingles, and its wide fingerprint."""
-    texts = [t.as_py() or "" for t in texts]
-    names = pa.array([_set_name(shingle_hashes(t)) for t in texts], pa.int64())
-    return pa.StructArray.from_arrays([names, pa.array([wide_simhash(t) for t in texts], pa.binary())], ["node", "print"])
+def wide_simhash(text: str, words: int = SIMILAR_WORDS) -> bytes:
+    """The wide fingerprint of the distinct shingles of a text."""
+    return wide_print(sets.shingle_sets([text], words)[0])
 
 
-@F.arrow_udf(StructType().add("own", LongType()).add("hashes", BinaryType()).add("prefix", ArrayType(LongType())))
-def hashes_column(texts: pa.Array) -> pa.Array:
-    """Name and members of the set of shingles; of a short set the members of which similar sets share one."""
-    sets = [shingle_hashes(t.as_py() or "") for t in texts]
-    names = pa.array([_set_name(h) for h in sets], pa.int64())
-    prefixes = pa.array([h[: prefix_size(len(h))].view(np.int64).tolist() if len(h) <= SHORT else [] for h in sets], pa.list_(pa.int64()))
-    return pa.StructArray.from_arrays([names, pa.array([h.tobytes() for h in sets], pa.binary()), prefixes], ["own", "hashes", "prefix"])
+def _wide(bands: int):
+    kind = StructType().add("name", LongType()).add("n", LongType()).add("print", BinaryType()).add("keys", ArrayType(LongType()))
 
+    @F.arrow_udf(kind)
+    def wide(texts: pa.Array) -> pa.Array:
+        """Name and size of the set of distinct shingles, its wide fingerprint, and for short sets the keys of `bands` bands."""
+        names, sizes, prints, keys = [], [], [], []
+        for block in text_blocks(texts, sets.BLOCK):
+            found = sets.shingle_sets(block, SIMILAR_WORDS)
+            short = [s for s in found if 0 < len(s) <= SHORT]
+            own = iter(sets.signatures(short, bands, SHORT_ROWS, 0)[0] if short else ())
+            for s in found:
+                names.append(sets.set_name(s))
+                sizes.append(len(s))
+                prints.append(wide_print(s))
+                keys.append(next(own) if 0 < len(s) <= SHORT else None)
+        arrays = [pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+        return pa.StructArray.from_arrays(arrays, ["name", "n", "print", "keys"])
 
-def prefix_size(n: int, similarity: float = SIMILARITY) -> int:
-    """Sets of Jaccard `similarity` share one of so many first members, in any one order of all members."""
-    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+    return wide
 
 
 def differing(codes: np.ndarray) -> np.ndarray:
@@ -272,8 +273,8 @@ def star_links(fingerprints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return _searched(dealt, "fp", PART, cells)
 
 
-def _searched(dealt: DataFrame, node: str, part: int, search: Callable) -> DataFrame:
-    """Edges (a, b) that `search` finds in the cells of `dealt` (node, choice, bucket, ...).
+def _searched(dealt: DataFrame, node: str, part: int, search: Callable, schema: str = "a long, b long") -> DataFrame:
+    """Distinct rows that `search` finds in the cells of `dealt` (node, choice, bucket, ...).
 
     Buckets with more than `part` rows are split: each part meets each part in a
     task of its own, so no task holds a whole hot bucket.
@@ -293,7 +294,7 @@ def _searched(dealt: DataFrame, node: str, part: int, search: Callable) -> DataF
     return (
         spread.repartition("choice", "bucket", "cell")
         .sortWithinPartitions("choice", "bucket", "cell")
-        .mapInArrow(search, "a long, b long")
+        .mapInArrow(search, schema)
         .distinct()
     )
 
@@ -314,10 +315,11 @@ def wide_samples(n: int, share: float) -> np.ndarray:
     return np.array([np.random.default_rng(t).choice(64 * WIDE, width, replace=False) for t in range(tables)])
 
 
-def wide_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Edges (a, b) that connect the nodes whose texts may be similar, as stars.
+def candidate_sets(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """bucket, name: sets of nodes that are connected by candidate pairs in some cell.
 
-    nodes: node (distinct longs) and print (wide fingerprints), read more than once.
+    nodes: name (distinct longs) and print (wide fingerprints), read more than
+    once. A set that many cells find has one bucket, named by its members.
     """
     share, distance = wide_distance(similarity, CANDIDATE_SLACK)
     samples = wide_samples(nodes.count(), share)
@@ -331,82 +333,33 @@ def wide_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group, node, print_ in _cells(batches, ("node", "print")):
-            yield from _search_cells(node, print_, group, distance)
-
-    dealt = nodes.select("node", "print", F.posexplode(buckets("print")).alias("choice", "bucket"))
-    return _searched(dealt, "node", WIDE_PART, cells)
-
-
-def exact_links(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Edges (a, b) between all texts of a bucket that are linked at a Jaccard of `similarity`, as stars.
-
-    sets: node, choice, bucket, hashes (see hashes_column). Buckets of more than
-    EXACT_PART texts are split, so that each part meets each part.
-    """
+        for _, group, name, print_ in _cells(batches, ("name", "print"), 1 << 14):
+            for star in _search_cells(name, print_, group, distance):
+                lead, member = star.column("b").to_numpy(), star.column("a").to_numpy()
+                member, lead = np.concatenate((member, np.unique(lead))), np.concatenate((lead, np.unique(lead)))
+                order = np.lexsort((member, lead))
+                member, lead = member[order], lead[order]
+                cut = np.flatnonzero(np.concatenate(([True], lead[1:] != lead[:-1])))
+                ends = np.append(cut[1:], len(lead))
+                bucket = [sets.set_name(member[a:b]) for a, b in zip(cut.tolist(), ends.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(bucket, ends - cut)), pa.array(member)], names=["bucket", "name"])
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes]] = []
-        now = None
-        for batch in batches:
-            keys = zip(*(batch.column(c).to_pylist() for c in ("choice", "bucket", "cell")))
-            for key, node, hashes in zip(keys, batch.column("node").to_pylist(), batch.column("hashes")):
-                if key != now:
-                    yield from linked_sets(held, similarity)
-                    held, now = [], key
-                held.append((node, hashes.as_py()))
-        yield from linked_sets(held, similarity)
+    dealt = nodes.select("name", "print", F.posexplode(buckets("print")).alias("choice", "bucket"))
+    return _searched(dealt, "name", WIDE_PART, cells, "bucket long, name long")
 
-    return _searched(sets, "node", EXACT_PART, cells)
 
+def _near_prints(similarity: float) -> Near:
+    """Pairs of sets whose sizes allow for the similarity, and whose fingerprints do, unless both are short."""
+    distance = wide_distance(similarity, CANDIDATE_SLACK)[1]
 
-def linked_sets(held: list[tuple[int, bytes]], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Stars (a, b) of the sets (node, sorted 64-bit hashes) that are linked at `similarity`.
+    def near(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        n, prints = rows["n"], rows["values"]
+        left = np.flatnonzero(np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
+        short = np.maximum(n[i[left]], n[j[left]]) <= SHORT
+        close = np.bitwise_count(prints[i[left]] ^ prints[j[left]]).sum(axis=1, dtype=np.uint16) <= distance
+        return left[short | close]
 
-    Sets are reached one from the other: each is compared with those not yet
-    reached, and only with those that share one of its rarest members.
-    """
-    sets = dict(held)
-    if len(sets) < 2:
-        return
-    node = np.array(list(sets))
-    sizes = np.array([len(h) // 8 for h in sets.values()])
-    flat, counts = np.unique(np.frombuffer(b"".join(sets.values()), "<u8"), return_inverse=True, return_counts=True)[1:]
-    rarity = np.empty(len(counts), np.int64)
-    rarity[np.argsort(counts, kind="stable")] = np.arange(len(counts))
-    cut = np.cumsum(sizes)[:-1]
-    members = [np.sort(m) for m in np.split(rarity[flat], cut)]
-    heads = [m[: prefix_size(len(m), similarity)] for m in members]
-    mark = np.zeros(len(counts), bool)
-    left, root = np.arange(len(node)), np.full(len(node), -1)
-    stale = True
-    for first in range(len(node)):
-        if root[first] >= 0:
-            continue
-        root[first], queue = first, [first]
-        while queue:
-            i = queue.pop()
-            if stale or 4 * np.count_nonzero(root[left] < 0) < 3 * len(left):
-                left, stale = left[root[left] < 0], False
-                rows = np.repeat(np.arange(len(left)), [len(heads[j]) for j in left])
-                signs = np.concatenate([heads[j] for j in left]) if len(left) else np.zeros(0, np.int64)
-            if not len(left):
-                break
-            mark[heads[i]] = True
-            near = left[np.unique(rows[mark[signs]])] if sizes[i] else left[sizes[left] == 0]
-            mark[heads[i]] = False
-            near = near[(root[near] < 0) & (sizes[near] >= similarity * sizes[i] - 1e-9) & (sizes[i] >= similarity * sizes[near] - 1e-9)]
-            if not len(near):
-                continue
-            mark[members[i]] = True
-            both = np.array([np.count_nonzero(mark[members[j]]) for j in near])
-            mark[members[i]] = False
-            reached = near[both >= similarity * (sizes[i] + sizes[near] - both) - 1e-9]
-            root[reached] = first
-            queue += reached.tolist()
-    away = root != np.arange(len(node))
-    if away.any():
-        yield pa.RecordBatch.from_arrays([pa.array(node[away]), pa.array(node[root[away]])], ["a", "b"])
+    return near
 
 
 def _words(prints: pa.Array) -> np.ndarray:
@@ -551,53 +504,59 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): doc_id and name (of the set of shingles) of every row, and for each name the
+    smallest (id, name) among all that it is linked with; a null doc_id is the largest id."""
+    bands = math.ceil(math.log(SHORT_MISSED) / math.log(1 - similarity**SHORT_ROWS))
+    rows = kept(docs.select("doc_id", _wide(bands)("text").alias("w")).select("doc_id", "w.*"))
+    nodes = kept(
+        rows.groupBy("name").agg(
+            F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("id"), F.first("n").alias("n"), F.first("print").alias("print"), F.first("keys").alias("keys")
+        )
+    )
+    known = nodes.select("name", "n", F.col("print").alias("values"))
+    dealt = candidate_sets(nodes.select("name", "print"), similarity).unionByName(nodes.select("name", F.explode("keys").alias("bucket")))
+    cells = kept(cells_of(dealt, EXACT_PART))
+    links = confirmed_links(docs, cells, known, _near_prints(similarity), sets.members_of(SIMILAR_WORDS), components, round(100 * similarity))
+    ids = nodes.select("name", F.struct("id", "name").alias("node"))
+    ends = links.join(ids.select(F.col("name").alias("a"), F.col("node").alias("x")), "a").join(ids.select(F.col("name").alias("b"), F.col("node").alias("y")), "b")
+    roots = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node.name").alias("name"), "root")
+    return rows.select("doc_id", "name"), ids.join(roots, "name", "left").select("name", F.coalesce("root", "node").alias("root"))
+
+
 def similar_texts(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, component_id of every row of `docs` with a doc_id.
+    """doc_id, component_id of every row of `docs`.
 
     Texts are linked if `similarity` of their distinct five-word shingles agree
     (Jaccard; fewer words: the whole text); component_id is the smallest doc_id
-    reached. Wide fingerprints find sets of candidates, in which all texts are
-    compared by 64-bit hashes of their shingles; of pairs at exactly 0.8 about
-    one in a thousand is no candidate, far fewer above. Texts with no word (null
-    too) are one group, rows of one doc_id as well. Repeated rows stay; an empty
-    table gives no row; further columns are ignored.
+    reached (null, if none of them has one). Wide fingerprints find candidates,
+    short texts are candidates by bands of MinHash rows, too; every candidate pair
+    is then compared by 64-bit hashes of all its shingles, before sets are closed.
+    Of pairs at exactly 0.8 about one in a thousand is no candidate, far fewer
+    above. Texts with no word (null too) are one group. Rows of one doc_id are
+    judged each by its own text; repeated rows stay; very long texts are taken
+    whole, one at a time; an empty table gives no row; further columns are ignored.
     """
-    named = docs.filter("doc_id is not null").select("doc_id", "text")
-    prints = kept(named.select("doc_id", wide_column("text").alias("w")).select("doc_id", "w.node", "w.print"))
-    nodes = kept(prints.groupBy("node").agg(F.min("print").alias("print"), F.min("doc_id").alias("first")))
-    roots = kept(components(wide_links(nodes.select("node", "print"), similarity)))
-    both = roots.select("node", F.col("root").alias("candidates")).unionByName(roots.select(F.col("root").alias("node"), F.col("root").alias("candidates"))).distinct()
-    wanted = nodes.join(both, "node", "left").select("node", F.col("first").alias("doc_id"), "candidates")
-    sets = named.join(wanted, "doc_id").select("node", "candidates", hashes_column("text").alias("h")).filter("h.own = node")
-    sets = kept(sets.filter("candidates is not null or size(h.prefix) > 0").select("node", "candidates", "h.hashes", "h.prefix"))
-    by_print = sets.filter("candidates is not null").select("node", F.lit(0).alias("choice"), F.col("candidates").alias("bucket"), "hashes")
-    by_shingle = sets.select("node", F.lit(1).alias("choice"), F.explode("prefix").alias("bucket"), "hashes")
-    links = exact_links(by_print.unionByName(by_shingle), similarity)
-    twice = prints.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("other")).filter("a <> other")
-    repeated = prints.join(twice, "doc_id").select("a", F.col("node").alias("b"))
-    roots = components(links.unionByName(repeated))
-    sets = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    names = sets.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(sets.join(names, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    rows, classes = _classes(docs, similarity)
+    return rows.join(classes, "name").select("doc_id", F.nullif("root.id", F.lit(NO_ID)).alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """`docs` with one row of each set of similar texts: the smallest doc_id.
+    """`docs` with one row of each set of similar texts: one with the smallest doc_id.
 
-    Of rows that repeat this doc_id one stays. Rows without a doc_id can't be
-    named: of those with equal texts one stays.
+    Rows are told apart by doc_id and text, so other texts under the same doc_id
+    stay; of rows that repeat both one stays. Rows without a doc_id go where a
+    similar text has one, else one of them stays.
     """
-    members = similar_texts(docs, similarity)
-    leads = members.filter("doc_id = component_id").select("doc_id").distinct()
-    unnamed = docs.filter("doc_id is null")
-    chosen = docs.join(leads, "doc_id", "left_semi").select(*docs.columns)
-    one = chosen.dropDuplicates(["doc_id"]) if _repeats(docs) else chosen
-    return one.unionByName(unnamed.dropDuplicates(["text"]))
-
-
-def _repeats(docs: DataFrame) -> bool:
-    """Whether any doc_id occurs twice (ids only)."""
-    return not docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty()
+    _, classes = _classes(docs, similarity)
+    leads = classes.filter("root.name = name").select("name", F.col("root.id").alias("id"))
+    chosen = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)))  # clear of clashing names
+    where = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    chosen = chosen.withColumn("id", F.coalesce(where["doc_id"], F.lit(NO_ID))).withColumn("name", sets.name_column(where["text"], SIMILAR_WORDS))
+    chosen = chosen.join(leads, ["id", "name"], "left_semi")
+    if not chosen.groupBy("id", "name").count().filter("count > 1").isEmpty():
+        chosen = chosen.dropDuplicates(["id", "name"])
+    return chosen.select(*(F.col(v).alias(c) for c, v in where.items()))
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
