@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listing_engine.llm.shared import kept, small_side
@@ -31,7 +31,7 @@ SMALL = 16
 #: Pairs that are compared at once.
 PAIRS = 1 << 17
 #: Members of the sets that a tile of pairs holds on one side (about).
-TILE_MEMBERS = 1 << 20
+TILE_MEMBERS = 1 << 19
 #: Rounds of single pairs before cells meet with all shingles.
 ROUNDS = 2
 #: Names that may be broadcast.
@@ -212,10 +212,9 @@ def _confirmed(near: Near, per_cent: int):
     return search
 
 
-def _members(docs: DataFrame, names: DataFrame, sets: Callable[[str], Column]) -> DataFrame:
-    """name, members of the distinct `names`, from the texts."""
-    found = docs.select(sets("text").alias("s")).select("s.name", "s.members")
-    return found.join(small_side(names, BROADCAST_ROWS), "name", "left_semi").groupBy("name").agg(F.first("members").alias("members"))
+def _members(members: DataFrame, names: DataFrame) -> DataFrame:
+    """name, members of the distinct `names`."""
+    return members.join(small_side(names, BROADCAST_ROWS), "name", "left_semi").groupBy("name").agg(F.first("members").alias("members"))
 
 
 def _tested(pairs: DataFrame, sets: DataFrame, members: int, per_cent: int) -> DataFrame:
@@ -236,14 +235,14 @@ def _tested(pairs: DataFrame, sets: DataFrame, members: int, per_cent: int) -> D
 
 
 def confirmed_links(
-    docs: DataFrame, cells: DataFrame, nodes: DataFrame, near: Near, sets: Callable[[str], Column], components: Callable[[DataFrame], DataFrame], per_cent: int
+    members: DataFrame, cells: DataFrame, nodes: DataFrame, near: Near, components: Callable[[DataFrame], DataFrame], per_cent: int
 ) -> DataFrame:
     """Links (a, b) that connect all nodes of common cells that are candidates and have per_cent of their members in common.
 
-    docs: text. cells: name, bucket, cell, read several times. nodes: name, n
+    members: name, members (sorted hashes) of all texts, read for the names in
+    question only. cells: name, bucket, cell, read several times. nodes: name, n
     (members of its set), values (what `near` compares), read several times.
-    sets: from a text column the structs (name, members). components: from links
-    to (node, root).
+    components: from links to (node, root).
     """
     links = None
     now = nodes.select("name", "n", "values", F.col("name").alias("set"), F.col("name").alias("partner"))
@@ -254,7 +253,7 @@ def confirmed_links(
             break
         used = kept(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct())
         total = used.join(nodes, "name").agg(F.sum("n")).first()[0] or 0
-        new = _tested(pairs, _members(docs, used, sets), total, per_cent)
+        new = _tested(pairs, _members(members, used), total, per_cent)
         links = kept(new if links is None else links.unionByName(new))
         roots = components(links).select(F.col("node").alias("name"), "root")
         partners = pairs.select(F.col("b").alias("name"), F.col("a").alias("partner"))
@@ -264,12 +263,12 @@ def confirmed_links(
         several = cells.join(now.select("name", "set"), "name").groupBy("bucket", "cell").agg(F.min("set").alias("low"), F.max("set").alias("high"))
         cells = kept(cells.join(several.filter("low <> high").select("bucket", "cell"), ["bucket", "cell"], "left_semi"))
     if links is None:
-        return docs.sparkSession.createDataFrame([], "a long, b long")
+        return cells.sparkSession.createDataFrame([], "a long, b long")
     open_ = kept(_in_cells(cells.join(now, "name")).mapInArrow(_open_nodes(near), "bucket long, cell long, name long"))
     if open_.isEmpty():
         return links
     again = open_.join(nodes.select("name", "n"), "name")
     sizes = again.groupBy("bucket", "cell").agg(F.ceil(F.sum("n") / PART_MEMBERS).alias("parts"))
     parted = spread(again.join(sizes, ["bucket", "cell"]).withColumn("bucket", F.xxhash64("bucket", "cell")))
-    rows = parted.join(now, "name").join(_members(docs, open_.select("name").distinct(), sets), "name")
+    rows = parted.join(now, "name").join(_members(members, open_.select("name").distinct()), "name")
     return links.unionByName(_in_cells(rows).mapInArrow(_confirmed(near, per_cent), "a long, b long"))

@@ -11,17 +11,17 @@ left is confirmed on the full sets of shingles (see confirm.py).
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
 from listing_engine.llm import sets
 from listing_engine.llm.confirm import Near, cells_of, confirmed_links
 from listing_engine.llm.near_duplicates import components
-from listing_engine.llm.shared import kept, mixed, table, text_blocks
+from listing_engine.llm.shared import kept, table
 
 WORDS = 2
 #: Share of common shingles in per cent of all, and the chance to miss a link: by the bands, and by each posterior test.
@@ -30,6 +30,7 @@ MISS = 1e-6
 PRUNE = 1e-5
 #: MinHash rows of a band; further values to compare, and of these in a batch.
 ROWS, VALUES, BATCH = 5, 128, 32
+SIGNED = "doc_id long, name long, n long, keys array<long>, values binary"
 
 
 def bands_for(per_cent: int = PER_CENT, rows: int = ROWS, miss: float = MISS) -> int:
@@ -60,24 +61,22 @@ def signatures(members: list[np.ndarray], bands: int) -> tuple[np.ndarray, np.nd
 
 
 def _signed(bands: int):
-    kind = StructType().add("name", LongType()).add("n", LongType()).add("keys", ArrayType(LongType())).add("values", BinaryType())
-
-    @F.arrow_udf(kind)
-    def signed(texts: pa.Array) -> pa.Array:
-        """Name and size of the set of shingles, keys of its bands, values to compare; no word: size 0, the rest null."""
-        names, sizes, keys, values = [], [], [], []
-        for block in text_blocks(texts, sets.BLOCK):
-            found = shingle_sets(block)
+    """From rows (doc_id, text): name and size of the set of shingles, keys of its bands, values to compare; no word: size 0, the rest null."""
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in sets.text_parts(batches):
+            found = shingle_sets(texts)
             full = [s for s in found if len(s)]
             own = iter(zip(*signatures(full, bands)) if full else ())
-            for s in found:
-                k, v = next(own) if len(s) else (None, None)
-                names.append(sets.set_name(s) if len(s) else None)
-                sizes.append(len(s))
-                keys.append(k)
-                values.append(None if v is None else v.tobytes())
-        arrays = [pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(values, pa.binary())]
-        return pa.StructArray.from_arrays(arrays, ["name", "n", "keys", "values"])
+            keys, values = zip(*(next(own) if len(s) else (None, None) for s in found))
+            columns = [
+                rows.column("doc_id"),
+                pa.array([sets.set_name(s) if len(s) else None for s in found], pa.int64()),
+                pa.array([len(s) for s in found], pa.int64()),
+                pa.array(keys, pa.list_(pa.int64())),
+                pa.array([None if v is None else v.tobytes() for v in values], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "name", "n", "keys", "values"])
 
     return signed
 
@@ -114,7 +113,7 @@ def minhash_duplicates(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     of MISS by the bands and about PRUNE by each of the posterior tests. Sets are
     named and compared by 64-bit hashes.
     """
-    named = kept(docs.select("doc_id", _signed(bands_for(per_cent))("text").alias("s")).select("doc_id", "s.*"))
+    named = kept(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signed(bands_for(per_cent)), SIGNED))
     last = (1 << 63) - 1
     nodes = kept(
         named.filter("name is not null")
@@ -122,7 +121,7 @@ def minhash_duplicates(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
         .agg(F.coalesce(F.min("doc_id"), F.lit(last)).alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("values").alias("values"))
     )
     cells = kept(cells_of(nodes.select("name", F.explode("keys").alias("bucket"))))
-    links = confirmed_links(docs, cells, nodes.select("name", "n", "values"), surviving(per_cent), sets.members_of(WORDS), components, per_cent)
+    links = confirmed_links(sets.members_of(docs, WORDS), cells, nodes.select("name", "n", "values"), surviving(per_cent), components, per_cent)
 
     # a component is named by its smallest (id, name), so no further look-up of its members is needed
     ids = nodes.select("name", F.struct("id", "name").alias("node"))

@@ -32,7 +32,7 @@ from xxhash import xxh64_intdigest
 
 from listing_engine.llm import sets
 from listing_engine.llm.confirm import Near, cells_of, confirmed_links
-from listing_engine.llm.shared import UPPER, kept, mixed, table, text_blocks
+from listing_engine.llm.shared import UPPER, kept, mixed, table
 
 DISTANCE = 4
 WORDS = 4
@@ -111,23 +111,23 @@ def wide_simhash(text: str, words: int = SIMILAR_WORDS) -> bytes:
 
 
 def _wide(bands: int):
-    kind = StructType().add("name", LongType()).add("n", LongType()).add("print", BinaryType()).add("keys", ArrayType(LongType()))
-
-    @F.arrow_udf(kind)
-    def wide(texts: pa.Array) -> pa.Array:
-        """Name and size of the set of distinct shingles, its wide fingerprint, and for short sets the keys of `bands` bands."""
-        names, sizes, prints, keys = [], [], [], []
-        for block in text_blocks(texts, sets.BLOCK):
-            found = sets.shingle_sets(block, SIMILAR_WORDS)
+    """From rows (doc_id, text_hash, text): name and size of the set of distinct shingles, its wide
+    fingerprint, and for short sets the keys of `bands` bands."""
+
+    def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in sets.text_parts(batches):
+            found = sets.shingle_sets(texts, SIMILAR_WORDS)
             short = [s for s in found if 0 < len(s) <= SHORT]
             own = iter(sets.signatures(short, bands, SHORT_ROWS, 0)[0] if short else ())
-            for s in found:
-                names.append(sets.set_name(s))
-                sizes.append(len(s))
-                prints.append(wide_print(s))
-                keys.append(next(own) if 0 < len(s) <= SHORT else None)
-        arrays = [pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-        return pa.StructArray.from_arrays(arrays, ["name", "n", "print", "keys"])
+            columns = [
+                rows.column("doc_id"),
+                rows.column("text_hash"),
+                pa.array([sets.set_name(s) for s in found], pa.int64()),
+                pa.array([len(s) for s in found], pa.int64()),
+                pa.array([wide_print(s) for s in found], pa.binary()),
+                pa.array([next(own) if 0 < len(s) <= SHORT else None for s in found], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "name", "n", "print", "keys"])
 
     return wide
 
@@ -505,10 +505,11 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(rows, classes): doc_id and name (of the set of shingles) of every row, and for each name the
+    """(rows, classes): doc_id, text_hash and name (of the set of shingles) of every row, and for each name the
     smallest (id, name) among all that it is linked with; a null doc_id is the largest id."""
     bands = math.ceil(math.log(SHORT_MISSED) / math.log(1 - similarity**SHORT_ROWS))
-    rows = kept(docs.select("doc_id", _wide(bands)("text").alias("w")).select("doc_id", "w.*"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    rows = kept(texts.mapInArrow(_wide(bands), "doc_id long, text_hash long, name long, n long, print binary, keys array<long>"))
     nodes = kept(
         rows.groupBy("name").agg(
             F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("id"), F.first("n").alias("n"), F.first("print").alias("print"), F.first("keys").alias("keys")
@@ -517,11 +518,11 @@ def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     known = nodes.select("name", "n", F.col("print").alias("values"))
     dealt = candidate_sets(nodes.select("name", "print"), similarity).unionByName(nodes.select("name", F.explode("keys").alias("bucket")))
     cells = kept(cells_of(dealt, EXACT_PART))
-    links = confirmed_links(docs, cells, known, _near_prints(similarity), sets.members_of(SIMILAR_WORDS), components, round(100 * similarity))
+    links = confirmed_links(sets.members_of(docs, SIMILAR_WORDS), cells, known, _near_prints(similarity), components, round(100 * similarity))
     ids = nodes.select("name", F.struct("id", "name").alias("node"))
     ends = links.join(ids.select(F.col("name").alias("a"), F.col("node").alias("x")), "a").join(ids.select(F.col("name").alias("b"), F.col("node").alias("y")), "b")
     roots = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node.name").alias("name"), "root")
-    return rows.select("doc_id", "name"), ids.join(roots, "name", "left").select("name", F.coalesce("root", "node").alias("root"))
+    return rows.select("doc_id", "text_hash", "name"), ids.join(roots, "name", "left").select("name", F.coalesce("root", "node").alias("root"))
 
 
 def similar_texts(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -548,14 +549,16 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     stay; of rows that repeat both one stays. Rows without a doc_id go where a
     similar text has one, else one of them stays.
     """
-    _, classes = _classes(docs, similarity)
+    rows, classes = _classes(docs, similarity)
     leads = classes.filter("root.name = name").select("name", F.col("root.id").alias("id"))
-    chosen = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)))  # clear of clashing names
-    where = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    chosen = chosen.withColumn("id", F.coalesce(where["doc_id"], F.lit(NO_ID))).withColumn("name", sets.name_column(where["text"], SIMILAR_WORDS))
-    chosen = chosen.join(leads, ["id", "name"], "left_semi")
-    if not chosen.groupBy("id", "name").count().filter("count > 1").isEmpty():
-        chosen = chosen.dropDuplicates(["id", "name"])
+    own = rows.select("name", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text_hash")
+    leads = own.join(leads, ["name", "id"]).groupBy("name", "id").agg(F.min("text_hash").alias("text_hash")).select("id", "text_hash")
+    where = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # clear of clashing names
+    chosen = docs.select(*(F.col(c).alias(v) for c, v in where.items()))
+    chosen = chosen.withColumn("id", F.coalesce(F.col(where["doc_id"]).cast("long"), F.lit(NO_ID))).withColumn("text_hash", F.xxhash64(where["text"]))
+    chosen = chosen.join(leads, ["id", "text_hash"], "left_semi")
+    if not own.groupBy("id", "text_hash").count().filter("count > 1").isEmpty():
+        chosen = chosen.dropDuplicates(["id", "text_hash"])
     return chosen.select(*(F.col(v).alias(c) for c, v in where.items()))
 
 

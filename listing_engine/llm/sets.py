@@ -6,9 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructType
+from pyspark.sql import DataFrame
 from xxhash import xxh64_intdigest
 
 from listing_engine.llm.shared import UPPER, mixed, text_blocks
@@ -64,29 +62,25 @@ def set_name(members: np.ndarray) -> int:
     return int(np.array(xxh64_intdigest(members.tobytes(), 1), np.uint64).view(np.int64))
 
 
-def members_of(words: int):
-    """A function from a text column to structs (name, members) of the set of shingles."""
+def text_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of the batches with their texts (null: empty), of about BLOCK bytes, so that little is held at a time."""
+    for batch in batches:
+        at = 0
+        for texts in text_blocks(batch.column("text"), BLOCK):
+            yield batch.slice(at, len(texts)), texts
+            at += len(texts)
 
-    @F.arrow_udf(StructType().add("name", LongType()).add("members", BinaryType()))
-    def members(texts: pa.Array) -> pa.Array:
-        names, held = [], []
-        for block in text_blocks(texts, BLOCK):
-            for s in shingle_sets(block, words):
-                names.append(set_name(s))
-                held.append(s.tobytes())
-        return pa.StructArray.from_arrays([pa.array(names, pa.int64()), pa.array(held, pa.binary())], ["name", "members"])
 
-    return members
+def members_of(docs: DataFrame, words: int) -> DataFrame:
+    """name, members (sorted hashes) of the set of shingles of each row's text."""
 
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in text_parts(batches):
+            found = shingle_sets(texts, words)
+            columns = [pa.array([set_name(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["name", "members"])
 
-def name_column(text: Column | str, words: int) -> Column:
-    """The name of a text's set of shingles."""
-
-    @F.arrow_udf(LongType())
-    def name(texts: pa.Array) -> pa.Array:
-        return pa.array([set_name(s) for block in text_blocks(texts, BLOCK) for s in shingle_sets(block, words)], pa.int64())
-
-    return name(text)
+    return docs.select("text").mapInArrow(members, "name long, members binary")
 
 
 def minhashes(sets: list[np.ndarray], count: int) -> Iterator[np.ndarray]:
