@@ -3,10 +3,10 @@
 A cell holds nodes of which some pairs may be linked; a test that needs no
 shingles names its candidates. A cell never hands on all its pairs. In a few
 rounds each node takes one candidate of another set, these pairs are confirmed,
-and sets of linked nodes grow; in the end only the nodes that have an untested
-candidate across two sets meet again in their cells, now with their shingles,
-and all those pairs are confirmed there. So no candidate is left untested
-unless others connect its ends already.
+and sets of linked nodes grow. In the end the untested candidates across two sets
+are confirmed: of small cells as pairs; of larger ones only the nodes meet again
+in their cells, now with their shingles, and all those pairs are confirmed there.
+So no candidate is left untested unless others connect its ends already.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from listing_engine.llm.shared import kept, small_side
 Near = Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray]
 
 #: Nodes of a bucket that one cell holds, and members of their sets; larger buckets are cells of two parts.
-PART, PART_MEMBERS = 4096, 1 << 20
+PART, PART_MEMBERS = 2048, 1 << 19
 #: Cells of up to so many nodes are compared all at once.
 SMALL = 16
 #: Pairs that are compared at once.
@@ -167,15 +167,25 @@ def _untested(rows: dict[str, np.ndarray], near: Near) -> Iterator[tuple[np.ndar
 
 
 def _open_nodes(near: Near):
-    """A function over cells: the nodes (bucket, cell, name) that have an untested candidate of another set."""
+    """A function over cells: untested candidates of two sets, as pairs (name, other) from small cells, as
+    nodes (bucket, cell, name) from larger ones."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_cells(batches):
             open_ = np.zeros(len(rows["name"]), bool)
+            _, size, cell = _bounds(rows)
+            few = size[cell - 1] <= SMALL
+            pairs: list[tuple[np.ndarray, np.ndarray]] = []
             for i, j in _untested(rows, near):
-                open_[i] = open_[j] = True
+                own = few[i]
+                pairs.append((np.minimum(rows["name"][i[own]], rows["name"][j[own]]), np.maximum(rows["name"][i[own]], rows["name"][j[own]])))
+                open_[i[~own]] = open_[j[~own]] = True
             own = np.flatnonzero(open_)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[c][own]) for c in ("bucket", "cell", "name")], names=["bucket", "cell", "name"])
+            nodes = [pa.array(rows[c][own]) for c in ("bucket", "cell", "name")] + [pa.nulls(len(own), pa.int64())]
+            yield pa.RecordBatch.from_arrays(nodes, names=["bucket", "cell", "name", "other"])
+            if pairs:
+                one, two = (np.concatenate(c) for c in zip(*pairs))
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(len(one), pa.int64())] * 2, pa.array(one), pa.array(two)], names=["bucket", "cell", "name", "other"])
 
     return search
 
@@ -188,28 +198,27 @@ def alike(a: bytes, b: bytes, per_cent: int) -> bool:
 
 
 def _confirmed(near: Near, per_cent: int):
-    """A function over cells with members: links (a, b) of all untested candidates, without those that others connect already."""
+    """A function over a cell with members: links (a, b) of all untested candidates, without those that others connect already."""
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _whole_cells(batches):
-            cell = _bounds(rows)[2]
-            lead: dict[tuple[int, int], tuple[int, int]] = {}
+    def confirm(table: pa.Table) -> pa.Table:
+        rows = next(_whole_cells(iter(table.combine_chunks().to_batches()), table.nbytes + 1))
+        lead: dict[int, int] = {}
 
-            def top(s):
-                while lead.setdefault(s, s) != s:
-                    lead[s] = s = lead[lead[s]]
-                return s
+        def top(s):
+            while lead.setdefault(s, s) != s:
+                lead[s] = s = lead[lead[s]]
+            return s
 
-            links = []
-            for i, j in _untested(rows, near):
-                for x, y in zip(i.tolist(), j.tolist()):
-                    u, v = top((int(cell[x]), int(rows["set"][x]))), top((int(cell[y]), int(rows["set"][y])))
-                    if u != v and alike(rows["members"][x], rows["members"][y], per_cent):
-                        lead[u] = v
-                        links.append((int(rows["name"][x]), int(rows["name"][y])))
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        links = []
+        for i, j in _untested(rows, near):
+            for x, y in zip(i.tolist(), j.tolist()):
+                u, v = top(int(rows["set"][x])), top(int(rows["set"][y]))
+                if u != v and alike(rows["members"][x], rows["members"][y], per_cent):
+                    lead[u] = v
+                    links.append((int(rows["name"][x]), int(rows["name"][y])))
+        return pa.table([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return search
+    return confirm
 
 
 def _members(members: DataFrame, names: DataFrame) -> DataFrame:
@@ -264,11 +273,17 @@ def confirmed_links(
         cells = kept(cells.join(several.filter("low <> high").select("bucket", "cell"), ["bucket", "cell"], "left_semi"))
     if links is None:
         return cells.sparkSession.createDataFrame([], "a long, b long")
-    open_ = kept(_in_cells(cells.join(now, "name")).mapInArrow(_open_nodes(near), "bucket long, cell long, name long"))
+    found = kept(_in_cells(cells.join(now, "name")).mapInArrow(_open_nodes(near), "bucket long, cell long, name long, other long"))
+    pairs = kept(found.filter("other is not null").select(F.col("name").alias("a"), F.col("other").alias("b")).distinct())
+    if not pairs.isEmpty():
+        used = kept(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct())
+        total = used.join(nodes, "name").agg(F.sum("n")).first()[0] or 0
+        links = links.unionByName(_tested(pairs, _members(members, used), total, per_cent))
+    open_ = found.filter("other is null").select("bucket", "cell", "name")
     if open_.isEmpty():
         return links
     again = open_.join(nodes.select("name", "n"), "name")
     sizes = again.groupBy("bucket", "cell").agg(F.ceil(F.sum("n") / PART_MEMBERS).alias("parts"))
     parted = spread(again.join(sizes, ["bucket", "cell"]).withColumn("bucket", F.xxhash64("bucket", "cell")))
     rows = parted.join(now, "name").join(_members(members, open_.select("name").distinct()), "name")
-    return links.unionByName(_in_cells(rows).mapInArrow(_confirmed(near, per_cent), "a long, b long"))
+    return links.unionByName(rows.groupBy("bucket", "cell").applyInArrow(_confirmed(near, per_cent), "a long, b long"))
