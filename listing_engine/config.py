@@ -45,7 +45,9 @@ class MatchConfig:
     # "observed": a missing bound or value still takes part unless its whole
     # column is empty; "declared": it is left out of the mean.
     null_policy: str = "observed"
-    # A join group with more listings than this is split over several tasks.
+    # A join group with more pairs than this, or more rows of a side, is cut into
+    # rectangles for several tasks.
+    group_pairs: int = 500_000
     group_rows: int = 200_000
     # Ratio between neighbouring price bands of the range join.
     band_ratio: float = 1.5

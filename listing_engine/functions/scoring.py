@@ -80,6 +80,24 @@ class Bounds:
             w=F.coalesce(F.lit(weight) * constraint_multiplier(vmin, vmax), F.lit(0.0)),
         )
 
+    def highest(self, low: Column, high: Column) -> Column:
+        """Upper bound of `score` over the values low .. high (NULL: no value at all).
+
+        The score jumps at its bounds: a value just outside of one scores nearly
+        1, one just inside less. So the part outside on either side and the part
+        inside are bounded by themselves; inside it rises towards the middle, or
+        away from the only bound.
+        """
+        low, high = low.cast("double"), high.cast("double")
+        falls = lambda distance: F.greatest(F.lit(0.0), F.lit(1.0) - distance / self.pad)
+        below = F.when(low < self.lo, falls(self.lo - F.least(high, self.lo))).otherwise(0.0)
+        above = F.when(high > self.hi, falls(F.greatest(low, self.hi) - self.hi)).otherwise(0.0)
+        inf = float("inf")
+        peak = F.when(self.mid < inf, self.mid).when(self.hi < inf, low).otherwise(high)
+        at = F.least(F.greatest(peak, low, self.lo), high, self.hi)
+        inside = F.when((low <= self.hi) & (high >= self.lo), self.score(at)).otherwise(0.0)
+        return F.when(low.isNull(), self.missing).otherwise(F.greatest(below, above, inside))
+
     def packed(self) -> Column:
         return F.struct(*[getattr(self, f).alias(f) for f in FACTORS])
 
@@ -221,10 +239,14 @@ def with_scores(
     cfg: MatchConfig,
     client_id: str = "client_id",
     property_id: str = "property_id",
+    components: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Add s_* (4 decimals) and score (6 decimals) to joined pairs."""
+    """Add s_* (4 decimals) and score (6 decimals) to joined pairs.
+
+    `components` replaces the component scores, for instance by their upper
+    bounds; the score is monotone in each of them."""
     weights = effective_weights(cfg)
-    first = component_columns(cfg) | {f"e_{n}": w for n, w in weights.items()}
+    first = (components or component_columns(cfg)) | {f"e_{n}": w for n, w in weights.items()}
     staged = _computed(pairs, first)
     total = sum((F.col(f"e_{n}") for n in weights), F.lit(0.0))
     raw = combined_score(cfg, list(weights))

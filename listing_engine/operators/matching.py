@@ -177,8 +177,8 @@ def candidate_pairs(
     right = client_side(_packed(clients, core, "client__"), cfg, prune)
     on = list(keys)
     if split_hot:
-        left, right = split_hot_keys(left, right, keys, F.col("property_id"), cfg.group_rows)
-        on.append(SALT)
+        left, right = split_hot_keys(left, right, keys, F.col("property_id"), F.col("client_id"), cfg.group_pairs, cfg.group_rows)
+        on += SALT
     # cheap tests first; the range limits cover the hard price filter
     price, flags = F.col("precio"), reason_flags(cfg, F.lit(True))
     passing = F.coalesce((price >= F.col("low__")) & (price <= F.col("high__")), F.lit(True))

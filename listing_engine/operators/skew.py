@@ -1,39 +1,49 @@
-"""Splitting hot join keys by their counted size."""
+"""Cutting heavy join keys into rectangles by the counted sizes of both sides."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALT = "salt__"
+#: Row and column of the rectangle that a pair of rows meets in; join on these, too.
+SALT = ["salt_big__", "salt_small__"]
 
 
 def split_hot_keys(
-    big: DataFrame, small: DataFrame, keys: list[str], row_id: Column, rows_per_task: int
+    big: DataFrame, small: DataFrame, keys: list[str], big_id: Column, small_id: Column, pairs_per_task: int, rows_per_task: int
 ) -> tuple[DataFrame, DataFrame]:
-    """Salt the keys that hold more than `rows_per_task` rows of `big`.
+    """Salt the keys that would form more than `pairs_per_task` pairs or hold more than `rows_per_task` rows of a side.
 
-    Key sizes are counted first (partial sums before the shuffle, and only keys
-    that occur in `small`); only oversized keys get more than one salt. Rows of
-    `big` take one salt by hash of `row_id`, rows of `small` are repeated once
-    per salt of their key, so joining on keys + SALT yields exactly the same
-    pairs as joining on keys.
+    A key with n rows of `big` and m of `small` is n x m pairs. Both sides are
+    counted (partial sums before the shuffle) and the rectangle is cut along
+    both, into cells of about `pairs_per_task` pairs that are as square as the
+    sides allow, since a row is repeated once per cell in its row or column. A
+    row takes its place along its own side by hash of its id, so joining on keys
+    + SALT yields exactly the same pairs as joining on keys, each once.
     """
-    hot = (
-        big.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n__"))
-        .filter(F.col("n__") > rows_per_task)
-        .select(*keys, F.ceil(F.col("n__") / F.lit(rows_per_task)).cast("int").alias("salts__"))
+    count = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    n, m, side = F.col("n__").cast("double"), F.col("m__").cast("double"), F.lit(float(pairs_per_task)).cast("double") ** 0.5
+    pieces = F.ceil(n * m / F.lit(float(pairs_per_task)))
+    both_long = (n > side) & (m > side)
+    cuts = lambda own, other: F.greatest(
+        F.when(both_long, F.ceil(own / side)).when(own >= other, pieces).otherwise(F.lit(1)), F.ceil(own / F.lit(float(rows_per_task))), F.lit(1)
+    ).cast("int")
+    heavy = (
+        count(big, "n__")
+        .join(count(small, "m__"), keys)
+        .filter((n * m > pairs_per_task) | (n > rows_per_task) | (m > rows_per_task))
+        .select(*keys, cuts(n, m).alias("rows__"), cuts(m, n).alias("columns__"))
     )
-    salts = F.coalesce("salts__", F.lit(1))
-    left = (
-        big.join(hot, keys, "left")
-        .withColumn(SALT, F.pmod(F.xxhash64(row_id), salts).cast("int"))
-        .drop("salts__")
-    )
-    right = (
-        small.join(hot, keys, "left")
-        .withColumn(SALT, F.explode(F.sequence(F.lit(0), salts - 1)))
-        .drop("salts__")
-    )
-    return left, right
+    rows, columns = F.coalesce("rows__", F.lit(1)), F.coalesce("columns__", F.lit(1))
+    every = lambda cuts: F.explode(F.sequence(F.lit(0), cuts - 1))
+    own = lambda row_id, cuts: F.pmod(F.xxhash64(row_id), cuts).cast("int")
+    left = big.join(heavy, keys, "left").withColumns({SALT[0]: own(big_id, rows)}).withColumn(SALT[1], every(columns))
+    right = small.join(heavy, keys, "left").withColumns({SALT[1]: own(small_id, columns)}).withColumn(SALT[0], every(rows))
+    return left.drop("rows__", "columns__"), right.drop("rows__", "columns__")
+
+
+def all_pairs(big: DataFrame, small: DataFrame, big_id: Column, small_id: Column, pairs_per_task: int, rows_per_task: int) -> DataFrame:
+    """Every row of `big` with every row of `small`, in as many even rectangles as their counts ask for."""
+    one = lambda df: df.withColumn("all__", F.lit(0))
+    left, right = split_hot_keys(one(big), one(small), ["all__"], big_id, small_id, pairs_per_task, rows_per_task)
+    return left.join(right, ["all__", *SALT]).drop("all__", *SALT)

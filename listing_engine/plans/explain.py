@@ -4,14 +4,9 @@ The question ranges over all listings for every unmatched client, yet nothing
 here pairs everything with everything:
 
 * reasons are decided by totals and extremes of the listings (one aggregate);
-* the best candidate overall is found in tiers. A listing whose price lies
-  outside the client's soft range has price score 0, whatever the price, so
-  all such listings that agree on the other fields score alike and are one
-  profile. Tier 1 joins on price bands (price inside), tier 2 on area bands with
-  the price taken as 0, tier 3 takes both as 0 and is left with the few
-  profiles of rooms, baths and operation. Taking a component as 0 can only
-  understate a listing, and such a listing also shows up, rightly scored, in
-  an earlier tier, so the best of the tiers is the best of all pairs.
+* the best candidate overall is found by branch and bound over cells of
+  listings (operation, rooms, baths; then bands of price and area): cells whose
+  upper bound stays below a score that is known to exist are never opened.
 """
 
 from __future__ import annotations
@@ -22,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listing_engine.config import RANGES, MatchConfig
-from listing_engine.functions.scoring import Bounds, with_scores
+from listing_engine.functions.scoring import Bounds, component_columns, with_scores
 from listing_engine.functions.text import token_list
 from listing_engine.operators.filters import (
     REASON_LABELS,
@@ -32,13 +27,12 @@ from listing_engine.operators.filters import (
     min_score,
 )
 from listing_engine.operators.matching import candidate_pairs, price_band
-from listing_engine.operators.skew import SALT, split_hot_keys
+from listing_engine.operators.skew import all_pairs
 from listing_engine.plans.matching import prepare_clients
 from listing_engine.session import cut_lineage
 
 BELOW_THRESHOLD, NO_INVENTORY = "score_below_threshold", "sin_inventario"
 VALUES = [v for v, _, _ in RANGES.values()]
-SLICES = 64
 
 
 def reason_label(code: Column, cfg: MatchConfig) -> Column:
@@ -59,67 +53,82 @@ def best_passing(listings: DataFrame, ready: DataFrame, cfg: MatchConfig) -> Dat
     )
 
 
-def _best(scored: DataFrame) -> DataFrame:
-    best = F.min(F.struct((-F.col("score")).alias("s"), F.col("first_id").alias("p")))
-    return scored.groupBy("client_id").agg(best.alias("b"))
+CELL = ["operacion", "habitaciones", "banos", "no_price", "no_area"]
+FINE = [*CELL, "price_band", "area_band"]
 
 
-def _outside(name: str, missing: Column) -> Column:
-    """A value that scores 0 for this client; NULL stays NULL."""
-    b = Bounds.stored(name)
-    above, below = b.hi + b.pad * 2, b.lo - b.pad * 2
-    far = F.when(b.hi < float("inf"), above).when(b.lo > float("-inf"), below).otherwise(0.0)
-    return F.when(~missing, far)
+def listing_cells(listings: DataFrame, cfg: MatchConfig) -> DataFrame:
+    """The listings with the bands that, with the other fields, name their cell."""
+    band = lambda c: F.coalesce(price_band(F.col(c), cfg.band_ratio), F.lit(-1))
+    missing = {"no_price": F.col("precio").isNull(), "no_area": F.col("m2").isNull()}
+    return listings.select("property_id", "operacion", *VALUES).withColumns({**missing, "price_band": band("precio"), "area_band": band("m2")})
 
 
-def _banded(listings: DataFrame, clients: DataFrame, name: str, cfg: MatchConfig) -> DataFrame:
-    """Pairs whose `name` value lies inside the client's soft range."""
-    value, lo, hi = RANGES[name]
-    b = Bounds.stored(name)
-    low, high = b.lo - b.pad, b.hi + b.pad
-    bands = F.sequence(price_band(low, cfg.band_ratio), price_band(high, cfg.band_ratio))
-    side = (
-        clients.filter(F.col(lo).isNotNull() | F.col(hi).isNotNull())
-        .withColumns({"low__": low, "high__": high})
-        .withColumn("band__", F.explode(bands))
-    )
-    keyed = listings.filter(F.col(value).isNotNull()).withColumn("band__", price_band(F.col(value), cfg.band_ratio))
-    left, right = split_hot_keys(keyed, side, ["band__"], F.col("first_id"), cfg.group_rows)
-    inside = (F.col(value) >= F.col("low__")) & (F.col(value) <= F.col("high__"))
-    return left.join(right, ["band__", SALT]).filter(inside).drop("band__", SALT, "low__", "high__")
+def _summed(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Per cell the ranges of price and area, and its first listing as a sample."""
+    ends = [f(c).alias(f"{c}_{n}") for c in ("precio", "m2") for n, f in (("lo", F.min), ("hi", F.max))]
+    return cells.groupBy(*keys).agg(*ends, F.min(F.struct("property_id", "precio", "m2")).alias("sample"))
 
 
-def best_overall(listings: DataFrame, clients: DataFrame, cfg: MatchConfig) -> DataFrame:
-    """W2, second half: per client the listing with the highest score (without
-    jitter), hard filters or not, the lowest property_id on ties."""
+def _bounded(pairs: DataFrame, cfg: MatchConfig) -> DataFrame:
+    """Pairs of a client and a cell with `ceiling`, an upper bound of the score of its listings,
+    `even` (all of them score alike but for jitter), and `found`, the sample's own score and id."""
     plain = replace(cfg, jitter=0.0)
-    profile = lambda *keys: listings.groupBy(*keys).agg(F.min("property_id").alias("first_id"))
-    no_price, no_area = F.col("precio").isNull().alias("no_price"), F.col("m2").isNull().alias("no_area")
-    score = lambda pairs: _best(with_scores(pairs, plain, property_id="first_id"))
-
-    priced = profile("operacion", *VALUES)
-    tier1 = score(_banded(priced, clients, "price", cfg))
-
-    sized = profile("operacion", "m2", "habitaciones", "banos", no_price)
-    tier2 = score(_banded(sized, clients, "area", cfg).withColumn("precio", _outside("price", F.col("no_price"))))
-
-    # the rest differs only in small integers and the operation: a table of some
-    # hundred rows however many listings there are. It is repeated once per
-    # client slice, so the join spreads evenly over the tasks
-    few = profile("operacion", "habitaciones", "banos", no_price, no_area)
-    few = few.withColumn("slice__", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
-    sliced = clients.withColumn("slice__", F.pmod(F.xxhash64("client_id"), F.lit(SLICES)).cast("int"))
-    tier3 = score(
-        few.join(sliced, "slice__")
-        .withColumns({"precio": _outside("price", F.col("no_price")), "m2": _outside("area", F.col("no_area"))})
-    )
-    return (
-        tier1.unionByName(tier2)
-        .unionByName(tier3)
-        .groupBy("client_id")
-        .agg(F.min("b").alias("b"))
-        .select("client_id", F.col("b.p").alias("any_property"))
-    )
+    price, area = Bounds.stored("price"), Bounds.stored("area")
+    tops = {"price": price.highest(F.col("precio_lo"), F.col("precio_hi")), "area": area.highest(F.col("m2_lo"), F.col("m2_hi"))}
+    parts = component_columns(cfg) | {f"s_{n}": F.least(top, F.lit(cfg.caps[n])) for n, top in tops.items()}
+    flat = lambda b, name, c: ~b.bounded | F.col(f"{c}_lo").isNull() | (F.col(f"{c}_lo") == F.col(f"{c}_hi")) | (F.col(f"s_{name}") <= 0)
+    sealed = pairs.withColumns({f"{n}__k": F.col(f"{n}__f") for n in RANGES}).withColumns({"precio": F.col("precio_lo"), "m2": F.col("m2_lo")})
+    topped = with_scores(sealed.withColumn("property_id", F.col("sample.property_id")), plain, components=parts)
+    topped = topped.withColumnsRenamed({"score": "ceiling"} | {f"{n}__k": f"{n}__f" for n in RANGES})
+    even = flat(price, "price", "precio") & flat(area, "area", "m2")
+    topped = topped.withColumns({"even": even, "ceiling": F.col("ceiling") + F.lit(cfg.jitter + 2e-6), "precio": F.col("sample.precio"), "m2": F.col("sample.m2")})
+    topped = topped.drop(*[c for c in topped.columns if c.startswith("s_")])
+    real = with_scores(topped.withColumns({f"{n}__k": F.col(f"{n}__f") for n in RANGES}), cfg).withColumnsRenamed({f"{n}__k": f"{n}__f" for n in RANGES})
+    found = F.struct((-F.col("score")).alias("s"), F.col("property_id").alias("p"))
+    return real.withColumn("found", found).drop("precio", "m2", "property_id", "score", *[c for c in real.columns if c.startswith("s_")])
+
+
+def _open_cells(bounded: DataFrame, best: DataFrame) -> DataFrame:
+    """Those cells of a client whose ceiling reaches the best score found so far."""
+    return bounded.join(best, "client_id").filter(F.col("ceiling") >= -F.col("best.s")).drop("best")
+
+
+def best_overall(listings: DataFrame, clients: DataFrame, cfg: MatchConfig) -> DataFrame:
+    """W2, second half: per client the listing with the highest score, hard filters or not, the lowest property_id on ties.
+
+    Branch and bound over cells of listings that agree in operation, rooms and
+    baths and, one level down, in bands of price and area. Every cell gives an
+    upper bound of its scores and, by its first listing, a score that exists;
+    only cells whose bound reaches the best existing score are opened. Cells in
+    which all listings score alike need no opening, unless jitter tells them apart.
+    """
+    need = ["client_id", "operation_tokens", *[f"{n}__f" for n in RANGES]]
+    asked = cut_lineage(clients.select(*need))
+    placed = listing_cells(listings, cfg)
+    fine = cut_lineage(_summed(placed, FINE).withColumn("cell__", F.struct(*FINE)))
+    # ranges and sample of a coarse cell from its fine ones
+    ends = [f(f"{c}_{n}").alias(f"{c}_{n}") for c in ("precio", "m2") for n, f in (("lo", F.min), ("hi", F.max))]
+    coarse = fine.groupBy(*CELL).agg(*ends, F.min("sample").alias("sample"))
+    lowest = lambda df, c: df.groupBy("client_id").agg(F.min(c).alias("best"))
+
+    top = all_pairs(asked, coarse, F.col("client_id"), F.xxhash64(*CELL), cfg.group_pairs, cfg.group_rows)
+    top = cut_lineage(_bounded(top, cfg))
+    seen = lowest(top, "found")
+    key = [F.col("l." + k).eqNullSafe(F.col("r." + k)) for k in CELL]
+    opened = _open_cells(top, seen).select(*need, *CELL).alias("l").join(fine.drop("cell__").alias("r"), key)
+    opened = opened.select(*[F.col(f"l.{c}") for c in need], *[F.col(f"r.{c}") for c in fine.columns if c != "cell__"])
+    middle = cut_lineage(_bounded(opened, cfg))
+    seen = lowest(top.select("client_id", "found").unionByName(middle.select("client_id", "found")), "found")
+    left = _open_cells(middle, seen)
+    if not cfg.jitter:
+        left = left.filter(~F.col("even"))
+    key = [F.col("l." + k).eqNullSafe(F.col("r." + k)) for k in FINE]
+    pairs = left.select(*need, *FINE).alias("l").join(placed.alias("r"), key)
+    pairs = pairs.select(*[F.col(f"l.{c}") for c in need], *[F.col(f"r.{c}") for c in ("property_id", "operacion", *VALUES)])
+    exact = with_scores(pairs, cfg).select("client_id", F.struct((-F.col("score")).alias("s"), F.col("property_id").alias("p")).alias("found"))
+    every = exact.unionByName(seen.select("client_id", F.col("best").alias("found")))
+    return lowest(every, "found").select("client_id", F.col("best.p").alias("any_property"))
 
 
 def reasons_over_inventory(listings: DataFrame, clients: DataFrame, cfg: MatchConfig) -> DataFrame:
