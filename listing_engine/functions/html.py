@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from listing_engine.functions.text import decode_entities, html_text
+from listing_engine.functions.text import bound, decode_entities, html_text
 
 I = "(?is)"
 
@@ -54,41 +54,68 @@ def _spans(pieces: Column, tag: str, opening: str) -> Column:
     return F.aggregate(pieces, start.cast(kind), step, end)
 
 
-def _balanced(html: Column, tag: str, opening: str) -> Column:
-    pieces = _pieces(html, tag)
-    inner = lambda x: F.regexp_replace(F.array_join(F.slice(pieces, x["first"] + 1, x["last"] - x["first"]), ""), r"(?s)^<[^>]*>", "")
-    return F.transform(_spans(pieces, tag, opening), inner)
+def _balanced(html: Column, tag: str, opening: str, outer: bool = False) -> Column:
+    """Markup of the outermost such elements, each up to its own closing tag; `outer`: with both tags."""
+
+    def cut(pieces: Column) -> Column:
+        def markup(x: Column) -> Column:
+            inside = F.array_join(F.slice(pieces, x["first"] + 1, x["last"] - x["first"]), "")
+            if outer:
+                closing = F.regexp_extract(F.coalesce(F.get(pieces, x["last"]), F.lit("")), rf"{I}^</{tag}\s*>", 0)
+                return F.concat(inside, closing)
+            return F.regexp_replace(inside, r"(?s)^<[^>]*>", "")
+
+        return F.transform(_spans(pieces, tag, opening), markup)
+
+    return bound(_pieces(html, tag), cut)
 
 
 def elements(html: Column, tag: str, cls: str | None = None, attr: str = "class") -> Column:
     """Inner markup of the outermost such elements, each up to its own closing
     tag; markup without elements of one tag inside each other needs no count."""
-    html, opening = F.coalesce(html, F.lit("")), _open(tag, cls, attr)
-    flat = F.regexp_extract_all(html, F.lit(rf"{I}{opening}(.*?)</{tag}\s*>"), 1)
-    nested = F.exists(flat, lambda x: x.rlike(rf"{I}<{tag}\b[^>]*>"))
-    return F.when(nested, _balanced(html, tag, opening)).otherwise(flat)
+    opening = _open(tag, cls, attr)
+    nested = lambda flat: F.exists(flat, lambda x: x.rlike(rf"{I}<{tag}\b[^>]*>"))
+    found = lambda h: bound(
+        F.regexp_extract_all(h, F.lit(rf"{I}{opening}(.*?)</{tag}\s*>"), 1), lambda flat: F.when(nested(flat), _balanced(h, tag, opening)).otherwise(flat)
+    )
+    return bound(F.coalesce(html, F.lit("")), found)
 
 
 def element(html: Column, tag: str, cls: str | None = None, attr: str = "class") -> Column:
     """Inner markup of the first such element, NULL when absent."""
     opening = _open(tag, cls, attr)
-    pattern = rf"{I}{opening}(.*?)</{tag}\s*>"
-    flat = F.regexp_extract(html, pattern, 1)
-    nested = flat.rlike(rf"{I}<{tag}\b[^>]*>")
-    return F.when(html.rlike(pattern), F.when(nested, F.get(_balanced(html, tag, opening), F.lit(0))).otherwise(flat))
+    inner = lambda whole: F.regexp_replace(whole, rf"{I}^<[^>]*>|</{tag}\s*>$", "")
+
+    def first(h: Column) -> Column:
+        whole = F.regexp_extract(h, rf"{I}{opening}.*?</{tag}\s*>", 0)
+        flat = lambda x: F.when(x.rlike(rf"{I}^<[^>]*>.*<{tag}\b[^>]*>"), F.get(_balanced(h, tag, opening), F.lit(0))).otherwise(inner(x))
+        return bound(whole, lambda x: F.when(F.length(x) > 0, flat(x)))
+
+    return bound(html, first)
+
+
+def outer_element(html: Column, tag: str, cls: str | None = None, attr: str = "class") -> Column:
+    """The first such element with its tags, up to its own closing tag, '' when absent."""
+    opening = _open(tag, cls, attr)
+    first = lambda h: F.coalesce(F.get(_balanced(h, tag, opening, outer=True), F.lit(0)), F.lit(""))
+    return bound(F.coalesce(html, F.lit("")), lambda h: F.when(h.rlike(rf"{I}{opening}"), first(h)).otherwise(""))
 
 
 def without_elements(html: Column, tag: str, opening: str) -> Column:
     """Markup without the outermost elements whose opening tag matches."""
-    pieces = _pieces(html, tag)
-    spans = _spans(pieces, tag, opening)
-    kept = F.transform(
-        pieces,
-        lambda piece, i: F.when(F.exists(spans, lambda x: (x["first"] <= i) & (i < x["last"])), F.lit(""))
-        .when(F.exists(spans, lambda x: x["last"] == i), F.regexp_replace(piece, rf"{I}^</{tag}\s*>", ""))
-        .otherwise(piece),
-    )
-    return F.when(html.rlike(rf"{I}{opening}"), F.array_join(kept, "")).otherwise(html)
+
+    def rest(pieces: Column) -> Column:
+        def kept(spans: Column) -> Column:
+            return F.transform(
+                pieces,
+                lambda piece, i: F.when(F.exists(spans, lambda x: (x["first"] <= i) & (i < x["last"])), F.lit(""))
+                .when(F.exists(spans, lambda x: x["last"] == i), F.regexp_replace(piece, rf"{I}^</{tag}\s*>", ""))
+                .otherwise(piece),
+            )
+
+        return F.array_join(bound(_spans(pieces, tag, opening), kept), "")
+
+    return bound(html, lambda h: F.when(h.rlike(rf"{I}{opening}"), bound(_pieces(h, tag), rest)).otherwise(h))
 
 
 def text_of(html: Column, tag: str, cls: str | None = None, attr: str = "class") -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -260,6 +261,16 @@ def looks_like(kind: str, term: Column) -> Column:
 
 
 # ------------------------------------------------------------------ html
+#: Entities that most markup makes do with; the ampersand comes last, so that nothing is decoded twice.
+FREQUENT = ("nbsp", "euro", "quot", "apos", "lt", "gt", "amp")
+_OTHER = rf"&(?!(?:{'|'.join(FREQUENT)});)(?:\w+|#\d+|#[xX][0-9a-fA-F]+);"
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with `value` evaluated once however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def decode_entities(c: Column) -> Column:
     """Named and numeric entities to characters, each once; unknown ones stay."""
     names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
@@ -270,10 +281,18 @@ def decode_entities(c: Column) -> Column:
         code = F.coalesce(F.nullif(ten, F.lit("")), F.conv(F.nullif(sixteen, F.lit("")), 16, 10)).cast("int")
         valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code < 0x110000))
         sign = F.when(valid, F.when(code == 160, F.lit(" ")).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
-        sign = F.coalesce(F.try_element_at(names, name), sign)
-        return F.when(sign.isNotNull(), F.concat(sign, F.regexp_replace(piece, r"^&[^;]*;", ""))).otherwise(piece)
+        sign = bound(F.coalesce(F.try_element_at(names, name), sign), lambda x: F.when(x.isNotNull(), F.concat(x, F.regexp_replace(piece, r"^&[^;]*;", ""))))
+        return F.coalesce(sign, piece)
+
+    def any_entity(x: Column) -> Column:
+        return F.array_join(F.transform(F.split(x, "(?=&)"), decoded), "")
+
+    def frequent(x: Column) -> Column:
+        for name in FREQUENT:
+            x = F.replace(x, F.lit(f"&{name};"), F.lit(ENTITIES[name]))
+        return x
 
-    return F.when(c.contains("&"), F.array_join(F.transform(F.split(c, "(?=&)"), decoded), "")).otherwise(c)
+    return bound(c, lambda x: F.when(~x.contains("&"), x).when(x.rlike(_OTHER), any_entity(x)).otherwise(frequent(x)))
 
 
 def html_text(c: Column) -> Column:

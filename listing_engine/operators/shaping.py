@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listing_engine.functions import text as X
+from listing_engine.functions import zones as Z
+from listing_engine.operators.ordering import running_total
 from listing_engine.rules.advertisers import ADVERTISER_ALIASES
 
 # Portal label of each source.
@@ -63,8 +65,11 @@ CLIENT_LISTS = {"types": "type_tokens", "conditions": "cond_tokens", "flags": "f
 
 
 def normalize_clients(df: DataFrame, keep: tuple[str, ...] = ("id",)) -> DataFrame:
-    """Typed bounds, normalized texts and token arrays. List fields may be
-    arrays, list literals or comma-separated text."""
+    """Typed bounds, normalized texts and token arrays, ready for matching.
+
+    List fields may be arrays, list literals or comma-separated text. Location
+    tokens come from `locations`, or else from `zona_std`; `client_id` is the
+    input's, or else its `id`."""
     def tokens(name: str) -> Column:
         if name in df.columns and df.schema[name].dataType.typeName() == "array":
             normal = F.transform(F.col(name), lambda x: X.normalize_text(x))
@@ -79,7 +84,10 @@ def normalize_clients(df: DataFrame, keep: tuple[str, ...] = ("id",)) -> DataFra
     cols["operation"] = F.array_join(X.operation_tokens(tokens("operation")), ",")
     located = tokens("locations")
     cols["locations"] = F.when(F.size(located) > 0, located).otherwise(X.parse_list_field(_source(df, ("zona_std",))))
-    return df.select(*keep, *[c.alias(n) for n, c in cols.items()])
+    own = next((n for n in ("client_id", "id") if n in df.columns), None)
+    named = [F.col(own).alias("client_id")] if own and "client_id" not in keep else []
+    out = df.select(*keep, *named, *[c.alias(n) for n, c in cols.items()])
+    return out.withColumn("location_tokens", Z.location_tokens(F.col("locations")))
 
 
 def property_id(link: Column, web: Column, portable: bool = False) -> Column:
@@ -92,12 +100,9 @@ def property_id(link: Column, web: Column, portable: bool = False) -> Column:
 
 
 def positional_id(df: DataFrame, *order: str, name: str = "id") -> DataFrame:
-    """1-based position in the given order: a range-partitioned sort whose
-    partitions number their own rows from the counts of those before them
-    (the distributed-sequence index), so no task sees the whole table."""
+    """1-based position in the given order, counted per range of rows (see running_total)."""
     columns = df.columns
-    indexed = df.orderBy(*order).pandas_api().to_spark(index_col="pos__")
-    return indexed.select((F.col("pos__") + 1).alias(name), *columns)
+    return running_total(df, F.lit(1), *order, name="pos__").select(F.col("pos__").cast("bigint").alias(name), *columns)
 
 
 def derive_operation(source: str, link: Column | None = None, title: Column | None = None, value: Column | None = None) -> Column:

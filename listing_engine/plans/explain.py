@@ -26,7 +26,8 @@ from listing_engine.operators.filters import (
     location_match,
     min_score,
 )
-from listing_engine.operators.matching import candidate_pairs, price_band
+from listing_engine.operators.matching import candidate_pairs, expand_locations, price_band
+from listing_engine.operators.ordering import running_total
 from listing_engine.operators.skew import all_pairs
 from listing_engine.plans.matching import prepare_clients
 from listing_engine.session import cut_lineage
@@ -138,13 +139,12 @@ def reasons_over_inventory(listings: DataFrame, clients: DataFrame, cfg: MatchCo
     Price, rooms and baths need only the extremes of the listings; operation
     and location compare how many listings fit with how many there are.
     """
-    op_filled = F.length("operacion") > 0
     tokens = F.array_distinct(F.filter(F.coalesce("zona_tokens", F.array().cast("array<string>")), lambda t: F.length(t) > 0))
     ranged = listings.withColumn("zona_tokens", tokens)
     totals = ranged.agg(
         F.struct(
             F.count(F.lit(1)).alias("n"),
-            F.count_if(op_filled).alias("with_op"),
+            F.count_if(F.length("operacion") > 0).alias("with_op"),
             F.count_if(F.size("zona_tokens") == 0).alias("no_place"),
             F.max("precio").alias("price_hi"),
             F.min("precio").alias("price_lo"),
@@ -153,25 +153,7 @@ def reasons_over_inventory(listings: DataFrame, clients: DataFrame, cfg: MatchCo
         ).alias("t")
     ).scalar()
 
-    by_op = ranged.filter(op_filled).groupBy("operacion").agg(F.count(F.lit(1)).alias("n__"))
-    op_fit = (
-        clients.select("client_id", F.explode("operation_tokens").alias("operacion"))
-        .join(by_op, "operacion")
-        .groupBy("client_id")
-        .agg(F.sum("n__").alias("op_fit"))
-    )
-    places = (
-        ranged.groupBy("zona_tokens").agg(F.count(F.lit(1)).alias("n__")).withColumn("token__", F.explode("zona_tokens"))
-    )
-    shared = F.array_intersect("specific_tokens", "zona_tokens")
-    place_fit = (
-        clients.select("client_id", "specific_tokens", F.explode("specific_tokens").alias("token__"))
-        .join(places, "token__")
-        .filter(F.get(shared, F.lit(0)) == F.col("token__"))
-        .groupBy("client_id")
-        .agg(F.sum("n__").alias("place_fit"))
-    )
-    joined = clients.join(op_fit, "client_id", "left").join(place_fit, "client_id", "left").withColumn("t", totals)
+    joined = clients.join(_fitting(ranged, clients), "client_id").withColumn("t", totals)
     c, zero = F.col, lambda x: F.coalesce(F.col(x), F.lit(0))
     own = F.filter("location_tokens", lambda t: F.length(t) > 0)
     wild_only = F.size(F.array_except(own, F.array(*[F.lit(w) for w in WILDCARD_TOKENS]))) == 0
@@ -194,6 +176,67 @@ def reasons_over_inventory(listings: DataFrame, clients: DataFrame, cfg: MatchCo
     return joined.select("client_id", reasons.alias("reasons"))
 
 
+def _fitting(listings: DataFrame, clients: DataFrame) -> DataFrame:
+    """client_id, op_fit, place_fit: how many listings have one of the client's operations, and one of its places."""
+    by_op = listings.filter(F.length("operacion") > 0).groupBy("operacion").agg(F.count(F.lit(1)).alias("n__"))
+    op_fit = clients.select("client_id", F.explode("operation_tokens").alias("operacion")).join(by_op, "operacion").groupBy("client_id").agg(F.sum("n__").alias("op_fit"))
+    places = listings.groupBy("zona_tokens").agg(F.count(F.lit(1)).alias("n__")).withColumn("token__", F.explode("zona_tokens"))
+    shared = F.array_intersect("specific_tokens", "zona_tokens")
+    place_fit = (
+        clients.select("client_id", "specific_tokens", F.explode("specific_tokens").alias("token__"))
+        .join(places, "token__")
+        .filter(F.get(shared, F.lit(0)) == F.col("token__"))
+        .groupBy("client_id")
+        .agg(F.sum("n__").alias("place_fit"))
+    )
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return clients.join(op_fit, "client_id", "left").join(place_fit, "client_id", "left").select("client_id", zero("op_fit"), zero("place_fit"))
+
+
+def reason_counts(listings: DataFrame, clients: DataFrame, hierarchy: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
+    """F8 over the whole inventory: client_id, reason, listings (how many it rejects, 1 or more).
+
+    No pair is formed. Operation and place compare how many listings fit with
+    how many there are; price, rooms and baths are counts below a bound, read
+    off one running total over the distinct values and the distinct bounds.
+    """
+    none = F.array().cast("array<string>")
+    clean = lambda c: F.array_distinct(F.filter(F.coalesce(c, none), lambda t: F.length(t) > 0))
+    ready = cut_lineage(expand_locations(clients, hierarchy))
+    ranged = listings.withColumn("zona_tokens", clean("zona_tokens"))
+    floor = lambda bound, tol: F.greatest(F.lit(0), F.col(bound) - F.lit(tol)).cast("double")
+    # what is counted, where ties of value and bound fall (0: the bound in front), the bound
+    bounds = {
+        "price_above_max": ("precio", 2, F.col("price_max_eur") * F.lit(cfg.price_max_factor)),
+        "price_below_min": ("precio", 0, F.col("price_min_eur") * F.lit(cfg.price_min_factor)),
+        "rooms_below_min": ("habitaciones", 0, F.when(F.col("rooms_min").isNotNull(), floor("rooms_min", cfg.rooms_tolerance))),
+        "baths_below_min": ("banos", 0, F.when(F.col("bath_min").isNotNull(), floor("bath_min", cfg.baths_tolerance))),
+    }
+    asks = F.array(*[F.struct(F.lit(r).alias("reason"), F.lit(w).alias("what"), x.cast("double").alias("x"), F.lit(k).alias("tie")) for r, (w, k, x) in bounds.items()])
+    asked = ready.select("client_id", F.explode(asks).alias("a")).select("client_id", "a.*").filter("x is not null")
+    fields = F.array(*[F.struct(F.lit(w).alias("what"), F.col(w).cast("double").alias("x")) for w in ("precio", "habitaciones", "banos")])
+    values = ranged.select(F.explode(fields).alias("f")).select("f.*").filter("x is not null").groupBy("what", "x").agg(F.count(F.lit(1)).alias("n"))
+    points = values.select("what", "x", F.lit(1).alias("tie"), "n").unionByName(asked.select("what", "x", "tie").distinct().withColumn("n", F.lit(0).cast("bigint")))
+    summed = running_total(points, F.col("n"), "what", "x", "tie", name="upto")
+    sizes = values.groupBy("what").agg(F.sum("n").alias("all__"))
+    before = summed.groupBy("what").agg(F.min(F.col("upto") - F.col("n")).alias("base__"))
+    upto = summed.filter("tie <> 1").join(before, "what").join(sizes, "what", "left")
+    upto = upto.select("what", "x", "tie", (F.col("upto") - F.col("base__")).alias("below"), F.coalesce("all__", F.lit(0)).alias("all__"))
+    counted = asked.join(upto, ["what", "x", "tie"]).select("client_id", "reason", F.when(F.col("tie") == 2, F.col("all__") - F.col("below")).otherwise(F.col("below")).alias("listings"))
+
+    totals = ranged.agg(
+        F.struct(F.count(F.lit(1)).alias("n"), F.count_if(F.length("operacion") > 0).alias("with_op"), F.count_if(F.size("zona_tokens") == 0).alias("no_place")).alias("t")
+    ).scalar()
+    own = clean("location_tokens")
+    wild_only = F.size(F.array_except(own, F.array(*[F.lit(w) for w in WILDCARD_TOKENS]))) == 0
+    fitting = ready.join(_fitting(ranged, ready), "client_id").withColumn("t", totals)
+    wrong_op = F.when(F.size("operation_tokens") > 0, F.col("t.with_op") - F.col("op_fit")).otherwise(0)
+    wrong_place = F.when(F.size(own) == 0, 0).when(wild_only, F.col("t.no_place")).otherwise(F.col("t.n") - F.col("place_fit"))
+    flags = F.array(*[F.struct(F.lit(r).alias("reason"), c.cast("bigint").alias("listings")) for r, c in (("operation_mismatch", wrong_op), ("location_mismatch", wrong_place))])
+    named = fitting.select("client_id", F.inline(flags))
+    return counted.unionByName(named).filter("listings > 0")
+
+
 def unmatched_status(
     listings: DataFrame, clients: DataFrame, hierarchy: DataFrame, cfg: MatchConfig, matches: DataFrame | None = None
 ) -> DataFrame:

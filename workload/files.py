@@ -63,7 +63,8 @@ def unified_tokens(s, d):
 
 def expanded(s, d):
     """Client tokens with the municipalities of a region token."""
-    c = view(s, d, "fx_clients").filter("location_token is not null").withColumn("location_tokens", F.array("location_token"))
+    none = F.array().cast("array<string>")
+    c = view(s, d, "fx_clients").withColumn("location_tokens", F.when(F.col("location_token").isNull(), none).otherwise(F.array("location_token")))
     e = expand_locations(c, view(s, d, "fx_hierarchy"))
     return e.select("client_id", F.array_join(F.array_sort("specific_tokens"), "|").alias("tokens"))
 
@@ -115,7 +116,7 @@ ORACLE = {
         case zona when 'Villena' then 'villena' when 'Santa Rosa, Alcoy / Alcoi' then
           'alcoi|alcoy|alicante (provincia)|alicante province|alicante provincia|province of alicante|provincia alicante|provincia de alicante|santa rosa'
           when 'Batoi (Alcoi)' then 'alcoi|alcoy|alicante (provincia)|alicante province|alicante provincia|batoi|province of alicante|provincia alicante|provincia de alicante' else 'desconocido' end as tokens from f""",
-    "expanded_locations": """select client_id, case when location_token = 'spain' then '' else coalesce((select string_agg(t, '|' order by t) from
-        (select c.location_token as t union select child from fx_hierarchy h where h.parent = c.location_token)), '') end as tokens from fx_clients c where location_token is not null""",
+    "expanded_locations": """select client_id, case when location_token = 'spain' or location_token is null then '' else coalesce((select string_agg(t, '|' order by t) from
+        (select c.location_token as t union select child from fx_hierarchy h where h.parent = c.location_token)), '') end as tokens from fx_clients c""",
 }
 ORACLE = {k: with_views(v) for k, v in ORACLE.items()}

@@ -13,7 +13,7 @@ from listing_engine.operators import aggregates as A
 from listing_engine.operators import filters as P
 from listing_engine.operators import joins as J
 from listing_engine.operators import ordering as T
-from listing_engine.operators.matching import expand_locations
+from listing_engine.operators.shaping import normalize_clients
 from listing_engine.plans import explain as E
 from listing_engine.plans import matching as M
 from workload.fixtures import table, view, with_views
@@ -166,13 +166,22 @@ def _over_matches(op):
 
 
 def pair_reasons(spark: SparkSession, sf: str) -> DataFrame:
-    """Hard-filter reasons of every pair of a client and a listing of its nation."""
-    cl = expand_locations(clients(spark, sf), view(spark, sf, "fx_hierarchy")).withColumn("zona_token", F.lower("zona_std"))
-    pairs = inventory(spark, sf).join(cl, "zona_token")
-    located = P.location_match(F.col("zona_tokens"), F.col("location_tokens"), F.col("specific_tokens"))
-    return pairs.select(
-        "client_id", "property_id", F.array_join(P.hard_filter_reasons(CFG, located), ",").alias("reasons"), located.alias("located")
-    )
+    """How many of all listings each hard filter rejects, per client."""
+    return E.reason_counts(*inputs(spark, sf), CFG)
+
+
+def contact_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Contacts as the CRM exports them (all columns text), normalized and matched."""
+    raw = view(spark, sf, "fx_clients")
+    texts = raw.select(
+        F.col("client_id").alias("id"), "nombre", "mail", "zona_std", F.upper("operation").alias("operation"),
+        F.when(F.col("location_token").isNotNull(), F.concat(F.lit("['"), F.initcap("location_token"), F.lit("']"))).alias("locations"),
+        F.when(F.col("client_id") % 2 != 0, F.lit("['Economy']")).alias("types"),
+        *[F.col(c).cast("string").alias(c) for _, lo, hi in RANGES.values() for c in (lo, hi)],
+    ).withColumn("zona_std", F.lit(None).cast("string"))
+    ready = normalize_clients(texts, keep=())
+    m = M.match_all(inventory(spark, sf), ready, view(spark, sf, "fx_hierarchy"), CFG)
+    return m.select("client_id", "client_name", "property_id", "score", "rank_client", "zone_match")
 
 
 def range_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -215,6 +224,8 @@ QUERIES = {
     "range_scores": range_scores,
     "unmatched_clients": lambda s, d: J.unmatched_clients(clients(s, d), matches(s, d)).select("client_id", "nombre"),
     "unmatched_best": lambda s, d: E.explain_unmatched(*inputs(s, d), PLAIN),
+    "unmatched_best_jitter": lambda s, d: E.explain_unmatched(*inputs(s, d), CFG).select("client_id", "candidate_source", "passes_filters", "prop_id", "score", "filter_reasons"),
+    "clients_to_matches": contact_matches,
     "unmatched_reasons": lambda s, d: cut4(E.unmatched_reasons(*inputs(s, d), PLAIN)),
     "property_match_counts": _over_matches(A.property_match_counts),
     "client_match_groups": _over_matches(lambda m: A.client_match_groups(m, OWN)),
@@ -254,17 +265,20 @@ PLAIN_SQL = scored_sql(jitter=False) + """, ok_max as (
       from scored s join stuck using (client_id))"""
 CODES = ", ".join(f"case when {r} then '{r}' end" for r in sorted(FLAGS_SQL))
 LABELS = ", ".join(f"case when {r} then '{P.REASON_LABELS[r]}' end" for r in sorted(FLAGS_SQL))
-IN_ORDER = ", ".join(f"case when {e} then '{r}' end" for r, e in FLAGS_SQL.items())
 OWN_SQL = "(contains(lower(anunciante), 'brand#1') or contains(lower(anunciante), 'nobody'))"
 
 ORACLE = {
     "match_topn": FULL + " select * from matches",
     "match_scores": scored_sql() + " select client_id, property_id, s_price, s_area, s_rooms, s_baths, s_operation, score from scored where ok",
     "match_scores_declared": scored_sql(policy="declared") + " select client_id, property_id, s_price, s_area, s_rooms, s_baths, s_operation, score from scored where ok",
-    "hard_filter_reasons": f"""with p as (select c.*, i.* exclude (zona_token), i.zona_token, (c.location_token is null or c.location_token = 'spain' or c.location_token = i.zona_token
-        or exists (select 1 from fx_hierarchy h where h.parent = c.location_token and h.child = i.zona_token)) as located
-        from fx_clients c join fx_inventory i on lower(c.zona_std) = i.zona_token)
-        select client_id, property_id, concat_ws(',', {IN_ORDER}) as reasons, located from p""",
+    "hard_filter_reasons": scored_sql() + f""" select client_id, reason, count(*) as listings from (select client_id, unnest([{CODES}]) as reason from scored)
+        where reason is not null group by 1, 2""",
+    "unmatched_best_jitter": scored_sql() + f""", ok_max as (select client_id, max(score) filter (where ok) as best from scored group by 1),
+        chosen as (select s.*, row_number() over (partition by client_id order by ok desc, s.score desc, property_id) as rn
+          from scored s join ok_max using (client_id) where best is null or best < 0.55)
+        select client_id, case when ok then 'passes_filters' else 'best_overall' end as candidate_source, ok as passes_filters, property_id as prop_id, score,
+        concat_ws(',', {CODES}) as filter_reasons from chosen where rn = 1""",
+    "clients_to_matches": FULL + " select client_id, lower(client_name) as client_name, property_id, score, rank_client, zone_match from matches",
     "range_scores": f"""with b as (select *, {LINE_LO} as lo, {LINE_HI} as hi, {LINE_OP} as op from lineitem)
         select l_orderkey, l_linenumber, l_partkey, case when op = '' then 1.0::double when l_returnflag = op then 1.0::double else 0.0::double end as same_op,
         floor(({range_sql('l_extendedprice', 'lo', 'hi', 0.25)}) * 1e6 + 0.5) / 1e6 as score, floor(({multiplier_sql('lo', 'hi')}) * 1e6 + 0.5) / 1e6 as multiplier,

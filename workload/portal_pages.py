@@ -86,6 +86,16 @@ def preferences(s, d):
     return S.extract_preferences(sql(s, d, PAGES_CRM).select("id", F.col("detail").alias("html")))
 
 
+# preference blocks that hold blocks of their own, one per customer
+NESTED = f"""select c_custkey as id, concat('<div><div class="other"><div>no</div></div><DIV id="p" class="box contactCardPreference"><div>Busca</div> <span>', c_mktsegment,
+    '</span>', case when c_custkey % 3 = 0 then ', <div>para <div>Venta</div></div>' when c_custkey % 3 = 1 then '<div/ class="x">y</div>' else '' end, ' en ', c_name,
+    '</DIV ><div class="contactCardPreference">later</div></div>') as html from {{customer}}"""
+
+
+def nested_preferences(s, d):
+    return S.extract_preferences(sql(s, d, NESTED))
+
+
 def opportunities(s, d):
     return S.extract_opportunities(sql(s, d, PAGES_CRM).select("id", F.col("detail").alias("html")))
 
@@ -99,6 +109,7 @@ QUERIES = {
     "discover_links": lambda s, d: S.discover_links(sql(s, d, PAGES_R), contains=["numero 3"]),
     "crm_contacts": contacts,
     "crm_preferences": preferences,
+    "crm_preferences_nested": nested_preferences,
     "crm_opportunities": opportunities,
 }
 
@@ -144,6 +155,8 @@ ORACLE = {
       union all select c_custkey, 1, 'x' || c_custkey, '', '', '', '', '', '', null, '', '' from customer""",
     "crm_preferences": """select c_custkey as id, case when c_custkey % 10 = 9 or c_custkey % 3 = 0 then '' else '<div class="contactCardPreference">Busca <span>Piso</span>, para <span>Venta</span>, desde '
       || (c_custkey % 4 + 1) || ' Habitaciones, de ' || (c_custkey % 90 + 10) || '.000 € a 1' || (c_custkey % 90 + 10) || '.000 €, en ' || c_mktsegment || ', Alcoy</div>' end as pref_text from customer""",
+    "crm_preferences_nested": """select c_custkey as id, '<DIV id="p" class="box contactCardPreference"><div>Busca</div> <span>' || c_mktsegment || '</span>'
+      || case c_custkey % 3 when 0 then ', <div>para <div>Venta</div></div>' when 1 then '<div/ class="x">y</div>' else '' end || ' en ' || c_name || '</DIV >' as pref_text from customer""",
     "crm_opportunities": """select c_custkey as id, 0 as lead_no, 'Compra' as lead_type, 'L' || c_custkey as lead_ref, '01/02/2025' as lead_date, 'Ana' as lead_responsable, 'Agente' as lead_responsable_role,
       'Activa' as lead_state, 'Piso' as pref_tipo, 'Venta' as pref_operacion, (c_custkey % 4 + 1)::int as pref_min_habs, ((c_custkey % 90 + 10) || '000')::int as pref_precio_min,
       ('1' || (c_custkey % 90 + 10) || '000')::int as pref_precio_max, c_mktsegment as pref_zona, 'Alcoy' as pref_ciudad from customer where c_custkey % 3 > 0

@@ -185,7 +185,7 @@ def _older_sql() -> str:
 
 def search_tokens(s, d):
     toks = Z.location_tokens(F.array("texto"))
-    df = view(s, d, "fx_locations").filter(F.col("texto").isNotNull())
+    df = view(s, d, "fx_locations")
     return df.select("id", "texto", F.array_join(F.array_sort(toks), "|").alias("tokens"))
 
 
