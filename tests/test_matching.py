@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from listing_engine.config import CAPS, RANGES, SOFTNESS, WEIGHTS, MatchConfig
+from listing_engine.functions.scoring import Bounds, with_scores
 from listing_engine.operators.filters import WILDCARD_TOKENS
-from listing_engine.plans.explain import explain_unmatched, unmatched_reasons
-from listing_engine.plans.matching import match_all, scored_pairs
+from listing_engine.operators.skew import SALT, all_pairs, split_hot_keys
+from listing_engine.plans.explain import best_overall, explain_unmatched, reason_counts, unmatched_reasons
+from listing_engine.plans.matching import match_all, prepare_clients, scored_pairs
 from tests.test_scoring import CLAMP, plain_multiplier, plain_range
 
 CFG = MatchConfig(jitter=0.0, top_n=5)
@@ -156,6 +158,54 @@ def test_explanation(case):
     assert {r.reason: r.clients for r in unmatched_reasons(l, c, h, cfg).collect()} == codes
 
 
+def test_reason_counts(case):
+    l, c, h, cfg, want = case
+    counts = {}
+    for (client, _), (_, reasons, _) in want.items():
+        for r in reasons:
+            counts[client, r] = counts.get((client, r), 0) + 1
+    assert {(r.client_id, r.reason): r.listings for r in reason_counts(l, c, h, cfg).collect()} == counts
+
+
+@pytest.mark.parametrize("jitter", [0.0, 0.001, 0.05])
+def test_best_overall_is_the_best_of_all_pairs(case, jitter):
+    l, c, h, cfg, _ = case
+    cfg = replace(cfg, jitter=jitter, group_pairs=50)
+    ready = prepare_clients(c, l, h, cfg)
+    every = with_scores(ready.crossJoin(l), cfg)  # a small fixture
+    best = {}
+    for r in every.select("client_id", "property_id", "score").collect():
+        best[r[0]] = min(best.get(r[0], (9, 0)), (-r[2], r[1]))
+    assert {r[0]: r[1] for r in best_overall(l, ready, cfg).collect()} == {k: v[1] for k, v in best.items()}
+
+
+@pytest.mark.parametrize("sizes", [(300, 200), (1000, 3), (2, 700), (1, 1)])
+def test_rectangles_of_one_heavy_key(spark, sizes):
+    """All rows of both sides on one key: every pair once, no cell far beyond the budget."""
+    big, small = (spark.range(n).withColumnRenamed("id", name).withColumn("token", F.lit("a")) for n, name in zip(sizes, ("x", "y")))
+    left, right = split_hot_keys(big, small, ["token"], F.col("x"), F.col("y"), 500, 10_000)
+    pairs = left.join(right, ["token", *SALT])
+    assert pairs.count() == pairs.select("x", "y").distinct().count() == sizes[0] * sizes[1]
+    largest = pairs.groupBy(*SALT).count().agg(F.max("count")).first()[0]
+    assert largest <= 4 * 500  # hashing deals the rows out unevenly
+    assert all_pairs(big.drop("token"), small.drop("token"), F.col("x"), F.col("y"), 500, 20).count() == sizes[0] * sizes[1]
+
+
+def test_ceiling_of_a_range_of_values(spark):
+    """No value of a cell scores above the cell's bound, and a cell of one value meets it."""
+    rnd = random.Random(9)
+    some = lambda: rnd.choice([None, float(rnd.randint(0, 60))])
+    rows = []
+    for _ in range(400):
+        low = rnd.randint(0, 60)
+        rows.append((some(), some(), float(low), float(low + rnd.choice([0, 1, 15]))))
+    df = spark.createDataFrame(rows, "lo double, hi double, a double, b double")
+    b = Bounds.of(F.col("lo"), F.col("hi"), 0.15)
+    steps = F.transform(F.sequence(F.lit(0), F.lit(60)), lambda i: b.score(F.col("a") + (F.col("b") - F.col("a")) * i / 60))
+    got = df.select("a", "b", b.highest(F.col("a"), F.col("b")).alias("top"), F.array_max(steps).alias("most")).collect()
+    assert all(r.top >= r.most - 1e-12 and (r.a < r.b or abs(r.top - r.most) < 1e-12) for r in got)
+
+
 def test_plan(case):
     l, c, h, cfg, _ = case
     plan = match_all(l, c, h, cfg)._jdf.queryExecution().executedPlan().toString()
