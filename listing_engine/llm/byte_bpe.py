@@ -11,22 +11,22 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructType
 
 from listing_engine.llm.shared import table, text_blocks
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Words whose ids a worker remembers; beyond it starts afresh (results don't depend on it).
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Bytes of text whose words are replayed together; more don't fit the processor's caches.
 BLOCK = 1 << 18
 
@@ -136,7 +136,7 @@ class Replay:
         for end in ends:
             out.append([i for i in ids[start:end] if i >= 0])
             start = end
-        if len(becomes) > 4 * REMEMBERED:
+        if len(becomes) > 2 * REMEMBERED:
             becomes.clear()
         return out
 
@@ -174,71 +174,50 @@ def _replay(vocabulary: bytes, pattern: str) -> Replay:
     return _replays[key]
 
 
-class ByteBpe:
-    """encode() and decode() as column functions; the vocabulary's file is read once, on the driver.
-
-    The file is of fixed size (under 1 MB) and goes to the tasks as a broadcast value.
-    """
-
-    def __init__(self, spark: SparkSession, path: str | None = None, pattern: str | None = None):
-        with open(path or public_tokenizers.path(VOCABULARY), "rb") as f:
-            shared = spark.sparkContext.broadcast(f.read())
-        pattern = pattern or public_tokenizers.PATTERN
-
-        # a struct around the ids keeps Spark from chaining functions of the ids with this one,
-        # which would encode again for each of them
-        @F.arrow_udf("struct<ids: array<int>>")
-        def encode(texts: pa.Array) -> pa.Array:
-            replay = _replay(shared.value, pattern)
-            parts = [replay.encode(block) for block in text_blocks(texts, BLOCK)]
-            flat = [ids for part in parts for ids in part]
-            ends = np.cumsum([0, *(len(ids) // 4 for ids in flat)], dtype=np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(flat), "<u4").astype(np.int32)))
-            return pa.StructArray.from_arrays([ids], ["ids"])
-
-        @F.arrow_udf("binary")
-        def decode(ids: pa.Array) -> pa.Array:
-            replay = _replay(shared.value, pattern)
-            values, ends = _values(ids)
-            return pa.array([replay.decode(values[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.binary())
-
-        self._encode, self._decode = encode, decode
-
-    def encode(self, text: Column) -> Column:
-        """Ids (array<int>) of a text, each match of the pattern by itself, no special tokens; null: no ids."""
-        return self._encode(text)["ids"]
-
-    def decode(self, ids: Column) -> Column:
-        """Bytes of ids; null: none."""
-        return self._decode(ids)
-
-
-def _values(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of a list array as one array, and where each row starts and ends; a null row is empty."""
-    lengths = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    return ids.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(lengths)))
-
-
-@F.arrow_udf(StringType())
-def ids_sha256(ids: pa.Array) -> pa.Array:
-    """Lowercase hex of the SHA-256 of ids as little-endian unsigned 32-bit integers."""
-    values, ends = _values(ids)
-    return pa.array([hashlib.sha256(values[a:b].astype("<u4").tobytes()).hexdigest() for a, b in zip(ends[:-1], ends[1:])], pa.string())
-
-
-def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
+def encoded(docs: DataFrame, path: str | None = None, packed: bool = False, pattern: str | None = None) -> DataFrame:
     """`docs` with `ids` (array<int>), `n_tokens` (long) and `decoded` (the bytes that the ids stand for).
 
-    Null texts have no ids, repeated rows stay; columns of these names are replaced.
+    packed: ids as bytes, each a little-endian unsigned 32-bit number. Null and
+    empty texts have no ids and no bytes (both empty); repeated rows stay; very
+    long texts are taken whole, one at a time; an empty table gives no row;
+    columns of these names are replaced. The vocabulary's file is read once, on
+    the driver; it is of fixed size (under 1 MB) and goes to the tasks as a
+    broadcast value. Texts are encoded and decoded a block at a time, so a worker
+    never holds the ids of a whole batch.
     """
-    bpe = ByteBpe(docs.sparkSession, path)
-    with_ids = docs.withColumn("ids", bpe.encode(F.col("text")))
-    return with_ids.withColumns({"n_tokens": F.size("ids").cast("long"), "decoded": bpe.decode(F.col("ids"))})
+    spark = docs.sparkSession
+    with open(path or public_tokenizers.path(VOCABULARY), "rb") as f:
+        shared = spark.sparkContext.broadcast(f.read())
+    pattern = pattern or public_tokenizers.PATTERN
+    docs = docs.drop("ids", "n_tokens", "decoded")
+    at = docs.columns.index("text")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        replay = _replay(shared.value, pattern)
+        for batch in batches:
+            done = 0
+            for texts in text_blocks(batch.column(at), BLOCK):
+                rows = batch.slice(done, len(texts))
+                done += len(texts)
+                found = [np.frombuffer(ids, "<u4") for ids in replay.encode(texts)]
+                counts = np.array([len(ids) for ids in found], np.int64)
+                if packed:
+                    ids = pa.array([x.tobytes() for x in found], pa.binary())
+                else:
+                    ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+                    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).astype(np.int32)))
+                decoded = pa.array([replay.decode(x) for x in found], pa.binary())
+                new = [ids, pa.array(counts), decoded]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *new], names=[*batch.schema.names, "ids", "n_tokens", "decoded"])
+
+    kinds = StructType(list(docs.schema.fields)).add("ids", BinaryType() if packed else ArrayType(IntegerType())).add("n_tokens", LongType()).add("decoded", BinaryType())
+    return docs.mapInArrow(encode, kinds)
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return docs.select("doc_id", "n_tokens", ids_sha256("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    done = encoded(docs, packed=True)
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 QUERIES = {"op3_byte_bpe": op3_byte_bpe}
