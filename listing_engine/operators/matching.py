@@ -21,8 +21,8 @@ TOP_BAND = 60
 
 
 def expand_locations(clients: DataFrame, hierarchy: DataFrame, client_id: str = "client_id") -> DataFrame:
-    """Add `specific_tokens`: location tokens without wildcards, plus the
-    children (parent, child) of each. One shuffle of the client side only."""
+    """Add `own_tokens`: location tokens without wildcards, and `specific_tokens`: those plus
+    the children (parent, child) of each. One shuffle of the client side only."""
     wild = F.array(*[F.lit(w) for w in WILDCARD_TOKENS])
     base = clients.withColumn(
         "own__", F.array_distinct(F.array_except(F.filter("location_tokens", lambda t: F.length(t) > 0), wild))
@@ -37,10 +37,31 @@ def expand_locations(clients: DataFrame, hierarchy: DataFrame, client_id: str =
     return (
         base.join(kids, client_id, "left")
         .withColumn("specific_tokens", F.array_union("own__", F.coalesce("kids__", none)))
-        .drop("own__", "kids__")
+        .withColumnRenamed("own__", "own_tokens")
+        .drop("kids__")
     )
 
 
+def with_ancestors(listings: DataFrame, hierarchy: DataFrame) -> DataFrame:
+    """Add `place_keys`: a listing's location tokens and the parents of each.
+
+    A client who asks for a region then has one row, as has one who asks for a
+    town, and a listing a few more, however many towns a region has. Parents are
+    looked up once per distinct set of tokens.
+    """
+    places = listings.select("zona_tokens").filter(F.size("zona_tokens") > 0).distinct()
+    parents = (
+        places.select("zona_tokens", F.explode("zona_tokens").alias("child"))
+        .join(hierarchy.select("parent", "child").distinct(), "child")
+        .groupBy("zona_tokens")
+        .agg(F.sort_array(F.collect_set("parent")).alias("parents__"))
+    )
+    none = F.array().cast("array<string>")
+    held = listings.join(parents, "zona_tokens", "left")
+    keys = F.array_union(F.coalesce("zona_tokens", none), F.coalesce("parents__", none))
+    return held.withColumn("place_keys", F.array_distinct(F.filter(keys, lambda t: F.length(t) > 0))).drop("parents__")
+
+
 def price_band(price: Column, ratio: float) -> Column:
     """Geometric band of a price, NULL for NULL; monotone, so a closed range of
     prices always maps into the closed range of its ends' bands."""
@@ -92,7 +113,7 @@ def listing_side(listings: DataFrame, cfg: MatchConfig) -> DataFrame:
     """One row per (listing, join token)."""
     op = F.col("operacion")
     tokens = F.array_distinct(F.filter(F.coalesce("zona_tokens", F.array().cast("array<string>")), lambda t: F.length(t) > 0))
-    keys = F.when(F.size(tokens) > 0, F.array_union(F.array(F.lit(ANYWHERE), F.lit(LOCATED)), tokens)).otherwise(
+    keys = F.when(F.size(tokens) > 0, F.array_union(F.array(F.lit(ANYWHERE), F.lit(LOCATED)), F.col("place_keys"))).otherwise(
         F.array(F.lit(ANYWHERE))
     )
     return listings.withColumns(
@@ -108,7 +129,7 @@ def listing_side(listings: DataFrame, cfg: MatchConfig) -> DataFrame:
 def client_side(clients: DataFrame, cfg: MatchConfig, prune: bool) -> DataFrame:
     """One row per (client, join token, operation key, price band)."""
     own = F.filter("location_tokens", lambda t: F.length(t) > 0)
-    specific = F.col("specific_tokens")
+    specific = F.col("own_tokens")
     tokens = F.when(F.size(own) == 0, F.array(F.lit(ANYWHERE))).when(
         F.size(specific) == 0, F.array(F.lit(LOCATED))
     ).otherwise(specific)
@@ -136,9 +157,9 @@ def client_side(clients: DataFrame, cfg: MatchConfig, prune: bool) -> DataFrame:
     )
 
 
-LISTING_CORE = ("property_id", "operacion", "zona_tokens", *[v for v, _, _ in RANGES.values()])
+LISTING_CORE = ("property_id", "operacion", "zona_tokens", "place_keys", *[v for v, _, _ in RANGES.values()])
 CLIENT_CORE = (
-    "client_id operation_tokens location_tokens specific_tokens price_min_eur price_max_eur rooms_min bath_min"
+    "client_id operation_tokens location_tokens own_tokens price_min_eur price_max_eur rooms_min bath_min"
 ).split()
 
 
@@ -155,12 +176,12 @@ def unpack_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(
-    listings: DataFrame, clients: DataFrame, cfg: MatchConfig, prune: bool = True, split_hot: bool = True
+    listings: DataFrame, clients: DataFrame, hierarchy: DataFrame, cfg: MatchConfig, prune: bool = True, split_hot: bool = True
 ) -> DataFrame:
     """J1 + J2: pairs that pass the hard filters, each exactly once.
 
     The array-overlap join becomes an equi-join on (location token, operation,
-    price band); the residual keeps a pair only on the first token the two
+    price band), listings standing under the regions of their towns, too; the residual keeps a pair only on the first token the two
     sides share, so no distinct over the pairs is needed. `clients` carry the
     columns of `with_client_factors` and `expand_locations`. With `prune`, pairs
     that provably stay below min_score are not produced.
@@ -172,7 +193,7 @@ def candidate_pairs(
     keys = ["token__", "op__", "band__"]
     if prune:
         clients = clients.withColumns(reach_columns(cfg))
-    left = listing_side(_packed(listings, LISTING_CORE, "listing__"), cfg)
+    left = listing_side(_packed(with_ancestors(listings, hierarchy), LISTING_CORE, "listing__"), cfg)
     core = (*CLIENT_CORE, *[c for c in clients.columns if c.endswith(("__f", "__from", "__to", "__need"))])
     right = client_side(_packed(clients, core, "client__"), cfg, prune)
     on = list(keys)
@@ -186,8 +207,8 @@ def candidate_pairs(
         passing = passing & within_reach(cfg)
     passing = passing & ~flags["rooms_below_min"] & ~flags["baths_below_min"]
     passing = passing & ((F.col("op__") != RARE) | ~flags["operation_mismatch"])
-    single = (F.size("zona_tokens") == 1) | (F.size("specific_tokens") == 1)
-    shared = F.array_intersect("specific_tokens", "zona_tokens")
+    single = (F.size("place_keys") == 1) | (F.size("own_tokens") == 1)
+    shared = F.array_intersect("own_tokens", "place_keys")
     first = F.col("token__").isin(ANYWHERE, LOCATED) | single | (F.get(shared, F.lit(0)) == F.col("token__"))
     extra = [c for c in right.columns if c.endswith(("__from", "__to", "__need"))] + ["low__", "high__"]
     return left.join(right, on).filter(passing & first).drop(*on, *extra)

@@ -44,10 +44,10 @@ def reason_label(code: Column, cfg: MatchConfig) -> Column:
     return F.when(code == BELOW_THRESHOLD, F.lit(f"Coincidencias con score < {cfg.min_score}")).otherwise(out)
 
 
-def best_passing(listings: DataFrame, ready: DataFrame, cfg: MatchConfig) -> DataFrame:
+def best_passing(listings: DataFrame, ready: DataFrame, hierarchy: DataFrame, cfg: MatchConfig) -> DataFrame:
     """W2, first half: per client the best pair that passes the hard filters,
     the first listing on ties. Reduced per task before the shuffle."""
-    scored = with_scores(candidate_pairs(listings, ready, cfg, prune=False), cfg)
+    scored = with_scores(candidate_pairs(listings, ready, hierarchy, cfg, prune=False), cfg)
     best = F.min(F.struct((-F.col("score")).alias("s"), F.col("property_id").alias("p")))
     return scored.groupBy("client_id").agg(best.alias("b")).select(
         "client_id", F.col("b.p").alias("ok_property"), (-F.col("b.s")).alias("ok_score")
@@ -248,9 +248,9 @@ def unmatched_status(
     """
     ready = prepare_clients(clients, listings, hierarchy, cfg)
     if matches is None:
-        matches = min_score(with_scores(candidate_pairs(listings, ready, cfg), cfg), cfg)
+        matches = min_score(with_scores(candidate_pairs(listings, ready, hierarchy, cfg), cfg), cfg)
     open_clients = cut_lineage(ready.join(matches.select("client_id").distinct(), "client_id", "left_anti"))
-    return cut_lineage(open_clients.join(best_passing(listings, open_clients, cfg), "client_id", "left"))
+    return cut_lineage(open_clients.join(best_passing(listings, open_clients, hierarchy, cfg), "client_id", "left"))
 
 
 def explain_unmatched(

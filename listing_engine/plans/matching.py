@@ -28,7 +28,7 @@ def scored_pairs(
     """Every pair that passes the hard filters, scored, its display columns
     still packed. With `prune`, pairs that cannot reach min_score are left out."""
     ready = prepare_clients(clients, listings, hierarchy, cfg)
-    return with_scores(candidate_pairs(listings, ready, cfg, prune), cfg)
+    return with_scores(candidate_pairs(listings, ready, hierarchy, cfg, prune), cfg)
 
 
 def match_all(listings: DataFrame, clients: DataFrame, hierarchy: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from listing_engine.operators.dedupe import keep_last, reconcile, target_ids, union_reconciled
 from listing_engine.operators.joins import new_ids, still_listed, with_preference_text
+from listing_engine.sources.files import write_counted
 
 CONTACT_COLUMNS = (
     ("id", "string"),
@@ -68,3 +69,13 @@ def upsert_contacts(
         return rows
     kept = reconcile(previous, CONTACT_COLUMNS).join(targets, "id", "left_anti")
     return kept.unionByName(rows)
+
+
+def store_snapshot(fresh_ids: DataFrame, today: DataFrame, folder: str) -> DataFrame:
+    """Writes both results of refresh_snapshot and reports new_rows and today_rows.
+
+    The counts are observed while the tables are written, so neither is computed or read twice.
+    """
+    new_rows = write_counted(fresh_ids, f"{folder}/new")
+    today_rows = write_counted(today, f"{folder}/today")
+    return today.sparkSession.createDataFrame([(new_rows, today_rows)], "new_rows bigint, today_rows bigint")

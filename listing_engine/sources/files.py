@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from listing_engine import schemas
@@ -14,21 +14,50 @@ from listing_engine.operators.shaping import derive_operation
 BOM = "﻿"
 
 
-def read_text_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """Header CSV with every column as text, a leading byte-order mark
-    dropped from the first name. Quoted line breaks are allowed. `encoding`
-    names what was written: UTF-8 with or without a mark, or ISO-8859-1."""
-    df = (
-        spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-        .option("encoding", encoding).option("inferSchema", False).csv(path)
-    )
-    return df.toDF(*[c.replace(BOM, "").strip() for c in df.columns])
+#: Encodings in the order in which they are tried; every byte string is valid in the last one.
+ENCODINGS = ("UTF-8", "ISO-8859-1")
+
+
+def encodings_of(spark: SparkSession, path: str) -> DataFrame:
+    """file, encoding: UTF-8 where every line of the file is valid in it, else ISO-8859-1.
 
+    The lines are checked as raw bytes on the executors, split as any text; a
+    file is decided by one grouped minimum.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("valid"))
+    return lines.groupBy("file").agg(F.when(F.min("valid"), ENCODINGS[0]).otherwise(ENCODINGS[1]).alias("encoding"))
 
-def read_portal_csv(spark: SparkSession, path: str, source: str, encoding: str = "UTF-8") -> DataFrame:
+
+def read_text_csv(spark: SparkSession, path: str, encoding: str | None = None, multi_line: bool = True) -> DataFrame:
+    """Header CSV with every column as text, a leading byte-order mark
+    dropped from the first name.
+
+    Without `encoding` each file is read in the first of ENCODINGS in which all
+    its bytes are valid, so a folder may mix them; the names of its files come to
+    the driver, as in any listing. `multi_line` allows line breaks within quotes
+    and reads a file in one task; without it files are split.
+    """
+
+    def read(paths: str | list[str], code: str) -> DataFrame:
+        reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').option("inferSchema", False)
+        df = reader.option("encoding", code).csv(paths)
+        return df.toDF(*[c.replace(BOM, "").strip() for c in df.columns])
+
+    if encoding is not None:
+        return read(path, encoding)
+    files: dict[str, list[str]] = {}
+    for file, code in encodings_of(spark, path).collect():
+        files.setdefault(code, []).append(file)
+    if not files:
+        return read(path, ENCODINGS[0])
+    parts = [read(sorted(files[code]), code) for code in ENCODINGS if code in files]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+
+
+def read_portal_csv(spark: SparkSession, path: str, source: str, encoding: str | None = None, multi_line: bool = True) -> DataFrame:
     """One portal's listings in their typed schema; a column the file lacks
     is NULL, one it has beyond the schema is dropped."""
-    raw = read_text_csv(spark, path, encoding)
+    raw = read_text_csv(spark, path, encoding, multi_line)
     raw = raw.withColumnsRenamed({"baños": "banos"})
     kind = {c: t for t, cols in schemas.TYPES.items() for c in cols}
     names = schemas.SOURCES[source]
@@ -197,3 +226,10 @@ def append_rows(df: DataFrame, path: str) -> None:
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """All stored days; see latest_before for yesterday's."""
     return spark.read.parquet(path)
+
+
+def write_counted(df: DataFrame, path: str, mode: str = "overwrite") -> int:
+    """Write Parquet and return how many rows were written, observed by the same job."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode).parquet(path)
+    return seen.get["rows"]

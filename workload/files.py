@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from listing_engine.operators.matching import expand_locations
 from listing_engine.plans import unify as U
+from listing_engine.session import scratch_folder
 from listing_engine.sources import files as L
-from workload.fixtures import sql, view, with_views
+from workload.fixtures import sql, table, view, with_views
 
 RAW = """select concat(cast(l_linenumber as varchar(9)), ' hab') as Rooms, case when l_suppkey % 4 = 0 then '' else cast(l_suppkey % 3 as varchar(9)) end as Bathrooms,
   concat(cast(l_partkey as varchar(9)), '.500,25 €') as Price, concat(cast(l_suppkey as varchar(9)), ' m2') as m2, s_name as Agent,
@@ -61,6 +62,31 @@ def unified_tokens(s, d):
     return m.select("link_inmueble", "operacion", "m2", F.array_join(F.array_sort("zona_tokens"), "|").alias("tokens"))
 
 
+def mixed_encodings(s, d):
+    """A folder whose files are partly UTF-8 and partly ISO-8859-1, written and read back."""
+    folder = scratch_folder(s, "csv")
+    rows = table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("Peña, ¡"), "c_name", F.lit('" ')).alias("nombre"), F.lit(None).cast("string").alias("vacio"))
+    for parity, code in enumerate(L.ENCODINGS):
+        part = rows.filter(F.col("id") % 2 == parity)
+        part.write.mode("append").option("header", True).option("escape", '"').option("encoding", code).csv(folder)
+    return L.read_text_csv(s, folder)
+
+
+def stored_days(s, d):
+    """Two days written, one of them again, rows appended to a table of their own, ids as text: all read back."""
+    folder = scratch_folder(s, "days")
+    rows = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("precio"))
+    for day, kept in (("2024-05-01", "id % 3 = 0"), ("2024-05-02", "id % 3 = 1"), ("2024-05-02", "id % 3 = 2")):
+        L.write_snapshot(rows.filter(kept), f"{folder}/days", day)
+    for rest in (0, 1):
+        L.append_rows(rows.filter(F.col("id") % 5 == rest), f"{folder}/added")
+    L.write_ids(rows.filter("id % 7 = 0").select(F.col("id").cast("string").alias("id")).distinct(), f"{folder}/ids")
+    ids = L.read_ids(s, f"{folder}/ids").select(F.lit("ids").alias("what"), F.col("id").cast("bigint").alias("id"), F.lit(None).cast("double").alias("precio"))
+    days = L.read_snapshots(s, f"{folder}/days").select(F.col("snapshot_date").cast("string").alias("what"), "id", "precio")
+    added = s.read.parquet(f"{folder}/added").select(F.lit("added").alias("what"), "id", "precio")
+    return days.unionByName(added).unionByName(ids)
+
+
 def expanded(s, d):
     """Client tokens with the municipalities of a region token."""
     none = F.array().cast("array<string>")
@@ -92,6 +118,8 @@ QUERIES = {
     "unify_listings": unify,
     "unified_tokens": unified_tokens,
     "expanded_locations": expanded,
+    "csv_mixed_encodings": mixed_encodings,
+    "stored_days": stored_days,
 }
 
 ORACLE = {
@@ -116,6 +144,10 @@ ORACLE = {
         case zona when 'Villena' then 'villena' when 'Santa Rosa, Alcoy / Alcoi' then
           'alcoi|alcoy|alicante (provincia)|alicante province|alicante provincia|province of alicante|provincia alicante|provincia de alicante|santa rosa'
           when 'Batoi (Alcoi)' then 'alcoi|alcoy|alicante (provincia)|alicante province|alicante provincia|batoi|province of alicante|provincia alicante|provincia de alicante' else 'desconocido' end as tokens from f""",
+    "csv_mixed_encodings": "select c_custkey::varchar as id, trim('Peña, ¡' || c_name || '\" ') as nombre, cast(null as varchar) as vacio from customer",
+    "stored_days": """with o as (select o_orderkey as id, o_totalprice as precio from orders)
+        select '2024-05-01' as what, id, precio from o where id % 3 = 0 union all select '2024-05-02', id, precio from o where id % 3 = 2
+        union all select 'added', id, precio from o where id % 5 < 2 union all select distinct 'ids', id, null::double from o where id % 7 = 0""",
     "expanded_locations": """select client_id, case when location_token = 'spain' or location_token is null then '' else coalesce((select string_agg(t, '|' order by t) from
         (select c.location_token as t union select child from fx_hierarchy h where h.parent = c.location_token)), '') end as tokens from fx_clients c""",
 }

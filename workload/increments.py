@@ -11,6 +11,7 @@ from listing_engine.operators import shaping as H
 from listing_engine.operators import aggregates as A
 from listing_engine.operators.filters import unmapped_zones
 from listing_engine.plans import snapshot as N
+from listing_engine.session import scratch_folder
 from workload.fixtures import sql, view, with_views
 
 ORDER = ("source_rank", "seq", "listing_key", "precio", "metros_cuadrados", "anunciante", "fecha_inclusion")
@@ -160,6 +161,7 @@ QUERIES = {
     "zone_outer_coverage": zone_outer_coverage,
     "unmapped_zones": unmapped,
     "load_report": load_report,
+    "load_report_observed": lambda s, d: N.store_snapshot(*_snapshot(s, d), scratch_folder(s, "snapshot")),
     "column_drift_union": drift_union,
     "ids_union": lambda s, d: D.ids_union(_over_listings(s, d, TODAY_IDS), _over_listings(s, d, "select id_inmueble from (" + PREV + ")")),
     "new_by_first_key": lambda s, d: J.new_by_first_key(
@@ -222,6 +224,8 @@ ORACLE = {
         select listing_key, seq, precio, tipo_de_operacion from r where zona is null or zona not in (select n_name from nation where n_nationkey % 2 = 0)""",
     "load_report": f"""{SNAP}, t as (select id_inmueble from parsed union select id_inmueble from prev where id_inmueble in (select id_inmueble from ids))
         select (select count(*) from ids where id_inmueble not in (select id_inmueble from prev)) as new_rows, (select count(*) from t) as today_rows""",
+    "load_report_observed": f"""{SNAP}, t as (select id_inmueble from parsed union select id_inmueble from prev where id_inmueble in (select id_inmueble from ids))
+        select (select count(*) from ids where id_inmueble not in (select id_inmueble from prev)) as new_rows, (select count(*) from t) as today_rows""",
     "column_drift_union": """select l_orderkey as id, l_quantity as precio, null::double as terraza, null::double as lat, 'x' as caracteristicas_basicas from lineitem where l_linenumber % 2 = 1
         union all select l_orderkey, l_quantity, l_tax, null, null from lineitem where l_linenumber % 2 = 0""",
     "ids_union": f"{SNAP} select id_inmueble from ids union select id_inmueble from prev",

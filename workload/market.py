@@ -145,6 +145,8 @@ QUERIES = {
     "zone_topk_sales": lambda s, d: r4(T.top_zones_with_sales(A.zone_stats(listings(s, d)))),
     "competitor_topk": lambda s, d: r4(T.top_competitors(A.competitor_stats(listings(s, d)))),
     "sample_rows": lambda s, d: T.sample_rows(listings(s, d), "precio", 100, seed=7, key=F.col("link_inmueble")).select(*OUT_COLS),
+    "sample_rows_portable": lambda s, d: T.sample_rows(view(s, d, "fx_inventory"), "habitaciones", 50, seed=7, key=F.col("property_id"), portable=True).select("property_id", "precio", "habitaciones"),
+    "listing_page_after": lambda s, d: T.page_after(view(s, d, "fx_inventory").select("precio", "property_id", "zona"), ["precio", "property_id"], (98000.0, 113), 30),
     "positional_id": lambda s, d: H.positional_id(
         view(s, d, "fx_inventory").select("precio", "m2", "property_id"), "precio", "m2", "property_id"
     ),
@@ -204,6 +206,10 @@ ORACLE = {
     "zone_topk": f"with {ZEROED}, {ZONES} select {ZONE_COLS} from (select * from zs where is_strategic order by count desc, zona limit 8)",
     "zone_topk_sales": f"with {ZEROED}, {ZONES} select {ZONE_COLS} from (select * from zs order by count desc, zona limit 8) where sale_count > 0",
     "competitor_topk": f"with {ZEROED}, {COMPETITORS} select * from cs order by count desc, anunciante limit 6",
+    "sample_rows_portable": """select property_id, precio, habitaciones from fx_inventory where habitaciones is not null
+        order by md5(property_id::varchar || '|7'), property_id limit 50""",
+    "listing_page_after": """select precio, property_id, zona from fx_inventory where precio > 98000 or (precio = 98000 and property_id > 113)
+        order by precio, property_id limit 30""",
     "positional_id": "select row_number() over (order by precio, m2, property_id) as id, precio, m2, property_id from fx_inventory",
 }
 ORACLE = {k: with_views(v) for k, v in ORACLE.items()}
