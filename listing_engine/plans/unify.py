@@ -41,27 +41,24 @@ def unify_listings(a: DataFrame, b: DataFrame, c: DataFrame, seq: str = "seq") -
     and one row per link, the first source first.
 
     a: zona, link_inmueble; b: localizacion, titulo; c: zona,
-    tipo_de_operacion; each with `seq`, its own row order.
+    tipo_de_operacion; each with `seq`, its own row order. Zones are worked out
+    once, over the distinct texts that are left when the sources are united and
+    repeated links are gone.
     """
     ready = {
-        "a": standardize_zones(a, "zona")
-        .withColumn("tipo_de_operacion", H.derive_operation("a", link=F.col("link_inmueble")))
-        .withColumn("anunciante", H.map_advertiser(F.col("anunciante"))),
-        "b": standardize_zones(b, "localizacion")
-        .withColumn("tipo_de_operacion", H.derive_operation("b", title=F.col("titulo")))
-        .withColumn("anunciante", H.map_advertiser(F.col("anunciante"))),
-        "c": standardize_zones(c, "zona").withColumn(
-            "tipo_de_operacion", H.derive_operation("c", value=F.col("tipo_de_operacion"))
-        ),
-    }
+        "a": a.withColumns({"zona_std": F.col("zona"), "tipo_de_operacion": H.derive_operation("a", link=F.col("link_inmueble")), "anunciante": H.map_advertiser(F.col("anunciante"))}),
+        "b": b.withColumns({"zona_std": F.col("localizacion"), "tipo_de_operacion": H.derive_operation("b", title=F.col("titulo")), "anunciante": H.map_advertiser(F.col("anunciante"))}),
+        "c": c.withColumns({"zona_std": F.col("zona"), "tipo_de_operacion": H.derive_operation("c", value=F.col("tipo_de_operacion"))}),
+    }
     parts = [
         H.project_source(df.withColumnRenamed(seq, "seq"), s, extra=("seq",)).withColumn("source_rank", F.lit(rank))
         for rank, (s, df) in enumerate(ready.items())
     ]
     union = union_all(*parts)
-    ties = ("precio", "metros_cuadrados", "habitaciones", "banos", "anunciante", "fecha_inclusion", "zona.zona")
+    ties = ("precio", "metros_cuadrados", "habitaciones", "banos", "anunciante", "fecha_inclusion", "zona")
     first = keep_first_link(union, "source_rank", "seq", *ties).drop("source_rank", "seq")
-    return H.default_nulls(first, F.col("zona.zona"))
+    zoned = standardize_zones(first.withColumnRenamed("zona", "zona_texto"), "zona_texto", target="zona")
+    return H.default_nulls(zoned.select(*first.columns), F.col("zona.zona"))
 
 
 def matching_input(unified: DataFrame) -> DataFrame:
