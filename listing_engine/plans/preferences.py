@@ -75,29 +75,34 @@ def vocabulary_hits(texts: DataFrame, vocab: DataFrame, key: str = "id") -> Data
     """N5 stage 1 / N6: vocabulary terms found per text as arrays of (term,
     source), one column per kind.
 
-    Word runs of the text and of its labels are joined with the spellings of
-    the terms by equality, so neither side is tried against all of the other.
-    Runs are as long as the longest term.
+    A text's words are joined with the first words of the spellings by equality;
+    only where one meets is the rest of the spelling compared, with what follows
+    that word in the text. So neither side is tried against all of the other, no
+    word runs are formed, and a long label costs no more than a short one.
     """
     kinds = vocab.select(
         "kind", F.when(F.col("kind") == "type", X.singular_es(F.col("term"))).otherwise(F.col("term")).alias("term")
     ).distinct()
-    spelled = kinds.withColumn("spelling", F.explode(X.plural_variants(X.normalize_term(F.col("term")))))
-    words = lambda c: F.size(F.regexp_extract_all(c, F.lit(r"\w+"), 0))
-    longest = spelled.agg(F.max(words(F.col("spelling")))).scalar()
-    run = F.concat(F.lit(r"(?=\b(\w+(?:\W+\w+){"), (F.col("n__") - 1).cast("string"), F.lit(r"})\b)"))
+    pieces = lambda c: F.regexp_extract_all(c, F.lit(r"\w+|\W+"), 0)
+    is_word = lambda c: c.rlike(r"^\w")
+    spelled = (
+        kinds.withColumn("spelling", F.explode(X.plural_variants(X.normalize_term(F.col("term")))))
+        .withColumns({"word": F.get(pieces(F.col("spelling")), F.lit(0)), "size": F.size(pieces(F.col("spelling")))})
+        .filter(is_word(F.col("word")) & (F.col("size") % 2 == 1))  # begins and ends with a word
+    )
     source = F.array(
         F.struct(F.lit("text").alias("source"), F.array(X.normalize_term(F.col("text__"))).alias("parts")),
         F.struct(F.lit("span").alias("source"), F.transform("spans__", X.normalize_term).alias("parts")),
     )
-    runs = (
-        texts.select(key, F.inline(source))
-        .select(key, "source", F.explode("parts").alias("part"))
-        .withColumn("n__", F.explode(F.sequence(F.lit(1), F.coalesce(longest, F.lit(1)))))
-        .select(key, "source", F.explode(F.array_distinct(F.regexp_extract_all("part", run, 1))).alias("spelling"))
-        .distinct()
-    )
-    hits = runs.join(spelled, "spelling").groupBy(key, "kind", "term").agg(F.min("source").alias("source"))
+    cut = texts.select(key, F.inline(source)).select(key, "source", F.transform("parts", pieces).alias("parts"))
+    placed = cut.select(key, "source", F.posexplode("parts").alias("part", "pieces")).select(key, "source", "part", F.posexplode("pieces").alias("at", "word"))
+    first = placed.filter(is_word(F.col("word"))).join(spelled, "word")
+    # few places of a text begin a term, so the lists stay short
+    found = first.groupBy(key, "source").agg(F.collect_set(F.struct("part", "at", "size", "spelling", "kind", "term")).alias("found"))
+    same = lambda parts, f: F.array_join(F.slice(F.get(parts, f["part"]), f["at"] + 1, f["size"]), "") == f["spelling"]
+    whole = F.filter("found", lambda f: same(F.col("parts"), f))
+    hits = cut.join(found, [key, "source"]).select(key, "source", F.explode(whole).alias("f")).groupBy(key, F.col("f.kind").alias("kind"), F.col("f.term").alias("term"))
+    hits = hits.agg(F.min("source").alias("source"))
     # one text holds few terms, so the lists below stay short; "span" < "text"
     listed = F.sort_array(F.collect_list(F.struct("term", "source")))
     per_kind = hits.groupBy(key).pivot("kind", ["type", "condition"]).agg(listed)

@@ -100,7 +100,8 @@ def vocabulary(s, d):
 def parsed(s, d):
     df = Q.parse_preferences(view(s, d, "fx_prefs"), vocabulary(s, d))
     lists = ("operation", "types", "conditions", "locations", "flags")
-    return df.select("id", *[F.array_join(c, "|").alias(c) for c in lists])
+    bounds = "rooms_min rooms_max bath_min bath_max living_min living_max area_min_m2 area_max_m2 price_min_eur price_max_eur".split()
+    return df.select("id", *[F.array_join(c, "|").alias(c) for c in lists], *[F.col(c).cast("bigint").alias(c) for c in bounds])
 
 
 def locations_stage(s, d):
@@ -301,6 +302,9 @@ from workload.fixtures import LOCATIONS  # noqa: E402
 
 _texto = LOCATIONS[LOCATIONS.index("case l_partkey") : LOCATIONS.index("as texto")]
 _words = CHAINS[CHAINS.index("case l_linenumber") : CHAINS.index("as words")]
+ORACLE["parse_preferences"] = f"""select l.*, rooms_lo as rooms_min, rooms_hi as rooms_max, bath_lo as bath_min, bath_hi as bath_max, living_lo as living_min, living_hi as living_max,
+    area_min as area_min_m2, area_max as area_max_m2, price_min as price_min_eur, price_max as price_max_eur from ({ORACLE["parse_preferences"]}) l
+    join ({ORACLE["pref_counts"]}) using (id) join ({ORACLE["pref_area"]}) using (id) join ({ORACLE["pref_price"]}) using (id)"""
 ORACLE["standardize_zone"] = _zone_sql().replace("{texto}", _texto)
 ORACLE["standardize_zone_lists"] = f"""select id, coalesce(string_agg(texto, '|' order by texto), '') as textos, coalesce(string_agg(zona, '|' order by texto), '') as zonas
     from (select distinct id, texto, zona from ({ORACLE["standardize_zone"]})) group by id"""
