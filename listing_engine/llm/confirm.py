@@ -23,6 +23,10 @@ from listing_engine.llm.shared import kept, small_side
 
 #: A function (rows, i, j) that says which of the pairs (i, j) are candidates.
 Near = Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray]
+#: Nodes of a larger cell that all others are compared with first, those that agree most with the cell as a whole.
+CENTRES = 16
+#: Untested pairs that a larger cell hands on at most; beyond it its nodes meet again.
+CELL_PAIRS = 1 << 18
 
 #: Nodes of a bucket that one cell holds, and members of their sets; larger buckets are cells of two parts.
 PART, PART_MEMBERS = 2048, 1 << 19
@@ -32,6 +36,8 @@ SMALL = 16
 PAIRS = 1 << 17
 #: Members of the sets that a tile of pairs holds on one side (about).
 TILE_MEMBERS = 1 << 19
+#: Pairs of a tile (about).
+TILE_PAIRS = 1 << 14
 #: Rounds of single pairs before cells meet with all shingles.
 ROUNDS = 2
 #: Names that may be broadcast.
@@ -127,20 +133,47 @@ def _pairs(rows: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray
                 yield at[a + i], at[j]
 
 
-def _partners(near: Near):
-    """A function over cells: pairs (a, b) in which nodes have found one candidate of another set, that isn't their partner yet."""
+def _not_tested(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs (i, j) that were no node and its partner in any round."""
+    new = np.ones(len(i), bool)
+    for partner in (c for n, c in rows.items() if n.startswith("partner")):
+        new &= (partner[i] != rows["name"][j]) & (partner[j] != rows["name"][i])
+    return i[new], j[new]
+
+
+def _agreement(values: np.ndarray) -> np.ndarray:
+    """How many of its values each row has in common with the most frequent ones."""
+    usual = np.array([np.bincount(column, minlength=256).argmax() for column in values.T], np.uint8)
+    return np.count_nonzero(values == usual, axis=1)
+
+
+def _closest(rows: dict[str, np.ndarray], at: np.ndarray, fresh: Callable, first: np.ndarray) -> None:
+    """Set `first` of the rows `at` to that candidate among the cell's centres with which most values are equal."""
+    values = rows["values"]
+    most = np.full(len(first), -1)
+    for centre in at[np.argsort(-_agreement(values[at]), kind="stable")[:CENTRES]]:
+        other = at[rows["set"][at] != rows["set"][centre]]
+        _, found = fresh(rows, np.full(len(other), centre), other)
+        equal = np.count_nonzero(values[found] == values[centre], axis=1)
+        better = equal > most[found]
+        first[found[better]], most[found[better]] = centre, equal[better]
+
+
+def _partners(near: Near, central: bool = False):
+    """A function over cells: pairs (a, b) in which nodes have found one candidate of another set, that
+    isn't their partner yet, and how many values are equal. central: larger cells try their centres first."""
 
     def fresh(rows, i, j):
-        found = near(rows, i, j)
-        i, j = i[found], j[found]
-        new = (rows["partner"][i] != rows["name"][j]) & (rows["partner"][j] != rows["name"][i])
-        return i[new], j[new]
+        return _not_tested(rows, *(x[near(rows, i, j)] for x in (i, j)))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_cells(batches):
             n = len(rows["name"])
             first = np.full(n, n)
             for at in _large_cells(rows):
+                if central:
+                    _closest(rows, at, fresh, first)
+                    at = at[first[at] == n]
                 # a node without a candidate so far is compared with all those of other sets behind it
                 while len(at) > 1 and rows["set"][at[0]] != rows["set"][at[-1]]:
                     lead, at = at[0], at[1:]
@@ -152,7 +185,8 @@ def _partners(near: Near):
                 i, j = fresh(rows, i, j)
                 np.minimum.at(first, j, i)
             own = np.flatnonzero(first < n)
-            yield pa.RecordBatch.from_arrays([pa.array(rows["name"][first[own]]), pa.array(rows["name"][own])], names=["a", "b"])
+            equal = np.count_nonzero(rows["values"][own] == rows["values"][first[own]], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(rows["name"][first[own]]), pa.array(rows["name"][own]), pa.array(equal)], names=["a", "b", "equal"])
 
     return search
 
@@ -161,14 +195,12 @@ def _untested(rows: dict[str, np.ndarray], near: Near) -> Iterator[tuple[np.ndar
     """Candidates of two sets that aren't a node and its partner."""
     for i, j in _pairs(rows):
         found = near(rows, i, j)
-        i, j = i[found], j[found]
-        fresh = (rows["partner"][i] != rows["name"][j]) & (rows["partner"][j] != rows["name"][i])
-        yield i[fresh], j[fresh]
+        yield _not_tested(rows, i[found], j[found])
 
 
-def _open_nodes(near: Near):
-    """A function over cells: untested candidates of two sets, as pairs (name, other) from small cells, as
-    nodes (bucket, cell, name) from larger ones."""
+def _open_nodes(near: Near, central: bool = False):
+    """A function over cells: untested candidates of two sets, as pairs (name, others) from small cells, as
+    nodes (bucket, cell, name) from larger ones. central: larger cells with few pairs hand on pairs, too."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_cells(batches):
@@ -176,16 +208,24 @@ def _open_nodes(near: Near):
             _, size, cell = _bounds(rows)
             few = size[cell - 1] <= SMALL
             pairs: list[tuple[np.ndarray, np.ndarray]] = []
-            for i, j in _untested(rows, near):
+            found = list(_untested(rows, near)) if central else _untested(rows, near)
+            if central:  # so many pairs of a larger cell are fewer than its nodes with all their shingles
+                per_cell = np.bincount(np.concatenate([cell[i] for i, _ in found] + [np.zeros(0, np.int64)]), minlength=len(size) + 1)
+                few = few | (per_cell[cell] <= CELL_PAIRS)
+            for i, j in found:
                 own = few[i]
                 pairs.append((np.minimum(rows["name"][i[own]], rows["name"][j[own]]), np.maximum(rows["name"][i[own]], rows["name"][j[own]])))
                 open_[i[~own]] = open_[j[~own]] = True
             own = np.flatnonzero(open_)
-            nodes = [pa.array(rows[c][own]) for c in ("bucket", "cell", "name")] + [pa.nulls(len(own), pa.int64())]
-            yield pa.RecordBatch.from_arrays(nodes, names=["bucket", "cell", "name", "other"])
+            nodes = [pa.array(rows[c][own]) for c in ("bucket", "cell", "name")] + [pa.nulls(len(own), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(nodes, names=["bucket", "cell", "name", "others"])
             if pairs:
                 one, two = (np.concatenate(c) for c in zip(*pairs))
-                yield pa.RecordBatch.from_arrays([*[pa.nulls(len(one), pa.int64())] * 2, pa.array(one), pa.array(two)], names=["bucket", "cell", "name", "other"])
+                order = np.lexsort((two, one))
+                one, two = one[order], two[order]
+                start = np.flatnonzero(np.concatenate((np.ones(min(1, len(one)), bool), one[1:] != one[:-1])))
+                others = pa.ListArray.from_arrays(pa.array(np.append(start, len(one)).astype(np.int32)), pa.array(two))
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(len(start), pa.int64())] * 2, pa.array(one[start]), others], names=["bucket", "cell", "name", "others"])
 
     return search
 
@@ -228,7 +268,7 @@ def _members(members: DataFrame, names: DataFrame) -> DataFrame:
 
 def _tested(pairs: DataFrame, sets: DataFrame, members: int, per_cent: int) -> DataFrame:
     """The pairs (a, b) that are linked by their full sets; tiles of pairs share the sets of their names."""
-    parts = F.lit(math.ceil(members / TILE_MEMBERS) or 1)
+    parts = F.lit(max(1, math.ceil(members / TILE_MEMBERS), math.ceil(math.sqrt(pairs.count() / TILE_PAIRS))))
     tile = [F.pmod(F.xxhash64(c), parts).cast("int").alias(f"tile_{c}") for c in ("a", "b")]
     dealt = pairs.select("a", "b", *tile)
     wanted = dealt.select(F.col("tile_a").alias("row"), F.col("tile_b").alias("column"), F.explode(F.array("a", "b")).alias("name")).distinct()
@@ -244,7 +284,7 @@ def _tested(pairs: DataFrame, sets: DataFrame, members: int, per_cent: int) -> D
 
 
 def confirmed_links(
-    members: DataFrame, cells: DataFrame, nodes: DataFrame, near: Near, components: Callable[[DataFrame], DataFrame], per_cent: int
+    members: DataFrame, cells: DataFrame, nodes: DataFrame, near: Near, components: Callable[[DataFrame], DataFrame], per_cent: int, central: bool = False
 ) -> DataFrame:
     """Links (a, b) that connect all nodes of common cells that are candidates and have per_cent of their members in common.
 
@@ -254,10 +294,10 @@ def confirmed_links(
     components: from links to (node, root).
     """
     links = None
-    now = nodes.select("name", "n", "values", F.col("name").alias("set"), F.col("name").alias("partner"))
-    for _ in range(ROUNDS):
-        found = _in_cells(cells.join(now, "name")).mapInArrow(_partners(near), "a long, b long")
-        pairs = kept(found.groupBy("b").agg(F.min("a").alias("a")))
+    now = nodes.select("name", "n", "values", F.col("name").alias("set"))
+    for turn in range(ROUNDS):
+        found = _in_cells(cells.join(now, "name")).mapInArrow(_partners(near, central), "a long, b long, equal long")
+        pairs = kept(found.groupBy("b").agg((F.max(F.struct("equal", "a"))["a"] if central else F.min("a")).alias("a")))
         if pairs.isEmpty():
             break
         used = kept(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct())
@@ -265,21 +305,22 @@ def confirmed_links(
         new = _tested(pairs, _members(members, used), total, per_cent)
         links = kept(new if links is None else links.unionByName(new))
         roots = components(links).select(F.col("node").alias("name"), "root")
-        partners = pairs.select(F.col("b").alias("name"), F.col("a").alias("partner"))
-        known = nodes.select("name", "n", "values").join(roots, "name", "left").join(partners, "name", "left")
-        now = kept(known.select("name", "n", "values", F.coalesce("root", "name").alias("set"), F.coalesce("partner", "name").alias("partner")))
+        partners = pairs.select(F.col("b").alias("name"), F.col("a").alias(f"partner{turn}"))
+        known = now.drop("set").join(roots, "name", "left").join(partners, "name", "left")
+        now = kept(known.withColumns({"set": F.coalesce("root", "name"), f"partner{turn}": F.coalesce(f"partner{turn}", "name")}).drop("root"))
         # cells whose nodes are in one set have no more to say
         several = cells.join(now.select("name", "set"), "name").groupBy("bucket", "cell").agg(F.min("set").alias("low"), F.max("set").alias("high"))
         cells = kept(cells.join(several.filter("low <> high").select("bucket", "cell"), ["bucket", "cell"], "left_semi"))
     if links is None:
         return cells.sparkSession.createDataFrame([], "a long, b long")
-    found = kept(_in_cells(cells.join(now, "name")).mapInArrow(_open_nodes(near), "bucket long, cell long, name long, other long"))
-    pairs = kept(found.filter("other is not null").select(F.col("name").alias("a"), F.col("other").alias("b")).distinct())
+    found = kept(_in_cells(cells.join(now, "name")).mapInArrow(_open_nodes(near, central), "bucket long, cell long, name long, others array<long>"))
+    joined = found.filter("others is not null").groupBy("name").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+    pairs = kept(joined.select(F.col("name").alias("a"), F.explode("others").alias("b")))
     if not pairs.isEmpty():
         used = kept(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct())
         total = used.join(nodes, "name").agg(F.sum("n")).first()[0] or 0
         links = links.unionByName(_tested(pairs, _members(members, used), total, per_cent))
-    open_ = found.filter("other is null").select("bucket", "cell", "name")
+    open_ = found.filter("others is null").select("bucket", "cell", "name")
     if open_.isEmpty():
         return links
     again = open_.join(nodes.select("name", "n"), "name")
