@@ -94,11 +94,11 @@ def _two(name, make):
 
 
 def vocabulary(s, d):
-    return Q.induce_vocabulary(view(s, d, "fx_prefs"))
+    return Q.induce_vocabulary(view(s, d, "fx_prefs", spread=True))
 
 
 def parsed(s, d):
-    df = Q.parse_preferences(view(s, d, "fx_prefs"), vocabulary(s, d))
+    df = Q.parse_preferences(view(s, d, "fx_prefs", spread=True), vocabulary(s, d))
     lists = ("operation", "types", "conditions", "locations", "flags")
     bounds = "rooms_min rooms_max bath_min bath_max living_min living_max area_min_m2 area_max_m2 price_min_eur price_max_eur".split()
     return df.select("id", *[F.array_join(c, "|").alias(c) for c in lists], *[F.col(c).cast("bigint").alias(c) for c in bounds])
