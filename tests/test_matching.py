@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from listing_engine.config import CAPS, RANGES, SOFTNESS, WEIGHTS, MatchConfig
 from listing_engine.functions.scoring import Bounds, with_scores
 from listing_engine.operators.filters import WILDCARD_TOKENS
+from listing_engine.operators.matching import client_classes, listing_classes
 from listing_engine.operators.skew import SALT, all_pairs, split_hot_keys
 from listing_engine.plans.explain import best_overall, explain_unmatched, reason_counts, unmatched_reasons
-from listing_engine.plans.matching import match_all, prepare_clients, scored_pairs
+from listing_engine.plans.matching import best_pairs, match_all, prepare_clients, scored_pairs
 from tests.test_scoring import CLAMP, plain_multiplier, plain_range
 
 CFG = MatchConfig(jitter=0.0, top_n=5)
@@ -218,3 +219,34 @@ def test_hash_is_stable(spark):
 
     df = spark.range(50).select(jitter(F.col("id"), F.col("id") * 7, 0.001).alias("a"), jitter(F.col("id"), F.col("id") * 7, 0.001).alias("b"))
     assert all(r.a == r.b and abs(r.a) <= 0.001 for r in df.collect())
+
+
+@pytest.mark.parametrize("jitter, top_n", [(0.0, 3), (0.05, 3), (0.05, None)])
+def test_classes_give_the_first_of_all_pairs(spark, jitter, top_n):
+    """Clients with equal requirements, listings with equal values and several shared tokens: the first top_n
+    of all pairs, each pair once; pairs that tie with one another or whose jitter decides are not lost."""
+    listings, clients = data()
+    listings = [(200 * k + x[0], *x[1:]) for k in range(3) for x in listings]
+    clients = [(100 * k + x[0], *x[1:]) for k in range(2) for x in clients]
+    l, c = spark.createDataFrame(listings, LIST).repartition(3), spark.createDataFrame(clients, CLI)
+    h = spark.createDataFrame([(p, k) for p, ks in KIDS.items() for k in ks], "parent string, child string")
+    cfg = replace(CFG, jitter=jitter, top_n=top_n, class_pairs=60)
+    every = {}
+    for r in scored_pairs(l, c, h, cfg, prune=False).select("client_id", "property_id", "score", "s_price").collect():
+        if r.score >= cfg.min_score:
+            every.setdefault(r.client_id, []).append((-r.score, -r.s_price, r.property_id))
+    want = {(k, x[2], n) for k, v in every.items() for n, x in enumerate(sorted(v)[:top_n], 1)}
+    got = best_pairs(l, c, h, cfg).select("client_id", "property_id", "rank_client").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_classes_meet_once(spark):
+    """Equal clients and equal listings form one pair under each token, whatever their number."""
+    listings, clients = data(n_listings=1, n_clients=1)
+    l = spark.createDataFrame([(i, *listings[0][1:6], ["a"]) for i in range(50)], LIST)
+    c = spark.createDataFrame([(i, *clients[0][1:]) for i in range(40)], CLI)
+    h = spark.createDataFrame([], "parent string, child string")
+    classes, members = client_classes(c)
+    offered = listing_classes(l, h, CFG)
+    assert classes.count() == 1 and members.count() == 40
+    assert offered.groupBy("token__").count().agg(F.max("count")).first()[0] == 1
