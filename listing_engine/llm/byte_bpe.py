@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import struct
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
 
@@ -25,8 +24,9 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stru
 from listing_engine.llm.shared import table, text_blocks
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Words whose ids a worker remembers; beyond it starts afresh (results don't depend on it).
-REMEMBERED = 200_000
+#: Words whose ids a worker remembers, half of them as newer ones; when these are full, the older ones go
+#: that weren't met since (results don't depend on it).
+REMEMBERED = 240_000
 #: Bytes of text whose words are replayed together; more don't fit the processor's caches.
 BLOCK = 1 << 18
 
@@ -42,18 +42,15 @@ class Replay:
         self.single = np.array([ranks[bytes([b])] for b in range(256)])
         self.first = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)])
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.merged: dict[int, int] = {}
 
-    def _rank(self, a: int, b: int) -> int:
-        """What two tokens become together, -1 if nothing."""
-        key = a << 20 | b
-        found = self.merged.get(key)
-        if found is None:
-            found = self.merged[key] = self.ranks.get(self.token[a] + self.token[b], -1)
-        return found
-
     def ids(self, words: Iterable[bytes]) -> list[list[int]]:
-        """Token ids of each word by merges alone.
+        """Token ids of each word by merges alone."""
+        return [np.frombuffer(ids, "<u4").tolist() for ids in self.packed_ids(words)]
+
+    def packed_ids(self, words: Iterable[bytes]) -> list[bytes]:
+        """Token ids of each word by merges alone, as little-endian unsigned 32-bit integers.
 
         The next merge is always the lowest rank that occurs in any word; equal
         ranks go from left to right. If a merge lets a lower rank appear in its
@@ -94,7 +91,13 @@ class Replay:
                     continue  # an earlier merge took it
                 q = right[p]
                 b = ids[q]
-                if b < 0 or self._rank(a, b) != r:
+                if b < 0:
+                    continue
+                key = a << 20 | b
+                new = known(key)
+                if new is None:
+                    new = becomes[key] = rank_of(token[a] + token[b], -1)
+                if new != r:
                     continue
                 if word_of[p] == waiting:
                     if r not in index:
@@ -131,31 +134,34 @@ class Replay:
                             heappush(heap, new)
                         if new < r:
                             waiting = word_of[p]
-        ends = ends.tolist()
-        out, start = [], 0
-        for end in ends:
-            out.append([i for i in ids[start:end] if i >= 0])
-            start = end
         if len(becomes) > 2 * REMEMBERED:
             becomes.clear()
-        return out
+        left_over = np.array(ids[:-1], np.int64)
+        stays = left_over >= 0
+        packed = left_over[stays].astype("<u4").tobytes()
+        cuts = (4 * np.concatenate(([0], np.cumsum(stays)))[np.concatenate(([0], ends))]).tolist()
+        return [packed[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.pattern.findall(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list({w for words in split for w in words if w not in self.known})
-        known = self.known
-        merge = []
-        for word in new:  # a word that is a token stays whole
-            rank = self.ranks.get(word.encode("utf-8", "surrogatepass"))
+        if len(self.known) > REMEMBERED // 2:
+            self.known, self.older = {}, self.known
+        known, older, rank_of = self.known, self.older, self.ranks.get
+        merge, signs = [], []
+        for word in set().union(*split).difference(known):
+            found = older.get(word)
+            if found is not None:
+                known[word] = found
+                continue
+            data = word.encode("utf-8", "surrogatepass")
+            rank = rank_of(data)
             if rank is None:
                 merge.append(word)
-            else:
+                signs.append(data)
+            else:  # a word that is a token stays whole
                 known[word] = rank.to_bytes(4, "little")
-        for word, ids in zip(merge, self.ids(w.encode("utf-8", "surrogatepass") for w in merge)):
-            known[word] = struct.pack(f"<{len(ids)}I", *ids)
+        known.update(zip(merge, self.packed_ids(signs)))
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
     def decode(self, ids: np.ndarray) -> bytes:

@@ -126,6 +126,22 @@ def test_bpe_any_text(texts):
 _LIBRARY = _tiktoken()
 
 
+
+def test_byte_bpe_memory_keeps_words_in_use(monkeypatch):
+    """When the memory is full, words that are met again stay, and the ids are the same."""
+    monkeypatch.setattr(byte_bpe, "REMEMBERED", 8)
+    with open(public_tokenizers.path(byte_bpe.VOCABULARY), "rb") as f:
+        replay = byte_bpe._replay(f.read(), public_tokenizers.PATTERN)
+    replay = byte_bpe.Replay(replay.ranks, public_tokenizers.PATTERN)
+    asked, plain = [], replay.packed_ids
+    monkeypatch.setattr(replay, "packed_ids", lambda words: asked.extend(words) or plain(words))
+    texts = [f"usualxyzq {i}abqx " + " ".join(f"zq{i}w{j}k" for j in range(3)) for i in range(20)]
+    found = [replay.encode([t])[0] for t in texts]
+    assert asked.count(b"usualxyzq") == 1 and len(replay.known) < 40
+    fresh = byte_bpe.Replay(replay.ranks, public_tokenizers.PATTERN)
+    assert found == fresh.encode(texts)
+
+
 def test_lower_rank_appears_late():
     """A merge that lets a lower rank appear waits for it, as in one word alone."""
     ranks = {bytes([b]): b for b in range(256)} | {b"ab": 400, b"aba": 300, b"bab": 301, b"abab": 500}
