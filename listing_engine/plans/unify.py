@@ -36,6 +36,13 @@ def standardize_zones(df: DataFrame, column: str, key: str | None = None, target
     return joined.withColumn(target, F.when(F.col(column).isNotNull(), F.coalesce(target, empty)))
 
 
+def tokens_once(df: DataFrame, column: str, target: str = "tokens") -> DataFrame:
+    """`df` with the location tokens of a text column, worked out once for each distinct text (null too) and joined back."""
+    texts = df.select(F.col(column).alias("text__")).distinct()
+    known = texts.select("text__", location_tokens(F.array("text__")).alias(target))
+    return df.join(known, F.col(column).eqNullSafe(F.col("text__")), "left").drop("text__")
+
+
 def unify_listings(a: DataFrame, b: DataFrame, c: DataFrame, seq: str = "seq") -> DataFrame:
     """Operation, advertiser alias, zone, common columns, union, defaults,
     and one row per link, the first source first.

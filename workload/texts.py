@@ -185,9 +185,8 @@ def _older_sql() -> str:
 
 
 def search_tokens(s, d):
-    toks = Z.location_tokens(F.array("texto"))
-    df = view(s, d, "fx_locations")
-    return df.select("id", "texto", F.array_join(F.array_sort(toks), "|").alias("tokens"))
+    df = U.tokens_once(view(s, d, "fx_locations"), "texto")
+    return df.select("id", "texto", F.array_join(F.array_sort("tokens"), "|").alias("tokens"))
 
 
 NORM = "trim(regexp_replace(replace(replace(translate(lower(strip_accents(trim({c}))), ';|/\\><', ',,,,,,'), ' ,', ','), ', ', ','), '\\s+', ' ', 'g'))"
