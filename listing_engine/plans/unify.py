@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from listing_engine.functions.zones import location_tokens, standardize_texts
 from listing_engine.operators import shaping as H
 from listing_engine.operators.dedupe import keep_first_link, union_all
+from listing_engine.session import cut_lineage
 
 
 def standardize_zones(df: DataFrame, column: str, key: str | None = None, target: str = "zona_std") -> DataFrame:
@@ -70,12 +71,19 @@ def unify_listings(a: DataFrame, b: DataFrame, c: DataFrame, seq: str = "seq") -
 
 def matching_input(unified: DataFrame) -> DataFrame:
     """Unified listings as the matcher reads them: normalized columns, surrogate
-    id and location tokens of the structured zone."""
+    id and location tokens of the structured zone, worked out once for each
+    distinct zone (or label, where there is none) of the kept rows."""
+    label = F.when(F.col("zona").isNull(), F.col("zona_label"))
+    # the rules of zones are long expressions, which both branches would plan and run again
+    unified = cut_lineage(unified.withColumn("label__", label))
     z = F.col("zona")
     texts = F.filter(
         F.concat(F.array(z["zona"], z["municipio"], z["barrio"], z["subzona"]), F.coalesce(z["extras"], F.array().cast("array<string>"))),
         lambda t: t.isNotNull(),
     )
-    tokens = F.when(z.isNull(), location_tokens(F.array("zona_label"))).otherwise(location_tokens(texts, z["municipio"]))
-    flat = unified.withColumn("zona_tokens", tokens).withColumn("zona", F.col("zona_label"))
+    tokens = F.when(z.isNull(), location_tokens(F.array("label__"))).otherwise(location_tokens(texts, z["municipio"]))
+    known = unified.select("zona", "label__").distinct()
+    known = known.select(F.col("zona").alias("of_zona__"), F.col("label__").alias("of_label__"), tokens.alias("zona_tokens"))
+    same = F.col("zona").eqNullSafe(F.col("of_zona__")) & F.col("label__").eqNullSafe(F.col("of_label__"))
+    flat = unified.join(known, same, "left").drop("of_zona__", "of_label__", "label__").withColumn("zona", F.col("zona_label"))
     return H.normalize_listings(flat, keep=("zona_tokens",))
