@@ -1,6 +1,11 @@
-"""Links between texts, confirmed on full sets of shingles, out of cells of candidates.
+"""Links between texts, confirmed on full sets of shingles, out of buckets of candidates.
 
-A cell holds nodes of which some pairs may be linked; a test that needs no
+Nodes that common buckets connect are a family. The nodes of a family meet once,
+with all their shingles, in one cell (or one for each two parts of it), where every
+candidate pair of two sets is compared; only links leave the cell.
+
+Families of more than FAMILY_PARTS parts are searched bucket by bucket instead: a
+cell holds nodes of which some pairs may be linked; a test that needs no
 shingles names its candidates. A cell never hands on all its pairs. In a few
 rounds each node takes one candidate of another set, these pairs are confirmed,
 and sets of linked nodes grow. In the end the untested candidates across two sets
@@ -30,6 +35,8 @@ CELL_PAIRS = 1 << 18
 
 #: Nodes of a bucket that one cell holds, and members of their sets; larger buckets are cells of two parts.
 PART, PART_MEMBERS = 2048, 1 << 19
+#: Nodes of a part of a family (and PART_MEMBERS members of their sets); families of more parts are searched by buckets.
+FAMILY_PART, FAMILY_PARTS = 1024, 32
 #: Cells of up to so many nodes are compared all at once.
 SMALL = 16
 #: Pairs that are compared at once.
@@ -261,6 +268,62 @@ def _confirmed(near: Near, per_cent: int):
     return confirm
 
 
+def _joined(rows: dict[str, np.ndarray], at: np.ndarray, near: Near, per_cent: int) -> Iterator[tuple[int, int]]:
+    """Positions (i, j) of links that connect all candidates of a larger cell that are linked.
+
+    Each node is compared with the candidates behind it that aren't in its set
+    yet, those first that agree most with the cell as a whole.
+    """
+    members = [np.frombuffer(m, np.uint64) for m in rows["members"][at]]
+    n = np.array([len(m) for m in members])
+    start = np.cumsum(n) - n
+    known, code = np.unique(np.concatenate(members), return_inverse=True)
+    own, held = np.arange(len(at)), np.zeros(len(known), np.int64)
+    order = np.argsort(-_agreement(rows["values"][at]), kind="stable")
+    for k, lead in enumerate(order, 1):
+        other = order[k:][own[order[k:]] != own[lead]]
+        other = other[near(rows, np.full(len(other), at[lead]), at[other])]
+        if not len(other):
+            continue
+        shift = np.cumsum(n[other]) - n[other]
+        place = np.repeat(start[other] - shift, n[other]) + np.arange(n[other].sum())
+        mine = code[start[lead] : start[lead] + n[lead]]
+        held[mine] = 1
+        both = np.add.reduceat(held[code[place]], shift)
+        held[mine] = 0
+        linked = other[100 * both >= per_cent * (n[lead] + n[other] - both)]
+        met, first = np.unique(own[linked], return_index=True)
+        yield from ((int(at[lead]), int(at[j])) for j in linked[first])
+        own[np.isin(own, met)] = own[lead]
+
+
+def _linked(near: Near, per_cent: int):
+    """A function over cells with members: links (a, b) that connect all candidates of a cell that are linked."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_cells(batches):
+            rows["set"] = np.arange(len(rows["name"]))
+            links: list[tuple[int, int]] = []
+            for i, j in _small_pairs(rows):
+                found = near(rows, i, j)
+                pairs = zip(i[found].tolist(), j[found].tolist())
+                links += [(x, y) for x, y in pairs if alike(rows["members"][x], rows["members"][y], per_cent)]
+            for at in _large_cells(rows):
+                links += _joined(rows, at, near, per_cent)
+            ends = np.array(links, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(rows["name"][ends[:, k]]) for k in (0, 1)], names=["a", "b"])
+
+    return search
+
+
+def _families(dealt: DataFrame, components: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """name, root of the rows (name, bucket) that common buckets connect with others."""
+    ends = dealt.groupBy("bucket").agg(F.min("name").alias("low"), F.max("name").alias("high")).filter("low <> high")
+    stars = components(dealt.join(ends, "bucket").select(F.col("name").alias("a"), F.col("low").alias("b")))
+    stars = stars.select(F.col("node").alias("name"), "root")
+    return stars.unionByName(stars.select(F.col("root").alias("name"), "root").distinct())
+
+
 def _members(members: DataFrame, names: DataFrame) -> DataFrame:
     """name, members of the distinct `names`."""
     return members.join(small_side(names, BROADCAST_ROWS), "name", "left_semi").groupBy("name").agg(F.first("members").alias("members"))
@@ -284,15 +347,40 @@ def _tested(pairs: DataFrame, sets: DataFrame, members: int, per_cent: int) -> D
 
 
 def confirmed_links(
-    members: DataFrame, cells: DataFrame, nodes: DataFrame, near: Near, components: Callable[[DataFrame], DataFrame], per_cent: int, central: bool = False
+    members: DataFrame,
+    dealt: DataFrame,
+    nodes: DataFrame,
+    near: Near,
+    components: Callable[[DataFrame], DataFrame],
+    per_cent: int,
+    central: bool = False,
+    part: int | None = None,
 ) -> DataFrame:
-    """Links (a, b) that connect all nodes of common cells that are candidates and have per_cent of their members in common.
+    """Links (a, b) that connect all nodes of common buckets that are candidates and have per_cent of their members in common.
 
     members: name, members (sorted hashes) of all texts, read for the names in
-    question only. cells: name, bucket, cell, read several times. nodes: name, n
+    question only. dealt: name, bucket, read several times. nodes: name, n
     (members of its set), values (what `near` compares), read several times.
-    components: from links to (node, root).
+    components: from links to (node, root). central: for families that are
+    searched by buckets, see _partners and _open_nodes. part: instead of FAMILY_PART and PART.
     """
+    named = kept(_families(dealt, components).join(nodes.select("name", "n"), "name"))
+    parts = F.greatest(F.ceil(F.count("*") / (part or FAMILY_PART)), F.ceil(F.sum("n") / PART_MEMBERS))
+    sized = kept(named.join(named.groupBy("root").agg(parts.alias("parts")), "root").select("name", F.col("root").alias("bucket"), "parts"))
+    few, many = sized.filter(F.col("parts") <= FAMILY_PARTS), sized.filter(F.col("parts") > FAMILY_PARTS)
+    rows = spread(few).join(nodes.select("name", "n", "values"), "name").join(_members(members, few.select("name")), "name")
+    links = _in_cells(rows).mapInArrow(_linked(near, per_cent), "a long, b long")
+    if many.isEmpty():
+        return links
+    rest = dealt.join(many.select("name"), "name", "left_semi")
+    cells = kept(cells_of(rest, part) if part else cells_of(rest))
+    return links.unionByName(_links_by_buckets(members, cells, nodes, near, components, per_cent, central))
+
+
+def _links_by_buckets(
+    members: DataFrame, cells: DataFrame, nodes: DataFrame, near: Near, components: Callable[[DataFrame], DataFrame], per_cent: int, central: bool
+) -> DataFrame:
+    """confirmed_links() of the nodes in `cells` (name, bucket, cell; read several times), without their families."""
     links = None
     now = nodes.select("name", "n", "values", F.col("name").alias("set"))
     for turn in range(ROUNDS):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listing_engine.llm import sets
-from listing_engine.llm.confirm import Near, cells_of, confirmed_links
+from listing_engine.llm.confirm import Near, confirmed_links
 from listing_engine.llm.near_duplicates import components
 from listing_engine.llm.shared import kept, table
 
@@ -120,8 +120,8 @@ def minhash_duplicates(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
         .groupBy("name")
         .agg(F.coalesce(F.min("doc_id"), F.lit(last)).alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("values").alias("values"))
     )
-    cells = kept(cells_of(nodes.select("name", F.explode("keys").alias("bucket"))))
-    links = confirmed_links(sets.members_of(docs, WORDS), cells, nodes.select("name", "n", "values"), surviving(per_cent), components, per_cent, central=True)
+    dealt = nodes.select("name", F.explode("keys").alias("bucket"))
+    links = confirmed_links(sets.members_of(docs, WORDS), dealt, nodes.select("name", "n", "values"), surviving(per_cent), components, per_cent, central=True)
 
     # a component is named by its smallest (id, name), so no further look-up of its members is needed
     ids = nodes.select("name", F.struct("id", "name").alias("node"))

@@ -31,7 +31,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 from xxhash import xxh64_intdigest
 
 from listing_engine.llm import sets
-from listing_engine.llm.confirm import Near, cells_of, confirmed_links
+from listing_engine.llm.confirm import Near, confirmed_links
 from listing_engine.llm.shared import UPPER, kept, mixed, table
 
 DISTANCE = 4
@@ -56,8 +56,8 @@ WIDE_PART = 32_768
 #: the differing bits less regular.
 SHORT = 50
 SHORT_ROWS, SHORT_MISSED = 4, 1e-6
-#: Texts of a set of candidates that one task compares.
-EXACT_PART = 2048
+#: Texts of a set of candidates that one task compares (in cells of two parts twice as many).
+EXACT_PART = 1024
 #: The id of texts without a doc_id.
 NO_ID = (1 << 63) - 1
 #: Texts around which a task links all others of a cell before it searches the rest.
@@ -516,9 +516,8 @@ def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
         )
     )
     known = nodes.select("name", "n", F.col("print").alias("values"))
-    dealt = candidate_sets(nodes.select("name", "print"), similarity).unionByName(nodes.select("name", F.explode("keys").alias("bucket")))
-    cells = kept(cells_of(dealt, EXACT_PART))
-    links = confirmed_links(sets.members_of(docs, SIMILAR_WORDS), cells, known, _near_prints(similarity), components, round(100 * similarity))
+    dealt = kept(candidate_sets(nodes.select("name", "print"), similarity).unionByName(nodes.select("name", F.explode("keys").alias("bucket"))))
+    links = confirmed_links(sets.members_of(docs, SIMILAR_WORDS), dealt, known, _near_prints(similarity), components, round(100 * similarity), part=EXACT_PART)
     ids = nodes.select("name", F.struct("id", "name").alias("node"))
     ends = links.join(ids.select(F.col("name").alias("a"), F.col("node").alias("x")), "a").join(ids.select(F.col("name").alias("b"), F.col("node").alias("y")), "b")
     roots = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node.name").alias("name"), "root")

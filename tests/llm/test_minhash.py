@@ -95,3 +95,19 @@ def test_odd(spark, odd_docs, no_docs):
 
 def test_by_sql(spark):
     assert compare(spark, duck("sf0.01"), "op12_minhash", "sf0.01")[0]
+
+
+@pytest.mark.parametrize("part, parts", [(5, 1), (5, 1000), (1024, 32)])
+def test_families(spark, monkeypatch, part, parts):
+    """A family of which some nodes link with few others: in one cell, in cells of two parts, and searched by buckets."""
+    monkeypatch.setattr(confirm, "FAMILY_PART", part)
+    monkeypatch.setattr(confirm, "FAMILY_PARTS", parts)
+    if parts != 1:  # the family's cells are enough: no pair is handed on
+        monkeypatch.setattr(confirm, "_tested", None)
+    rnd = random.Random(7)
+    base = [f"f{rnd.randint(0, 900)}" for _ in range(200)]
+    texts = [_turned(rnd, base, rnd.randint(2, 30)) for _ in range(90)]
+    texts += [_turned(rnd, t, 3) for t in texts[:20]] + [[f"{k}.{rnd.randint(0, 99)}" for _ in range(20)] for k in range(20)]
+    texts += [_turned(rnd, t, 1) for t in texts[-10:]]
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    assert found(spark, docs) == brute(docs)
