@@ -12,7 +12,8 @@ from listing_engine.operators.filters import WILDCARD_TOKENS
 from listing_engine.operators.matching import client_classes, listing_classes
 from listing_engine.operators.skew import SALT, all_pairs, split_hot_keys
 from listing_engine.plans.explain import best_overall, explain_unmatched, reason_counts, unmatched_reasons
-from listing_engine.plans.matching import best_pairs, match_all, prepare_clients, scored_pairs
+from listing_engine.operators import matching as O
+from listing_engine.plans.matching import best_pairs, match_all, matched_ids, prepare_clients, scored_pairs
 from tests.test_scoring import CLAMP, plain_multiplier, plain_range
 
 CFG = MatchConfig(jitter=0.0, top_n=5)
@@ -250,3 +251,40 @@ def test_classes_meet_once(spark):
     offered = listing_classes(l, h, CFG)
     assert classes.count() == 1 and members.count() == 40
     assert offered.groupBy("token__").count().agg(F.max("count")).first()[0] == 1
+
+
+@pytest.mark.parametrize("hoped_too_much", [False, True])
+def test_first_of_many_that_only_jitter_tells_apart(spark, monkeypatch, hoped_too_much):
+    """200 equal listings to a class: the first by the jitter of each pair, also where fewer than top_n
+    reach the score that was hoped for; only some of them are sorted for each client."""
+    l = spark.createDataFrame([(i, 100000.0 + 1000 * (i % 2), 80.0, 3, 1, "venta", ["a"]) for i in range(400)], LIST)
+    asked = (90000.0, 120000.0, 60.0, 100.0, 3, 3, 1, 2, ["venta"])
+    c = spark.createDataFrame([(i, *asked, ["a"] if i % 2 else []) for i in range(20)], CLI)
+    h = spark.createDataFrame([], "parent string, child string")
+    cfg = replace(CFG, jitter=0.001, top_n=3)
+    every = {}
+    for r in scored_pairs(l, c, h, cfg, prune=False).select("client_id", "property_id", "score", "s_price").collect():
+        every.setdefault(r.client_id, []).append((-r.score, -r.s_price, r.property_id))
+    if hoped_too_much:  # no pair gets more than the least that jitter leaves
+        real = O.final_score
+        monkeypatch.setattr(O, "final_score", lambda cfg: real(replace(cfg, jitter=0.0)) - cfg.jitter)
+        plain = {r.property_id: (r.score, r.s_price) for r in scored_pairs(l, c.limit(1), h, replace(cfg, jitter=0.0), prune=False).collect()}
+        every = {k: [(-plain[p][0], -plain[p][1], p) for p in plain] for k in every}
+    want = {(k, x[2], n) for k, v in every.items() for n, x in enumerate(sorted(v)[:3], 1)}
+    assert {tuple(r) for r in best_pairs(l, c, h, cfg).select("client_id", "property_id", "rank_client").collect()} == want
+
+
+def test_matched_clients_are_those_with_matches(case):
+    l, c, h, cfg, _ = case
+    cfg = replace(cfg, jitter=0.05)  # decides for some clients whether they have one
+    got = [r[0] for r in matched_ids(l, c, h, cfg).collect()]
+    want = {r[0] for r in scored_pairs(l, c, h, cfg, prune=False).filter(F.col("score") >= cfg.min_score).select("client_id").distinct().collect()}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_named_columns_spare_the_other_joins(case):
+    l, c, h, cfg, _ = case
+    some = match_all(l, c, h, cfg, ("client_id", "property_id", "score"))
+    assert "link_inmueble" not in some._jdf.queryExecution().optimizedPlan().toString()
+    whole = match_all(l, c, h, cfg).select("client_id", "property_id", "score")
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, whole.collect()))
