@@ -11,6 +11,7 @@ from listing_engine.functions.scoring import Bounds, with_scores
 from listing_engine.operators.filters import WILDCARD_TOKENS
 from listing_engine.operators.matching import client_classes, listing_classes
 from listing_engine.operators.skew import SALT, all_pairs, split_hot_keys
+from listing_engine.plans import explain as E
 from listing_engine.plans.explain import best_overall, explain_unmatched, reason_counts, unmatched_reasons
 from listing_engine.operators import matching as O
 from listing_engine.plans.matching import best_pairs, match_all, matched_ids, prepare_clients, scored_pairs
@@ -288,3 +289,20 @@ def test_named_columns_spare_the_other_joins(case):
     assert "link_inmueble" not in some._jdf.queryExecution().optimizedPlan().toString()
     whole = match_all(l, c, h, cfg).select("client_id", "property_id", "score")
     assert sorted(map(tuple, some.collect())) == sorted(map(tuple, whole.collect()))
+
+
+@pytest.mark.parametrize("jitter", [0.0, 0.001])
+def test_equal_clients_meet_the_cells_once(spark, monkeypatch, jitter):
+    """40 clients who ask for the same are bounded once a cell, and each gets its own best listing."""
+    listings, clients = data(n_clients=1)
+    l = spark.createDataFrame(listings, LIST)
+    c = spark.createDataFrame([(i, *clients[0][1:]) for i in range(40)], CLI)
+    cfg = replace(CFG, jitter=jitter)
+    ready = prepare_clients(c, l, spark.createDataFrame([], "parent string, child string"), cfg)
+    sizes, real = [], E._bounded
+    monkeypatch.setattr(E, "_bounded", lambda pairs, cfg: sizes.append(pairs.count()) or real(pairs, cfg))
+    got = {r[0]: r[1] for r in best_overall(l, ready, cfg).collect()}
+    best = {}
+    for r in with_scores(ready.crossJoin(l), cfg).select("client_id", "property_id", "score").collect():  # a small fixture
+        best[r[0]] = min(best.get(r[0], (9, 0)), (-r[2], r[1]))
+    assert got == {k: v[1] for k, v in best.items()} and max(sizes) <= len(listings)
