@@ -306,3 +306,11 @@ def test_equal_clients_meet_the_cells_once(spark, monkeypatch, jitter):
     for r in with_scores(ready.crossJoin(l), cfg).select("client_id", "property_id", "score").collect():  # a small fixture
         best[r[0]] = min(best.get(r[0], (9, 0)), (-r[2], r[1]))
     assert got == {k: v[1] for k, v in best.items()} and max(sizes) <= len(listings)
+
+
+def test_all_pairs_deal_each_client_out_once_a_place(case):
+    """Where every passing pair is asked for, a client has one row a place and operation, not one for each band of price as well."""
+    _, c, h, cfg, _ = case
+    side = O.client_side(O.expand_locations(c, h), cfg, False, banded=False)
+    assert side.groupBy("client_id", "token__", "op__").count().agg(F.max("count")).first()[0] == 1
+    assert side.count() < O.client_side(O.expand_locations(c, h), cfg, False).count()
